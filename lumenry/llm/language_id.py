@@ -185,8 +185,8 @@ def train(rows: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``language`` added: struct of ``lang_pred``, ``score`` and ``ambiguous``.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """``docs`` with ``out_col`` added: struct of ``lang_pred``, ``score`` and ``ambiguous``.
 
     Only the text is looked at. A text that is null or has no letter gets ``und`` and
     score 0, as does every text where the model knows no language. Own columns stay.
@@ -206,8 +206,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     lettered: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     if not model.languages:
-        return docs.withColumn("language", nothing)
-    return docs.withColumn("language", F.when(lettered, predicted(F.col(text_col))).otherwise(nothing))
+        return docs.withColumn(out_col, nothing)
+    return docs.withColumn(out_col, F.when(lettered, predicted(F.col(text_col))).otherwise(nothing))
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

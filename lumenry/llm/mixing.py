@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import materialise, small_enough
+from .store import materialise, small_enough, unused
 
 BLOCK_WORDS = 20_000
 BLOCKS_LEAST, BLOCKS_MOST = 64, 65_536
@@ -114,12 +114,14 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return shards.withColumn("hi", hi).selectExpr("source", "shard", "hi - counts lo", "hi")
 
 
+def blocks_of(size: str) -> Column:
+    return F.least(F.lit(BLOCKS_MOST), F.greatest(F.lit(BLOCKS_LEAST), F.expr(f"{size} div {BLOCK_WORDS}"))).cast("long")
+
+
 def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Targets, and per (source, block) the copies drawn, from ``sized(source, key, size)``."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, most, share).withColumn(
-        "blocks", F.least(F.lit(BLOCKS_MOST), F.greatest(F.lit(BLOCKS_LEAST), F.expr(f"source_size div {BLOCK_WORDS}"))).cast("long")
-    )
+    targets = source_targets(totals, most, share).withColumn("blocks", blocks_of("source_size"))
     targets = materialise(targets, "targets")
     in_source = sized.join(F.broadcast(targets) if small_enough(targets, BROADCAST_ROWS) else targets, sized.source.eqNullSafe(targets.source))
     held = in_source.select(sized.source, "size", F.pmod("key", "blocks").alias("block")).groupBy("source", "block").agg(F.sum("size").alias("words"))
@@ -145,40 +147,60 @@ def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) ->
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most: int = 3, share: float = 1.0
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 7,
+    most: int = 3,
+    share: float = 1.0,
+    out_col: str = "mix",
 ) -> DataFrame:
-    """``docs`` with a column ``mix``: struct of size, source_size, target, taken and copies.
+    """``docs`` with ``out_col`` added: struct of size, source_size, target, taken and copies.
 
-    A copy holds its pass, output shard, share of the text's words taken in it, and words.
-    Rows are told apart by a hash of id and text, so rows that repeat share their block and
-    fate. Null sources are a source, null texts have no words; an empty table stays empty.
-    All own columns are kept, whatever their names but ``mix``.
+    A copy holds its pass, output shard, share of the text's words taken in it, words, and
+    place, a random number below 1 that orders it in its shard. Rows are told apart by a hash
+    of id and text, so rows that repeat share their block and fate. Null sources are a source,
+    null texts have no words; an empty table stays empty. Own columns are kept.
     """
+    own = docs.columns
+    m, goal, draw, took = (unused(n, own) for n in ("mixed", "goal", "draw", "took"))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("mix", F.struct(words_in(F.col(text_col)).alias("size"), key.alias("key")))
-    sized = materialise(keyed.select(F.col(source_col).alias("source"), "mix.size", "mix.key"), "sizes")
+    keyed = docs.withColumn(m, F.struct(words_in(F.col(text_col)).alias("size"), key.alias("key")))
+    sized = materialise(keyed.select(F.col(source_col).alias("source"), f"{m}.size", f"{m}.key"), "sizes")
     targets, drawn = draws(sized, seed, most, share)
-    count = F.least(F.lit(BLOCKS_MOST), F.greatest(F.lit(BLOCKS_LEAST), F.expr(f"source_size div {BLOCK_WORDS}"))).cast("long")
-    targets = targets.select(F.struct("source", "source_size", "target", count.alias("blocks")).alias("goal"))
-    drawn = drawn.select(F.struct("source", "block", "copies").alias("draw"))
-    if small_enough(drawn, BROADCAST_ROWS):
+    targets = targets.select(F.struct("source", "source_size", "target", blocks_of("source_size").alias("blocks")).alias(goal))
+    drawn = drawn.select(F.struct("source", "block", "copies").alias(draw))
+    if small_enough(drawn, BROADCAST_ROWS) and small_enough(targets, BROADCAST_ROWS):
         targets, drawn = F.broadcast(targets), F.broadcast(drawn)
-    met = keyed.join(targets, F.col(source_col).eqNullSafe(F.col("goal.source")), "left")
-    met = met.join(drawn, F.col(source_col).eqNullSafe(F.col("draw.source")) & (F.pmod("mix.key", "goal.blocks") == F.col("draw.block")), "left")
-    copies = F.expr(
-        "transform(coalesce(draw.copies, array()), c -> named_struct('pass', c.copy, 'shard', c.shard, 'share', c.share, 'words', cast(floor(mix.size * c.share) as bigint)))"
+    met = keyed.join(targets, F.col(source_col).eqNullSafe(F.col(f"{goal}.source")), "left")
+    met = met.join(
+        drawn,
+        F.col(source_col).eqNullSafe(F.col(f"{draw}.source")) & (F.pmod(f"{m}.key", f"{goal}.blocks") == F.col(f"{draw}.block")),
+        "left",
     )
-    made = met.withColumn("copies", copies) if "copies" not in docs.columns else met.withColumn("mix_copies", copies)
-    own = "copies" if "copies" not in docs.columns else "mix_copies"
-    return made.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    place = f"(pmod(xxhash64({m}.key, c.copy), 9007199254740992) / 9007199254740992D)"
+    copies = f"transform(coalesce({draw}.copies, array()), c -> named_struct('pass', c.copy, 'shard', c.shard, 'share', c.share, 'words', cast(floor({m}.size * c.share) as bigint), 'place', {place}))"
+    return met.withColumn(took, F.expr(copies)).select(
+        *[F.col(f"`{c}`") for c in own],
         F.struct(
-            F.col("mix.size"), F.col("mix.key"), F.col("goal.source_size"), F.col("goal.target"),
-            F.expr(f"aggregate({own}, 0L, (a, c) -> a + c.words)").alias("taken"), F.col(own).alias("copies"),
-        ).alias("mix"),
+            F.col(f"{m}.size"),
+            F.col(f"{goal}.source_size"),
+            F.col(f"{goal}.target"),
+            F.expr(f"aggregate({took}, 0L, (a, c) -> a + c.words)").alias("taken"),
+            F.col(took).alias("copies"),
+        ).alias(out_col),
     )
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix as whole rows of ``docs``, one for each copy; a part of a block takes that share of its rows."""
+    out, copy = unused("mix", docs.columns), unused("copy", docs.columns)
+    mixed = mix(docs, out_col=out, **options)
+    dealt = mixed.withColumn(copy, F.explode(f"{out}.copies")).where(F.col(f"{copy}.place") < F.col(f"{copy}.share"))
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """Contract query: all documents, weights 1, 2, 3 in turn, no source above three times its size."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))

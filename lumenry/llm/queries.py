@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, language_id, mixing, packing
 
 QUERIES = {
+    "op1_bestfit_packing": packing.op1,
     "op4_ngram_jaccard_join": jaccard_join.op4,
+    "op6_language_id": language_id.op6,
+    "op7_source_mixing": mixing.op7,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -37,3 +37,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows, read no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
