@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing
+from . import jaccard_join, language_id, mixing, packing, url_filter, warc
 
 QUERIES = {
     "op1_bestfit_packing": packing.op1,
+    "op2_url_filter": url_filter.op2,
     "op4_ngram_jaccard_join": jaccard_join.op4,
+    "op5_warc_archive": warc.op5,
     "op6_language_id": language_id.op6,
     "op7_source_mixing": mixing.op7,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_archive": warc.OP5_SQL,
+}
