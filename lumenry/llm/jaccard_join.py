@@ -8,9 +8,10 @@ a parity-bitmap test, all of which never reject a true link, are expanded to the
 members, and are verified on the full sets.
 
 A list of many groups is not expanded into pairs: it is cut into blocks, and a block
-gives the least spanning forest of its passing pairs. Verified edges merge components;
-afterwards every passing pair that still crosses two components is verified too, so
-components are those of all links.
+gives the least spanning forest of its passing pairs. Candidates are verified nearest
+first and only where they join two components; afterwards every passing pair of the
+blocks that still crosses two components is verified too, so components are those of
+all links.
 
 Which shingles count as frequent decides speed only: any choice is exact as long as all
 documents use the same one. It is taken over all documents, and its number is bounded
@@ -39,6 +40,7 @@ BITS = 1024
 SMALL_LIST = 24
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
+ROUNDS = 5
 
 
 def _need(n, percent: int):
@@ -213,12 +215,46 @@ def _in_blocks(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link. Only sets that a pair names are moved."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = sets.join(F.broadcast(named) if small_enough(named, BROADCAST_IDS) else named, "cid", "left_semi")
     left, right = (sets.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
     met = met.select("a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("both"))
     return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
+def _labelled(df: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
+    return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
+
+
+def _linked(candidates: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified edges among ``candidates(a, b, apart)``, and components in which none is left to test.
+
+    As in Boruvka's algorithm each round verifies, for every component, the nearest
+    untested candidate that leaves it; after ``ROUNDS`` rounds all that are left.
+    """
+    comp = candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")).where("false")
+    edges, live = None, candidates.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            ends = live.select(F.col("ca").alias("c"), "apart", "a", "b").union(live.select("cb", "apart", "a", "b"))
+            tests = ends.groupBy("c").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        else:
+            tests = live.select("a", "b")
+        tests = materialise(tests, "tests")
+        found = materialise(_verify(tests, sets, percent), "edges")
+        edges = found if edges is None else edges.union(found)
+        comp = components(edges)
+        if turn == ROUNDS:
+            break
+        rest = live.select("a", "b", "apart").join(tests, ["a", "b"], "left_anti")
+        live = materialise(_labelled(_labelled(rest, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb"), "live")
+        if live.isEmpty():
+            break
+    return edges, comp
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``(id_col, n_shingles long, component_id long)`` for every row of ``docs``.
 
@@ -280,25 +316,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = materialise(docs.join(ids, "id", "left_semi").mapInArrow(as_sets, "cid long, items array<long>").dropDuplicates(["cid"]), "sets")
 
-    ends = candidates.select("a", "b", "apart").union(candidates.select("b", "a", "apart"))
-    best = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    tested = materialise(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
-    edges = materialise(_verify(tested, sets, percent), "edges")
-    comp = components(edges)
-
-    def labelled(df, col, name):
-        return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
-
-    left_over = labelled(labelled(candidates.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    mixed = labelled(long_rows, "cid", "comp")
+    edges, comp = _linked(candidates, sets, percent)
+    mixed = _labelled(long_rows, comp, "cid", "comp")
     split = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    crossing = _in_blocks(mixed.join(split, "key", "left_semi"), percent, False).select("a", "b")
-    rest = left_over.union(crossing).distinct().join(tested, ["a", "b"], "left_anti")
-    more = materialise(_verify(rest, sets, percent), "edges")
-    if not more.isEmpty():
+    crossing = _in_blocks(mixed.join(split, "key", "left_semi"), percent, False)
+    crossing = materialise(crossing.distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    if not crossing.isEmpty():
+        more, _ = _linked(crossing, sets, percent)
         comp = components(edges.union(more))
 
-    named = labelled(classes.select("cid", "rep"), "cid", "comp")
+    named = _labelled(classes.select("cid", "rep"), comp, "cid", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "comp").select("cid", "component_id")
     return (
