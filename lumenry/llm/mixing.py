@@ -108,7 +108,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         sides = "explode(array(named_struct('node', 2 * node, 'counts', left), named_struct('node', 2 * node + 1, 'counts', zip_with(counts, left, (c, d) -> c - d))))"
         nodes = nodes.selectExpr("sources", f"{sides} side").selectExpr("sources", "side.counts counts", "side.node node")
         if level % 4 == 3:
-            nodes = materialise(nodes.repartition(), "split-nodes")
+            nodes = materialise(nodes.repartition("node"), "split-nodes")
     shards = nodes.selectExpr("node shard", "inline(arrays_zip(sources, counts))").withColumnRenamed("sources", "source").where("counts > 0")
     hi = F.sum("counts").over(W.partitionBy("source").orderBy("shard"))
     return shards.withColumn("hi", hi).selectExpr("source", "shard", "hi - counts lo", "hi")
