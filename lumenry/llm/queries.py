@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing, url_filter, warc
+from . import cap_filters, jaccard_join, language_id, mixing, packing, projection_search, url_filter, warc
 
 QUERIES = {
     "op1_bestfit_packing": packing.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_warc_archive": warc.op5,
     "op6_language_id": language_id.op6,
     "op7_source_mixing": mixing.op7,
+    "op8_nearest_neighbours": projection_search.op8,
+    "op9_embedding_near_copies": cap_filters.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
