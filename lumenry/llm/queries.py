@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from . import cap_filters, jaccard_join, language_id, mixing, packing, projection_search, url_filter, warc
+from . import (
+    cap_filters,
+    jaccard_join,
+    language_id,
+    license_scan,
+    lm_score,
+    mixing,
+    packing,
+    projection_search,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
     "op1_bestfit_packing": packing.op1,
     "op2_url_filter": url_filter.op2,
+    "op3_license_scan": license_scan.op3,
     "op4_ngram_jaccard_join": jaccard_join.op4,
     "op5_warc_archive": warc.op5,
     "op6_language_id": language_id.op6,
     "op7_source_mixing": mixing.op7,
     "op8_nearest_neighbours": projection_search.op8,
     "op9_embedding_near_copies": cap_filters.op9,
+    "op10_lm_score": lm_score.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

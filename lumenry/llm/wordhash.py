@@ -21,6 +21,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARK = np.ones(256, bool)
+_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -73,15 +75,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         start = end
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows in order, and per row the index of its first word (one more than rows)."""
+def words(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows in order, and per row the index of its first word (one more than rows).
+
+    With ``marks`` every ASCII byte but letters and digits parts words, not white space alone.
+    """
     raw, off = buffers(column)
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     pow_, inv = _power_tables(n + 1)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~(_MARK if marks else _SPACE)[raw]
     edge = np.diff(inside)
     breaks = off[1:-1]
     breaks = breaks[(breaks > 0) & (breaks < n)]
