@@ -27,11 +27,13 @@ from ..functions.scalars import (
     zone_weight,
 )
 
-R, G, B = F.col("r"), F.col("g"), F.col("b")
-RGB = (R, G, B)
 Colour = tuple[int, int, int]
 
 
+def rgb() -> tuple[Column, Column, Column]:
+    return F.col("r"), F.col("g"), F.col("b")
+
+
 def scaled(size: float, side: int) -> int:
     return int(math.floor(size * side / 1000 + 0.5))
 
@@ -41,16 +43,16 @@ def painted(px: DataFrame, channels) -> DataFrame:
 
 
 def mixed(channels, share) -> list[Column]:
-    return [own + (new - own) * share for own, new in zip(RGB, channels)]
+    return [own + (new - own) * share for own, new in zip(rgb(), channels)]
 
 
 def duotone(px: DataFrame, dark: Colour = (0, 0, 0), light: Colour = (255, 79, 163)) -> DataFrame:
-    t = brightness(*RGB) / 255
+    t = brightness(*rgb()) / 255
     return painted(px, [d + (u - d) * t for d, u in zip(dark, light)])
 
 
 def tritone(px: DataFrame, dark: Colour = (20, 5, 43), mid: Colour = (224, 32, 79), light: Colour = (255, 217, 160), mix: int = 100) -> DataFrame:
-    t = brightness(*RGB) / 255
+    t = brightness(*rgb()) / 255
     inks = [F.when(t < 0.5, d + (m - d) * (t * 2)).otherwise(m + (u - m) * ((t - 0.5) * 2)) for d, m, u in zip(dark, mid, light)]
     return painted(px, mixed(inks, mix / 100))
 
@@ -59,12 +61,12 @@ def scanlines(px: DataFrame, side: int, period: int = 4, thickness: int = 1, str
     every = max(1, scaled(period, side))
     thick = min(every, max(1, scaled(thickness, side)))
     keep = F.when(F.col("y") % every < thick, 1 - strength / 100).otherwise(1.0)
-    return painted(px, [c * keep for c in RGB])
+    return painted(px, [c * keep for c in rgb()])
 
 
 def fade(px: DataFrame, lift: int = 12, saturation: int = 80, tint: Colour = (255, 140, 66), tint_amount: int = 10) -> DataFrame:
-    base, grey = lift / 100 * 127.5, brightness(*RGB)
-    raised = [base + (grey + (c - grey) * (min(saturation, 200) / 100)) * (255 - base) / 255 for c in RGB]
+    base, grey = lift / 100 * 127.5, brightness(*rgb())
+    raised = [base + (grey + (c - grey) * (min(saturation, 200) / 100)) * (255 - base) / 255 for c in rgb()]
     return painted(px, [v + (t - v) * (tint_amount / 100) * (1 - v / 255) for v, t in zip(raised, tint)])
 
 
@@ -72,43 +74,43 @@ def vignette(px: DataFrame, width: int, height: int, strength: int = 50, start:
     dx, dy = F.col("x") - width / 2, F.col("y") - height / 2
     far = F.sqrt(dx * dx + dy * dy) / math.hypot(width / 2, height / 2)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - start / 100) / max(1 - start / 100, 0.01)))
-    return painted(px, [c * (1 - strength / 100 * t * t) for c in RGB])
+    return painted(px, [c * (1 - strength / 100 * t * t) for c in rgb()])
 
 
 def falsecolor(px: DataFrame, order: str = "bgr", invert: str = "", rotate: int = 0, saturation: int = 100, mix: int = 100,
                only: float | None = None, width: int = 30, soft: int = 30) -> DataFrame:
     """Channels swapped, inverted, turned in hue; with ``only`` just near that hue."""
-    by_name = dict(zip("rgb", RGB))
+    by_name = dict(zip("rgb", rgb()))
     moved = [255 - by_name[c] if n in invert else by_name[c] for n, c in zip("rgb", order)]
     if rotate or saturation != 100:
         rotate, strength = max(-180, min(180, rotate)), min(saturation, 400) / 100
         moved = list(from_hsv(hue_of(*moved) + rotate, F.least(F.lit(1.0), saturation_of(*moved) * strength), F.greatest(*moved).cast("double")))
-    share = zone_weight(*RGB, only, width, soft) * (mix / 100) if only is not None else F.lit(mix / 100)
+    share = zone_weight(*rgb(), only, width, soft) * (mix / 100) if only is not None else F.lit(mix / 100)
     return painted(px, mixed(moved, share))
 
 
 def onepoint(px: DataFrame, hue: float = 0.0, width: int = 30, soft: int = 30, rest: int = 0) -> DataFrame:
     """One hue zone keeps its colour, the rest goes towards grey."""
-    grey, kept = brightness(*RGB), zone_weight(*RGB, hue, width, soft)
-    faded = [grey + (c - grey) * (rest / 100) for c in RGB]
-    return painted(px, [f + (c - f) * kept for c, f in zip(RGB, faded)])
+    grey, kept = brightness(*rgb()), zone_weight(*rgb(), hue, width, soft)
+    faded = [grey + (c - grey) * (rest / 100) for c in rgb()]
+    return painted(px, [f + (c - f) * kept for c, f in zip(rgb(), faded)])
 
 
 def remap(px: DataFrame, moves: list[tuple[float, float]], width: int = 25, soft: int = 25, saturation: int = 100, mix: int = 100) -> DataFrame:
     """Hues near the first of each pair turn towards the second; several turns are averaged by nearness."""
     if not moves:
         return px
-    hue, gate = F.pmod(F.round(hue_of(*RGB), 1), F.lit(360.0)), smoothstep(0.02, 0.06, saturation_of(*RGB))
+    hue, gate = F.pmod(F.round(hue_of(*rgb()), 1), F.lit(360.0)), smoothstep(0.02, 0.06, saturation_of(*rgb()))
     zone = lambda centre: 1 - smoothstep(width, width + max(soft, 1), hue_distance(hue, F.lit(float(centre))))
     total = lambda parts: reduce(lambda a, b: a + b, parts)
     near = total([zone(a) for a, _ in moves]) * gate
     turn = total([zone(a) * hue_turn(F.lit(float(a)), F.lit(float(b))) for a, b in moves]) * gate
     moved = from_hsv(
-        hue_of(*RGB) + turn / near, F.least(F.lit(1.0), saturation_of(*RGB) * (min(saturation, 400) / 100)), F.greatest(*RGB).cast("double")
+        hue_of(*rgb()) + turn / near, F.least(F.lit(1.0), saturation_of(*rgb()) * (min(saturation, 400) / 100)), F.greatest(*rgb()).cast("double")
     )
     amount = F.least(near, F.lit(1.0)) * (mix / 100)
     acts = (amount > 1e-4) & (near > 1e-4)
-    return painted(px, [F.when(acts, m).otherwise(c) for c, m in zip(RGB, mixed(moved, amount))])
+    return painted(px, [F.when(acts, m).otherwise(c) for c, m in zip(rgb(), mixed(moved, amount))])
 
 
 #: The 8 x 8 ordered-dither matrix.
@@ -128,7 +130,7 @@ def dither_ordered(px: DataFrame) -> DataFrame:
     """Black and white by the ordered matrix, one pixel a dot."""
     table = F.array(*[F.lit(v) for row in BAYER for v in row])
     threshold = (F.get(table, F.col("y") % 8 * 8 + F.col("x") % 8) + 0.5) * 4
-    ink = F.when(brightness(*RGB) >= threshold, 255).otherwise(0)
+    ink = F.when(brightness(*rgb()) >= threshold, 255).otherwise(0)
     return painted(px, [ink, ink, ink])
 
 
@@ -147,7 +149,7 @@ def prism(px: DataFrame, width: int, height: int, kind: str = "linear", angle: f
     amount = F.least(F.lit(1.0), bump * (strength / 100))
     band = from_hsv(hue + t * turn, 0.85 * (1 - white / 100 * bump * bump), F.lit(255.0))
     inside = (t >= 0) & (t < 1)
-    return painted(px, [F.when(inside, 255 - (255 - c) * (255 - u * amount) / 255).otherwise(c) for c, u in zip(RGB, band)])
+    return painted(px, [F.when(inside, 255 - (255 - c) * (255 - u * amount) / 255).otherwise(c) for c, u in zip(rgb(), band)])
 
 
 def leak(px: DataFrame, width: int, height: int, edge: str = "left", color: Colour = (255, 150, 60), strength: int = 70, size: int = 50) -> DataFrame:
@@ -155,7 +157,7 @@ def leak(px: DataFrame, width: int, height: int, edge: str = "left", color: Colo
     away = {"left": F.col("x"), "right": width - F.col("x"), "top": F.col("y"), "bottom": height - F.col("y")}[edge]
     glow = F.greatest(F.lit(0.0), 1 - away / max(1.0, width * size / 100))
     glow = glow * glow * (strength / 100)
-    return painted(px, [c + (255 - (255 - c) * (255 - u) / 255.0 - c) * glow for c, u in zip(RGB, color)])
+    return painted(px, [c + (255 - (255 - c) * (255 - u) / 255.0 - c) * glow for c, u in zip(rgb(), color)])
 
 
 def shifted_channel(name: str, dx: int, dy: int) -> tuple[Column, Column]:
@@ -235,7 +237,7 @@ def slices(px: DataFrame, width: int, bands: list[tuple[int, int, int, bool]]) -
         inside = (F.col("y") >= top) & (F.col("y") < bottom)
         dx, inverted = F.when(inside, move).otherwise(dx), F.when(inside, invert).otherwise(inverted)
     moved = px.select("pic", "y", F.pmod(F.col("x") + dx, F.lit(width)).cast("int").alias("x"), inverted.alias("inverted"), *"rgb")
-    return painted(moved, [F.when(F.col("inverted"), 255 - c).otherwise(c) for c in RGB])
+    return painted(moved, [F.when(F.col("inverted"), 255 - c).otherwise(c) for c in rgb()])
 
 
 def stretch(px: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
@@ -254,7 +256,7 @@ def pixel_sort(px: DataFrame, low: int = 40, high: int = 220, reverse: bool = Fa
     """
     low, high = min(low, high), max(low, high)
     line = W.partitionBy("pic", "y").orderBy("x")
-    lit = px.withColumn("l", brightness(*RGB)).withColumn("out", (~F.col("l").between(low, high)).cast("int"))
+    lit = px.withColumn("l", brightness(*rgb())).withColumn("out", (~F.col("l").between(low, high)).cast("int"))
     runs = lit.withColumn("run", F.sum("out").over(line) * 2 + F.col("out"))
     first = F.min("x").over(W.partitionBy("pic", "y", "run"))
     order = [F.desc("l"), F.desc("x")] if reverse else ["l", "x"]
@@ -284,11 +286,11 @@ def upper_median(values: Column) -> Column:
 
 def median_chroma(px: DataFrame, width: int, height: int) -> DataFrame:
     """3 x 3 medians of red minus green and blue minus green, green kept."""
-    cells = px.withColumn("d", F.struct((R - G).alias("p"), (B - G).alias("q")))
+    cells = px.withColumn("d", F.struct((F.col("r") - F.col("g")).alias("p"), (F.col("b") - F.col("g")).alias("q")))
     around = neighbourhood(cells, width, height, "d")
     med = lambda f: upper_median(F.transform("around", lambda s: s[f]))
     met = px.select("pic", "y", "x", "g").join(around, ["pic", "y", "x"])
-    return met.select("pic", "y", "x", (G + med("p")).cast("int").alias("r"), "g", (G + med("q")).cast("int").alias("b"))
+    return met.select("pic", "y", "x", (F.col("g") + med("p")).cast("int").alias("r"), "g", (F.col("g") + med("q")).cast("int").alias("b"))
 
 
 def box_blur(px: DataFrame, width: int, height: int, value: str) -> DataFrame:
@@ -300,7 +302,7 @@ def box_blur(px: DataFrame, width: int, height: int, value: str) -> DataFrame:
 def sharpness_tiles(px: DataFrame, width: int, height: int, tile: int = 32) -> DataFrame:
     """``(pic, score)``: root of the mean of the best tenth of tiles' mean squared Laplacians."""
     rows, columns = W.partitionBy("pic", "y").orderBy("x"), W.partitionBy("pic", "x").orderBy("y")
-    lit = px.withColumn("l", brightness(*RGB))
+    lit = px.withColumn("l", brightness(*rgb()))
     side = [F.lag("l").over(w) + F.lead("l").over(w) for w in (rows, columns)]
     inner = lit.withColumn("lap", side[0] + side[1] - 4 * F.col("l")).where("lap is not null")
     energy = inner.groupBy("pic", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).agg(F.avg(F.col("lap") * F.col("lap")).alias("e"))
