@@ -2,8 +2,8 @@
 
 Each host has a tree over path segments. Numbers and hashes are wildcards from the start.
 Level by level, segments too rare among their siblings become one wildcard branch, and
-siblings whose labelled bad rate does not differ significantly from that of the others
-merge into one branch. A template's rate of bad labels is smoothed towards its parent's,
+of the others those whose labelled bad rates, put in order, show no significant step merge
+into one branch. A template's rate of bad labels is smoothed towards its parent's,
 up to the host and the whole table, and a template at or above ``reject`` is blocked.
 Explicit rules come before the tree.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .store import materialise, small_enough, unused
 
@@ -67,7 +68,7 @@ def segments_of(path: Column) -> Column:
 def template_tree(seen: DataFrame) -> DataFrame:
     """``(host, segs, template, purity)`` for every ``seen(host, segs, n, labelled, bad)``, one row each."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    base = seen.agg((F.sum("bad") / F.sum("labelled")).alias("r")).first()["r"] or 0.0
+    base = seen.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("r")).first()["r"] or 0.0
     smooth = lambda above: (F.col("bad") + SMOOTHING * above) / (F.col("labelled") + SMOOTHING)
     hosts = seen.groupBy("host").agg(*sums).select("host", smooth(F.lit(base)).alias("purity"))
     tree = seen.join(hosts, "host").withColumn("template", F.lit(""))
@@ -78,12 +79,19 @@ def template_tree(seen: DataFrame) -> DataFrame:
             F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("kinds")
         )
         child = child.join(parent, ["host", "template"])
-        rest = (F.col("pb") - F.col("bad") + SMOOTHING * F.col("above")) / (F.col("pl") - F.col("labelled") + SMOOTHING)
-        gap = F.abs(F.col("bad") - F.col("labelled") * rest) / F.sqrt(F.greatest(F.lit(1e-9), F.col("labelled") * rest * (1 - rest)))
         fixed = F.col("seg").isin("", "#", "@", "**") | (F.col("kinds") == 1)
         rare = F.col("n") < F.greatest(F.lit(RARE_LEAST), RARE_SHARE * F.col("pn"))
-        similar = (F.col("labelled") > 0) & (gap < SIMILAR)
-        name = F.when(fixed, F.col("seg")).when(rare, F.lit("*")).when(similar, F.lit("+")).otherwise(F.col("seg"))
+        child = child.withColumn("rate", smooth(F.col("above"))).withColumn("open", ~fixed & ~rare)
+        # of the open siblings there are at most 1 / RARE_SHARE; by rate, a significant step parts two branches
+        order = W.partitionBy("host", "template", "open").orderBy("rate", "seg")
+        seen_n = F.col("labelled") + 1
+        pooled = (F.col("rate") * seen_n + F.lag("rate").over(order) * F.lag(seen_n).over(order)) / (seen_n + F.lag(seen_n).over(order))
+        error = F.sqrt(F.greatest(F.lit(1e-9), pooled * (1 - pooled)) * (1 / seen_n + 1 / F.lag(seen_n).over(order)))
+        step = F.coalesce(((F.col("rate") - F.lag("rate").over(order)) / error >= SIMILAR).cast("int"), F.lit(0))
+        child = child.withColumn("step", F.when(F.col("open"), step)).withColumn("branch", F.when(F.col("open"), F.sum("step").over(order)))
+        alike = F.count("*").over(W.partitionBy("host", "template", "open", "branch")) > 1
+        merged = F.concat(F.lit("+"), F.col("branch").cast("string"))
+        name = F.when(fixed, F.col("seg")).when(rare, F.lit("*")).when(alike, merged).otherwise(F.col("seg"))
         child = child.withColumn("grown", F.concat("template", F.when(F.col("seg") == "", F.lit("")).otherwise(F.concat(F.lit("/"), name))))
         rates = child.groupBy("host", "grown").agg(*sums, F.first("above").alias("above"))
         rates = rates.select("host", "grown", smooth(F.col("above")).alias("rate"))
