@@ -61,6 +61,7 @@ class Templates:
         flat, off = bigrams(pa.array(list(texts.values()), pa.large_string()))
         own = [np.unique(flat[a:b]) for a, b in zip(off, off[1:])]
         self.sizes = np.array([len(x) for x in own])
+        self.lengths = np.diff(off)
         self.known = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
         self.holds = np.stack([np.isin(self.known, x) for x in own], 1) if own else np.zeros((0, 0), bool)
         self.table = np.zeros(1 << 16, bool)
@@ -73,19 +74,21 @@ class Templates:
         same = self.known[number] == flat[at] if len(self.known) else np.zeros(0, bool)
         return at[same], number[same]
 
-    def spans(self, at: np.ndarray, number: np.ndarray, total: int, least: float) -> list[tuple[str, float, int, int]]:
-        """Matches in one document from the places and numbers of its hits and its count of bigrams."""
+    def spans(self, flat: np.ndarray, at: np.ndarray, number: np.ndarray, least: float) -> list[tuple[str, float, int, int]]:
+        """Matches in one document from its bigrams and the places and numbers of its hits."""
+        total = len(flat)
         distinct = self.holds[np.unique(number)].sum(0)
         out = []
         for t in np.flatnonzero((self.sizes > 0) & (distinct * 2 >= least * self.sizes) & (total * (2 - least) >= least * self.sizes)):
             own = self.holds[number, t]
-            place, kind, size = at[own], number[own], int(self.sizes[t])
+            place, kind, size, length = at[own], number[own], int(self.sizes[t]), int(self.lengths[t])
             need = math.ceil(least * size / 2)
             best: list[tuple[float, int, int]] = []
-            ends = np.searchsorted(place, place + size, "left")
+            ends = np.searchsorted(place, place + length, "left")
             for k in np.flatnonzero(ends - np.arange(len(place)) >= need):
-                span = min(size, total - int(place[k]))
-                dice = 2 * len(np.unique(kind[k : ends[k]])) / (size + span)
+                span = min(length, total - int(place[k]))
+                both, window = len(np.unique(kind[k : ends[k]])), len(np.unique(flat[place[k] : place[k] + span]))
+                dice = 2 * both / (size + window)
                 if dice >= least:
                     best.append((dice, int(place[k]), span))
             taken: list[tuple[int, int]] = []
@@ -114,7 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 found = []
                 for r in range(hi - lo):
                     a, b = bound[r], bound[r + 1]
-                    hits = known.spans(at[a:b] - off[r], number[a:b], int(off[r + 1] - off[r]), least) if b > a else []
+                    hits = known.spans(flat[off[r] : off[r + 1]], at[a:b] - off[r], number[a:b], least) if b > a else []
                     found.append([{"license": n, "dice": d, "start": s, "words": w} for n, d, s, w in hits])
                 kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(found, kind)], [id_col, "licenses"])
