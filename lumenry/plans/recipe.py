@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..model import COLOURS
 from ..operators.effects import REGISTRY
+from ..operators.seeded import SEEDED
 
 
 class RecipeError(ValueError):
@@ -38,8 +39,12 @@ def value_of(name: str, text: str):
 
 
 def parse_recipe(text: str) -> list[tuple[str, dict]]:
-    """Steps of a recipe; an unknown effect, a parameter before any effect, or an empty text is an error."""
+    """Steps of a recipe; an unknown effect, a parameter before any effect, or an empty text is an error.
+
+    ``seed=N`` may stand first; step ``k`` of the effects that draw gets seed ``N + k``.
+    """
     steps: list[tuple[str, dict]] = []
+    seed = 0
     for word in text.replace("+", " ").split():
         name, equals, value = word.partition("=")
         if not equals:
@@ -48,8 +53,10 @@ def parse_recipe(text: str) -> list[tuple[str, dict]]:
             steps.append((name, {}))
         elif steps:
             steps[-1][1][name] = value_of(name, value)
-        elif name != "seed":
+        elif name == "seed" and value.isdigit():
+            seed = int(value)
+        else:
             raise RecipeError(f"{word} stands before any effect")
     if not steps:
         raise RecipeError("the recipe is empty")
-    return steps
+    return [(name, {**params, "seed": seed + k} if name in SEEDED else params) for k, (name, params) in enumerate(steps)]

@@ -17,6 +17,7 @@ from .operators import bursts as U
 from .operators import effects as X
 from .operators import frames as R
 from .operators import keyfile as K
+from .operators import seeded as D
 from .operators import similarity as M
 from .operators import spectral as P
 from .plans.recipe import parse_recipe
@@ -509,12 +510,12 @@ def fx_split(spark, sf_dir):
 
 @query()
 def fx_aberration(spark, sf_dir):
-    return shown(X.aberration(pixels(spark, sf_dir).where("pic <= 20"), WIDTH, HEIGHT, 0.05))
+    return shown(X.aberration(few_pixels(spark, sf_dir), WIDTH, HEIGHT, 0.05))
 
 
 @query()
 def fx_spin(spark, sf_dir):
-    return shown(X.spin(pixels(spark, sf_dir).where("pic <= 20"), WIDTH, HEIGHT, steps=4))
+    return shown(X.spin(few_pixels(spark, sf_dir), WIDTH, HEIGHT, steps=4))
 
 
 BANDS = [(3, 12, 17, False), (8, 20, -9, True), (30, 41, 40, False)]
@@ -550,12 +551,12 @@ AROUND = f"""with {PX}, n as (
 @query(AROUND + """ select pic, y, x, cast(own + list_sort(list(r - g))[5] as bigint) as r, cast(own as bigint) as g, cast(own + list_sort(list(b - g))[5] as bigint) as b
 from n group by pic, y, x, own""")
 def median3_chroma(spark, sf_dir):
-    return shown(X.median_chroma(pixels(spark, sf_dir).where("pic <= 20"), WIDTH, HEIGHT))
+    return shown(X.median_chroma(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
 
 
 @query(AROUND + " select pic, y, x, round(avg(l), 6) as blurred from n group by pic, y, x")
 def box_blur(spark, sf_dir):
-    px = pixels(spark, sf_dir).where("pic <= 20").withColumn("l", S.brightness(F.col("r"), F.col("g"), F.col("b")))
+    px = few_pixels(spark, sf_dir).withColumn("l", S.brightness(F.col("r"), F.col("g"), F.col("b")))
     return X.box_blur(px, WIDTH, HEIGHT, "l").select("pic", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("blurred", 6).alias("blurred"))
 
 
@@ -598,6 +599,40 @@ def recipe_chain(spark, sf_dir):
     return shown(X.apply_recipe(pixels(spark, sf_dir), WIDTH, HEIGHT, parse_recipe("seed=7 falsecolor order=bgr + scanlines + vignette")))
 
 
+def few_pixels(spark, sf_dir):
+    return pixels(spark, sf_dir).where("pic <= 20")
+
+
+@query()
+def fx_grain(spark, sf_dir):
+    return shown(D.grain(pixels(spark, sf_dir), WIDTH, HEIGHT, seed=7))
+
+
+@query()
+def fx_liquid(spark, sf_dir):
+    return shown(D.liquid(few_pixels(spark, sf_dir), WIDTH, HEIGHT, amplitude=80, scale=300, seed=7))
+
+
+@query()
+def fx_streaks(spark, sf_dir):
+    return shown(D.streaks(pixels(spark, sf_dir), WIDTH, HEIGHT, seed=7))
+
+
+@query()
+def fx_drag(spark, sf_dir):
+    return shown(D.drag(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
+
+
+@query()
+def fx_bloom(spark, sf_dir):
+    return shown(D.bloom(few_pixels(spark, sf_dir), WIDTH, HEIGHT, threshold=120))
+
+
+@query()
+def fx_dither_diffusion(spark, sf_dir):
+    return shown(D.dither_diffusion(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
+
+
 # Frames and signals
 
 def scene(spark, sf_dir):

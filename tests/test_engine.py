@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenry.functions import scalars as S
-from lumenry.operators import bursts, effects, frames, keyfile, similarity, spectral
+from lumenry.functions.draws import Draws, split_mix, value_noise
+from lumenry.operators import bursts, effects, frames, keyfile, seeded, similarity, spectral
 from lumenry.plans.recipe import RecipeError, parse_recipe
 from lumenry.sources import shots
 from lumenry.streaming.live import LatestRecipe, follow, newest_versions, recipe_stream
@@ -249,3 +250,45 @@ def test_live_recipe_stream(spark, tmp_path):
     assert seen == [(1, [("duotone", {})]), (2, [("vignette", {"strength": 10})])]
     results, registry = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "id int, version int"), spark.createDataFrame([(1, 2), (2, 1)], "id int, version int")
     assert rows(newest_versions(results, registry)) == [(1, 2), (2, 1)]
+
+
+def test_draws(spark):
+    assert (split_mix(7, np.arange(5)) % np.uint64(1000)).tolist() == [487, 804, 346, 203, 674]
+    drawn = Draws(7)
+    assert [drawn.below(1000), drawn.below(0), drawn.below(1000)] == [487, 0, 804] and 3 <= drawn.between(9, 3) <= 9
+    lattice = (split_mix(3, np.arange(12)) % np.uint64(10_001)).astype(float).reshape(3, 4) / 10_000
+    df = spark.createDataFrame([(float(x), float(y)) for y in range(3) for x in range(4)], "u double, v double")
+    assert [r[0] for r in df.select(value_noise(3, 4, 3, F.col("u"), F.col("v"))).collect()] == lattice.reshape(-1).tolist()
+
+
+def test_seeded_effects(picture):
+    image, px = picture
+    for same in (
+        seeded.grain(px, 14, 10, strength=0), seeded.liquid(px, 14, 10, amplitude=0), seeded.liquid(px, 14, 10, scale=0), seeded.streaks(px, 14, 10, strength=0),
+        seeded.drag(px, 14, 10, mix=0), seeded.bloom(px, 14, 10, strength=0), seeded.drawn_slices(px, 14, 10, shift=0), seeded.drawn_stretch(px, 14, 10, bands=0),
+    ):
+        assert (image_of(same, image) == image).all()
+    one, two = (image_of(seeded.grain(px, 14, 10, size=1, color=True, seed=5), image) for _ in range(2))
+    assert (one == two).all() and (one != image).any()
+    assert (image_of(seeded.bloom(px, 14, 10), image) >= image).all()
+    moved = image_of(seeded.drag(px, 14, 10, length=143, mix=100, blend="normal"), image)
+    y, x = np.mgrid[0:10, 0:14]
+    steps = 3
+    plain = np.zeros(image.shape)
+    for k in range(steps):
+        u = x + 143 * 14 / 1000 * k / steps
+        u0 = np.floor(u).astype(int)
+        f = (u - u0)[..., None]
+        plain += (image[y, np.clip(u0, 0, 13)] * (1 - f) + image[y, np.clip(u0 + 1, 0, 13)] * f) / steps
+    assert np.abs(moved - plain).max() <= 0.51
+
+
+def test_diffusion_keeps_the_light(spark):
+    grey = spark.range(1).select(F.lit(1).cast("long").alias("pic"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y"))
+    grey = grey.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("*", *[F.lit(100).alias(c) for c in "rgb"])
+    done = seeded.dither_diffusion(grey, 32, 32).agg(F.avg("r"), F.collect_set("r")).first()
+    assert abs(done[0] - 100) < 4 and sorted(done[1]) == [0, 255]
+
+
+def test_recipe_seeds():
+    assert parse_recipe("seed=7 vignette + grain size=3") == [("vignette", {}), ("grain", {"size": 3, "seed": 8})]
