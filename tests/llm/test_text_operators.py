@@ -275,3 +275,12 @@ def test_lm_score(spark, monkeypatch):
         assert abs(found[i]["target_loss"] - loss[0][i]) < 1e-4 and abs(found[i]["background_loss"] - loss[1][i]) < 1e-4
     assert np.mean([found[i]["score"] for i in range(41, 80, 2)]) < np.mean([found[i]["score"] for i in range(40, 80, 2)])
     assert lm_score.score(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
+
+
+@pytest.mark.parametrize("words", [0, 1, 3, 4, 7, 50, 10_000])
+def test_least_count(spark, words):
+    rnd = random.Random(words)
+    counts = [int(2 ** (10 * rnd.random())) for _ in range(300)]
+    least = lm_score.least_count(spark.createDataFrame([(c,) for c in counts], "everywhere long"), words)
+    lower = max((c for c in counts if c < least), default=None)
+    assert sum(c >= least for c in counts) <= words and (lower is None or sum(c >= lower for c in counts) > words)
