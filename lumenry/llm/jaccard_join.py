@@ -5,13 +5,14 @@ corpus-wide frequent shingles last, two sets of similarity ``t`` share a shingle
 the first ``n - ceil(t n) + 1`` of each. Documents with the same prefix and size form one
 group; only groups enter the inverted lists. Group pairs pass a length, a position and
 a parity-bitmap test, all of which never reject a true link, are expanded to their
-members, and are verified on the full sets.
+members, and are verified on the full sets. A parity bitmap has at least as many places
+as its set has elements, so that it stays sharp for long texts.
 
-A list of many groups is not expanded into pairs: it is cut into blocks, and a block
-gives the least spanning forest of its passing pairs. Candidates are verified nearest
-first and only where they join two components; afterwards every passing pair of the
-blocks that still crosses two components is verified too, so components are those of
-all links.
+At first a short list pairs its groups with one of them only. A list of many groups is
+cut into blocks, and a block gives the least spanning forest of its passing pairs. Candidates are verified nearest
+first and only where they join two components; afterwards every passing pair of any list
+that still crosses two components is verified too, so components are those of all links. A set is made again from its text for verification and sent once to each
+block that needs it.
 
 Which shingles count as frequent decides speed only: any choice is exact as long as all
 documents use the same one. It is taken over all documents, and its number is bounded
@@ -40,7 +41,7 @@ BITS = 1024
 SMALL_LIST = 24
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
-ROUNDS = 5
+VERIFY_SETS = 1024
 
 
 def _need(n, percent: int):
@@ -122,9 +123,10 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 prefix.append(own[: take[r]])
             bounds = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
             first = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+            size = np.maximum(BITS, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+            places = np.concatenate([[0], np.cumsum(size)])
             row = np.repeat(np.arange(rows), n)
-            odd = np.bincount(row * BITS + (flat & np.uint64(BITS - 1)).astype(np.int64), minlength=rows * BITS) & 1
-            bits = np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1)
+            odd = np.bincount(places[row] + (flat & (size[row] - 1).astype(np.uint64)).astype(np.int64), minlength=places[-1]) & 1
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
@@ -132,9 +134,7 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(_signed(_set_keys(flat, offsets))),
                     pa.array(_signed(_set_keys(first, bounds.astype(np.int64)) ^ n.astype(np.uint64))),
                     pa.ListArray.from_arrays(bounds, pa.array(_signed(first))),
-                    pa.ListArray.from_arrays(
-                        np.arange(rows + 1, dtype=np.int32) * (BITS // 64), pa.array(bits.reshape(-1).view(np.int64))
-                    ),
+                    pa.ListArray.from_arrays((places // 64).astype(np.int32), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64))),
                 ],
                 ["id", "n", "cid", "gid", "prefix", "bits"],
             )
@@ -155,7 +155,13 @@ def _bitmap_test(percent: int) -> str:
     return f"apart <= na + nb - 2 * ({_least_overlap(percent, 'na', 'nb')})"
 
 
-_APART = "aggregate(zip_with(bits_a, bits_b, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+def _folded(bits: str) -> str:
+    """A bitmap at the smaller length of a pair; the parities of twice the length fold by exclusive or."""
+    least = "least(size(bits_a), size(bits_b))"
+    return f"if(size({bits}) = {least}, {bits}, zip_with(slice({bits}, 1, {least}), slice({bits}, {least} + 1, {least}), (p, q) -> p ^ q))"
+
+
+_APART = f"aggregate(zip_with({_folded('bits_a')}, {_folded('bits_b')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
 
 
 def _pairs_within(pdf: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
@@ -163,7 +169,13 @@ def _pairs_within(pdf: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame
     pdf = pdf.drop_duplicates("cid")
     cid, n, side = pdf["cid"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["side"].to_numpy()
     pos, comp = pdf["pos"].to_numpy(np.int64), pdf["comp"].to_numpy()
-    bits = np.stack(pdf["bits"].to_numpy()).view(np.uint64)
+    bits = [b.view(np.uint64) for b in pdf["bits"].to_numpy()]
+    length = np.array([len(b) for b in bits])
+    row_at, table = np.zeros((len(cid), 2), np.int64), {}
+    for words in np.unique(np.concatenate([length, length[length > BITS // 64] // 2])):
+        own, twice = np.flatnonzero(length == words), np.flatnonzero(length == 2 * words)
+        row_at[own, 0], row_at[twice, 1] = np.arange(len(own)), len(own) + np.arange(len(twice))
+        table[words] = np.stack([*(bits[k] for k in own), *(bits[k][:words] ^ bits[k][words:] for k in twice)])
     one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     label, size = np.unique(comp, return_counts=True)
     probes = np.arange(len(cid)) if forest else np.flatnonzero(comp != label[np.argmax(size)])
@@ -180,7 +192,12 @@ def _pairs_within(pdf: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame
         need = -(-(n[other] + n[p]) * percent // (100 + percent))
         ok = 1 + np.minimum(n[other] - pos[other] - 1, n[p] - pos[p] - 1) >= need
         other, need = other[ok], need[ok]
-        apart = np.bitwise_count(bits[other] ^ bits[p]).sum(1, dtype=np.int64)
+        apart = np.zeros(len(other), np.int64)
+        for words in (length[p], length[p] // 2):
+            same = np.flatnonzero(np.minimum(length[other], length[p]) == words)
+            if len(same):
+                mine, theirs = row_at[p, int(length[p] > words)], row_at[other[same], (length[other[same]] > words).astype(int)]
+                apart[same] = np.bitwise_count(table[words][theirs] ^ table[words][mine]).sum(1, dtype=np.int64)
         ok = apart <= n[other] + n[p] - 2 * need
         found.append(np.stack([np.full(ok.sum(), p), other[ok], apart[ok]], 1))
     edges = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -214,45 +231,72 @@ def _in_blocks(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     )
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link. Only sets that a pair names are moved."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = sets.join(F.broadcast(named) if small_enough(named, BROADCAST_IDS) else named, "cid", "left_semi")
-    left, right = (sets.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    met = met.select("a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("both"))
-    return met.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
-
-
 def _labelled(df: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
 
 
-def _linked(candidates: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified edges among ``candidates(a, b, apart)``, and components in which none is left to test.
+def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``(cid, items)``: the shingle sets of the documents ``reps(id, cid)``, made again from their texts."""
+
+    def made(batches):
+        for _, flat, offsets in _slices(batches, width):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(_set_keys(flat, offsets))), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(_signed(flat)))],
+                ["cid", "items"],
+            )
 
-    As in Boruvka's algorithm each round verifies, for every component, the nearest
-    untested candidate that leaves it; after ``ROUNDS`` rounds all that are left.
+    ids = reps.select("id").dropna().distinct()
+    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    return docs.join(ids, "id", "left_semi").mapInArrow(made, "cid long, items array<long>")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` among candidates ``pairs(a, b, apart)`` that span all their links.
+
+    Pairs are dealt to blocks by the component of their candidate graph, large components
+    to block pairs, and each set goes once to a block that names it. A block verifies the
+    nearest pairs first and leaves out pairs whose ends its links already join.
     """
-    comp = candidates.select(F.col("a").alias("node"), F.col("a").alias("comp")).where("false")
-    edges, live = None, candidates.withColumns({"ca": F.col("a"), "cb": F.col("b")})
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            ends = live.select(F.col("ca").alias("c"), "apart", "a", "b").union(live.select("cb", "apart", "a", "b"))
-            tests = ends.groupBy("c").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        else:
-            tests = live.select("a", "b")
-        tests = materialise(tests, "tests")
-        found = materialise(_verify(tests, sets, percent), "edges")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
-        if turn == ROUNDS:
-            break
-        rest = live.select("a", "b", "apart").join(tests, ["a", "b"], "left_anti")
-        live = materialise(_labelled(_labelled(rest, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb"), "live")
-        if live.isEmpty():
-            break
-    return edges, comp
+    comp = components(pairs)
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
+    small = max(1, comp.count() // VERIFY_SETS)
+    placed = pairs.join(comp.withColumnRenamed("node", "a"), "a").join(sizes, "comp").withColumn("k", F.expr(f"cast(ceil(c / {VERIFY_SETS}.0) as int)"))
+    sides = [F.pmod(F.xxhash64(x), F.col("k")) for x in "ab"]
+    lone = F.col("k") == 1
+    placed = placed.select(
+        "a", "b", "apart",
+        F.when(lone, F.pmod(F.xxhash64("comp"), F.lit(small))).otherwise(F.col("comp")).alias("block"),
+        F.when(lone, F.lit(-1)).otherwise(F.least(*sides)).cast("int").alias("i"),
+        F.when(lone, F.lit(-1)).otherwise(F.greatest(*sides)).cast("int").alias("j"),
+    )
+    key = ["block", "i", "j"]
+    placed = materialise(placed, "placed")
+    named = placed.select(*[F.col(k).alias(k) for k in key], F.explode(F.array("a", "b")).alias("cid")).distinct()
+    reps = named.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("id")), "cid")
+    held = _sets(docs, reps, width).join(F.broadcast(named) if small_enough(named, BROADCAST_IDS) else named, "cid")
+
+    def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        items, root = dict(zip(sets["cid"], sets["items"])), {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        kept = []
+        for a, b in pairs.sort_values(["apart", "a", "b"])[["a", "b"]].itertuples(index=False):
+            p, q = find(a), find(b)
+            if p != q and a in items and b in items:
+                one, two = items[a], items[b]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    root[p] = q
+                    kept.append((a, b))
+        return pd.DataFrame(kept, columns=["a", "b"])
+
+    met = placed.groupBy(*key).cogroup(held.groupBy(*key))
+    return materialise(met.applyInPandas(verify, "a long, b long"), "verified")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,7 +309,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives a null component and lends its component no name. An empty table gives
     no rows. Other columns are neither read nor returned.
     """
-    spark = docs.sparkSession
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = materialise(_describe(docs, width, percent), "described")
     full = every.where("n > 0")
@@ -275,25 +320,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     groups = full.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "h"))
-    lists = postings.withColumn("cnt", F.count("*").over(W.partitionBy("h"))).where("cnt > 1")
+    list_of = W.partitionBy("h")
+    lists = postings.withColumn("cnt", F.count("*").over(list_of)).withColumn("hub", F.min(F.struct("gid", "n", "pos")).over(list_of)).where("cnt > 1")
     lists = materialise(lists, "lists")
-
     short = lists.where(F.col("cnt") <= SMALL_LIST)
-    x, y = (short.select("h", F.col("gid").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")) for s in "ab")
-    group_pairs = (
-        x.join(y, "h")
-        .where("ga < gb")
-        .where(_fits(percent, "na", "nb"))
-        .where(f"1 + least(na - pa - 1, nb - pb - 1) >= {_least_overlap(percent, 'na', 'nb')}")
-        .select("ga", "gb")
-        .distinct()
-    )
+
+    def group_pairs(met: DataFrame) -> DataFrame:
+        """Distinct group pairs of ``met(ga, na, pa, gb, nb, pb)`` that pass the length and position tests."""
+        met = met.where(_fits(percent, "na", "nb")).where(f"1 + least(na - pa - 1, nb - pb - 1) >= {_least_overlap(percent, 'na', 'nb')}")
+        return met.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+
+    def expanded(pairs: DataFrame) -> DataFrame:
+        """Group pairs as pairs of their members that pass the bitmap test."""
+        left, right = (classes.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+        met = pairs.join(left, "ga").join(right, "gb").where("a <> b").withColumn("apart", F.expr(_APART)).where(_bitmap_test(percent))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
+
+    hubs = short.selectExpr("hub.gid ga", "hub.n na", "hub.pos pa", "gid gb", "n nb", "pos pb").where("ga <> gb")
     crowd = classes.groupBy("gid").agg(F.count("*").alias("cnt")).where("cnt > 1")
     same = crowd.where(F.col("cnt") <= SMALL_LIST).select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    left, right = (classes.select(F.col("gid").alias(f"g{s}"), F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    few = group_pairs.union(same).join(left, "ga").join(right, "gb").where("a <> b")
-    few = few.withColumn("apart", F.expr(_APART)).where(_bitmap_test(percent))
-    few = few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
+    few = expanded(group_pairs(hubs).union(same))
 
     long_rows = lists.where(F.col("cnt") > SMALL_LIST).select(F.col("h").alias("key"), "gid", "pos", "cnt")
     long_rows = long_rows.union(crowd.where(F.col("cnt") > SMALL_LIST).select(F.col("gid").alias("key"), "gid", F.lit(0).alias("pos"), "cnt"))
@@ -302,28 +348,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many = _in_blocks(long_rows.withColumn("comp", F.col("cid")), percent, True)
     candidates = materialise(few.union(many).distinct(), "candidates")
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("cid")).union(long_rows.select("cid")).distinct()
-    reps = materialise(wanted.join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("id"), "cid").dropna(), "wanted")
-    ids = reps.select("id").distinct()
-    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-
-    def as_sets(batches):
-        for _, flat, offsets in _slices(batches, width):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(_set_keys(flat, offsets))), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(_signed(flat)))],
-                ["cid", "items"],
-            )
-
-    sets = materialise(docs.join(ids, "id", "left_semi").mapInArrow(as_sets, "cid long, items array<long>").dropDuplicates(["cid"]), "sets")
-
-    edges, comp = _linked(candidates, sets, percent)
-    mixed = _labelled(long_rows, comp, "cid", "comp")
-    split = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    crossing = _in_blocks(mixed.join(split, "key", "left_semi"), percent, False)
-    crossing = materialise(crossing.distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    edges = _verified(candidates, classes, docs, width, percent)
+    comp = components(edges)
+
+    def split_lists(rows: DataFrame, key: str) -> DataFrame:
+        """Rows of the lists that hold more than one component."""
+        torn = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key)
+        return rows.join(torn, key, "left_semi")
+
+    named = materialise(_labelled(classes.select("cid", "gid", "rep"), comp, "cid", "comp"), "named")
+    # a group whose members are apart counts as a component of its own
+    of_group = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("gid")).alias("comp"))
+    torn = split_lists(short.join(of_group, "gid").select("h", "gid", "n", "pos", "comp"), "h")
+    x, y = (torn.select("h", F.col("gid").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("comp").alias(f"c{s}")) for s in "ab")
+    few = expanded(group_pairs(x.join(y, "h").where("ga < gb and ca <> cb")))
+    many = _in_blocks(split_lists(long_rows.join(named.select("cid", "comp"), "cid"), "key"), percent, False)
+    crossing = few.union(many).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    crossing = materialise(crossing, "crossing")
     if not crossing.isEmpty():
-        more, _ = _linked(crossing, sets, percent)
-        comp = components(edges.union(more))
+        comp = components(edges.union(_verified(crossing, classes, docs, width, percent)))
 
     named = _labelled(classes.select("cid", "rep"), comp, "cid", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
