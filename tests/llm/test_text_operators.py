@@ -284,3 +284,17 @@ def test_least_count(spark, words):
     least = lm_score.least_count(spark.createDataFrame([(c,) for c in counts], "everywhere long"), words)
     lower = max((c for c in counts if c < least), default=None)
     assert sum(c >= least for c in counts) <= words and (lower is None or sum(c >= lower for c in counts) > words)
+
+
+def test_jaccard_join_of_long_texts(spark):
+    """Sets on both sides of a bitmap length."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base, data = [rnd.choice(vocabulary) for _ in range(1035)], []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rnd.randrange(60)):
+            own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+        data.append((k, " ".join(own[: rnd.randrange(990, 1036)])))
+    found = jaccard_join.jaccard_components(spark.createDataFrame(data, DOCS), width=4, percent=85)
+    assert rows(found) == plain.jaccard(data, 4, 85)
