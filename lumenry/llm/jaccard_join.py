@@ -359,7 +359,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = materialise(_labelled(classes.select("cid", "gid", "rep"), comp, "cid", "comp"), "named")
     # a group whose members are apart counts as a component of its own
     of_group = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("gid")).alias("comp"))
-    torn = split_lists(short.join(of_group, "gid").select("h", "gid", "n", "pos", "comp"), "h")
+    # every pair with the hub was a candidate before, so the hub and lists of two have nothing left
+    others = short.where("cnt > 2 and gid <> hub.gid").select("h", "gid", "n", "pos")
+    torn = split_lists(others.join(of_group, "gid"), "h")
     x, y = (torn.select("h", F.col("gid").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("comp").alias(f"c{s}")) for s in "ab")
     few = expanded(group_pairs(x.join(y, "h").where("ga < gb and ca <> cb")))
     many = _in_blocks(split_lists(long_rows.join(named.select("cid", "comp"), "cid"), "key"), percent, False)
