@@ -8,8 +8,9 @@ a parity-bitmap test, all of which never reject a true link, are expanded to the
 members, and are verified on the full sets. A parity bitmap has at least as many places
 as its set has elements, so that it stays sharp for long texts.
 
-At first a short list pairs its groups with one of them only. A list of many groups is
-cut into blocks, and a block gives the least spanning forest of its passing pairs. Candidates are verified nearest
+At first a short list pairs its groups with one of them only, and a group enters only its
+few longest lists of many groups. Such a list is cut into blocks, and a block gives the
+least spanning forest of its passing pairs. Candidates are verified nearest
 first and only where they join two components; afterwards every passing pair of any list
 that still crosses two components is verified too, so components are those of all links. A set is made again from its text for verification and sent once to each
 block that needs it.
@@ -21,6 +22,7 @@ by the mean set size times ``FREQUENT_SHARE``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ FREQUENT_MOST = 1_000_000
 BITS = 1024
 SMALL_LIST = 24
 BLOCK = 1024
+FIRST_LISTS = 2
 BROADCAST_IDS = 1_000_000
 VERIFY_SETS = 1024
 
@@ -222,7 +225,7 @@ def _pairs_within(pdf: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame
 
 
 def _in_blocks(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Passing pairs of long lists ``rows(key, cid, n, pos, bits, cnt, comp)``, block pair by block pair."""
+    """Passing pairs of long lists ``rows(key, cid, n, pos, bits, cnt, comp, ...)``, block pair by block pair."""
     cut = rows.withColumn("k", F.expr(f"cast(ceil(cnt / {BLOCK}.0) as int)")).withColumn("side", F.expr("cast(pmod(xxhash64(cid), k) as int)"))
     met = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     met = met.withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")).drop("o", "k", "cnt")
@@ -231,6 +234,21 @@ def _in_blocks(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     )
 
 
+def _near_strangers(rows: DataFrame, percent: int) -> DataFrame:
+    """Groups ``rows(key, gid, n, comp, apart, ...)`` that may have a link across components left in their long list.
+
+    That is a group whose members are ``apart``, or with a group of another component and about its size in the list.
+    Sizes fall into classes a little wider than the length test allows, so partners are at most one class apart.
+    """
+    step = max(math.log(100 / percent), 0.01) * 1.001
+    rows = rows.withColumn("size_class", F.floor(F.log("n") / step).cast("int"))
+    held = rows.groupBy("key", "size_class").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("apart").alias("apart"))
+    about = held.select("key", F.explode(F.expr("sequence(size_class - 1, size_class + 1)")).alias("size_class"), "lo", "hi", "apart")
+    torn = about.groupBy("key", "size_class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("apart").alias("apart"))
+    torn = torn.where("lo <> hi or apart").select("key", "size_class")
+    return rows.join(torn, ["key", "size_class"], "left_semi")
+
+
 def _labelled(df: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
 
@@ -343,28 +361,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     long_rows = lists.where(F.col("cnt") > SMALL_LIST).select(F.col("h").alias("key"), "gid", "pos", "cnt")
     long_rows = long_rows.union(crowd.where(F.col("cnt") > SMALL_LIST).select(F.col("gid").alias("key"), "gid", F.lit(0).alias("pos"), "cnt"))
-    long_rows = long_rows.join(classes.drop("rep"), "gid").select("key", "cid", "n", "pos", "bits", "cnt")
-    long_rows = materialise(long_rows, "long-lists")
-    many = _in_blocks(long_rows.withColumn("comp", F.col("cid")), percent, True)
+    longest = F.row_number().over(W.partitionBy("gid").orderBy(F.desc("cnt"), "key"))
+    long_rows = materialise(long_rows.withColumn("turn", longest), "long-lists")
+    members = classes.select("gid", "cid", "n", "bits", F.col("cid").alias("comp"))
+    first = long_rows.where(F.col("turn") <= FIRST_LISTS).join(members, "gid")
+    many = _in_blocks(first, percent, True)
     candidates = materialise(few.union(many).distinct(), "candidates")
 
     edges = _verified(candidates, classes, docs, width, percent)
     comp = components(edges)
 
     def split_lists(rows: DataFrame, key: str) -> DataFrame:
-        """Rows of the lists that hold more than one component."""
+        """Rows of the lists that hold more than one component; the rest is within one already."""
         torn = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key)
         return rows.join(torn, key, "left_semi")
 
-    named = materialise(_labelled(classes.select("cid", "gid", "rep"), comp, "cid", "comp"), "named")
+    named = materialise(_labelled(classes, comp, "cid", "comp"), "named")
     # a group whose members are apart counts as a component of its own
-    of_group = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("gid")).alias("comp"))
+    of_group = named.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    one = F.col("lo") == F.col("hi")
+    of_group = of_group.select("gid", "n", F.when(one, F.col("lo")).otherwise(F.col("gid")).alias("comp"), (~one).alias("apart"))
     # every pair with the hub was a candidate before, so the hub and lists of two have nothing left
     others = short.where("cnt > 2 and gid <> hub.gid").select("h", "gid", "n", "pos")
-    torn = split_lists(others.join(of_group, "gid"), "h")
+    torn = split_lists(others.join(of_group.select("gid", "comp"), "gid"), "h")
     x, y = (torn.select("h", F.col("gid").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("comp").alias(f"c{s}")) for s in "ab")
     few = expanded(group_pairs(x.join(y, "h").where("ga < gb and ca <> cb")))
-    many = _in_blocks(split_lists(long_rows.join(named.select("cid", "comp"), "cid"), "key"), percent, False)
+    left = _near_strangers(long_rows.join(of_group, "gid"), percent).select("key", "gid", "pos", "cnt")
+    many = _in_blocks(left.join(named.select("gid", "cid", "n", "bits", "comp"), "gid"), percent, False)
     crossing = few.union(many).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
     crossing = materialise(crossing, "crossing")
     if not crossing.isEmpty():
