@@ -1,14 +1,15 @@
 """Operator 10: language-model scores by cross-entropy difference.
 
 A target model is learned from chosen documents, a background model from all documents.
-Both are class bigram models over one vocabulary, the most frequent words of all documents:
-the first ``HEAD`` words are classes of their own, the other words one class, words outside
+``score_words``, which the query runs, takes bigram models over all words and word pairs.
+In ``score`` both are class bigram models over one vocabulary, the most frequent words of all
+documents: the first ``HEAD`` words are classes of their own, the other words one class, words outside
 the vocabulary another. A word's probability is that of its class after the class before
 it, mixed with the class's frequency, times its share in its class. Both models are
 smoothed alike, and a document's score is its mean loss under the target model less that
 under the background model: low scores are like the target.
 
-Word counts and class-pair counts are taken over whole texts of all documents and are
+In ``score`` word counts and class-pair counts are taken over whole texts of all documents and are
 shuffled; only the vocabulary and one table of class pairs per model, both bounded by
 parameters, are broadcast.
 """
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import wordhash
 from .store import materialise, small_enough
@@ -28,11 +31,16 @@ HEAD = 1_500
 MIXED = 0.7
 SMOOTHING = 0.5
 BROADCAST_IDS = 1_000_000
+HELD = 1 << 19
+SLICE = 2 << 20
+START, END = np.uint64(0xA5C3F10E96D2B487), np.uint64(0x5E1B7D942CF60A3B)
+NAMES = ["name", "key", "w", "code"]
+OWN = [*NAMES, "w_t", "w_e"]
 
 
-def _texts(batches):
+def _texts(batches, limit: int = 8 << 20):
     for batch in batches:
-        for lo, hi in wordhash.slices(batch.column("text"), 8 << 20):
+        for lo, hi in wordhash.slices(batch.column("text"), limit):
             own = {c: batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"}
             yield own, *wordhash.words(batch.column("text").slice(lo, hi - lo))
 
@@ -42,13 +50,20 @@ def _chosen(own: dict, first: np.ndarray) -> np.ndarray:
     return np.repeat(own["chosen"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(h, everywhere, target)``: how often each word hash occurs in ``docs(text, chosen)``."""
+def word_counts(docs: DataFrame, starts: bool = False) -> DataFrame:
+    """``(h, everywhere, target)``: how often each word hash occurs in ``docs(text, chosen)``.
+
+    With ``starts`` every text with words counts as an occurrence of ``START`` too.
+    """
 
     def counted(batches):
         for own, hashed, first in _texts(batches):
+            of_target = _chosen(own, first)
+            if starts:
+                opened = first[:-1][first[:-1] < first[1:]]
+                hashed, of_target = np.concatenate([hashed, np.full(len(opened), START)]), np.concatenate([of_target, of_target[opened]])
             value, where, count = np.unique(hashed, return_inverse=True, return_counts=True)
-            target = np.bincount(where[_chosen(own, first)], minlength=len(value))
+            target = np.bincount(where[of_target], minlength=len(value))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(target.astype(np.int64))], ["h", "everywhere", "target"]
             )
@@ -186,7 +201,164 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     return rows.mapInArrow(scored, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
 
 
+class Words:
+    """The most frequent words and ``START``, by ascending hash, with their counts ``(target, everywhere)``.
+
+    ``head`` numbers the first ``HEAD`` of them, -1 elsewhere. A word that is not here is rare,
+    not unknown: its counts come with its shuffled occurrences.
+    """
+
+    def __init__(self, hashes: np.ndarray, target: np.ndarray, everywhere: np.ndarray, sums: tuple[int, int], types: int) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], np.stack([target[order], everywhere[order]])
+        first = np.lexsort((self.hashes, -self.counts[1]))[:HEAD]
+        self.head, self.size = np.full(len(hashes), -1, np.int64), len(first)
+        self.head[first] = np.arange(len(first))
+        self.of_head = self.counts[:, first]
+        self.sums, self.types = sums, types
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashed), max(0, len(self.hashes) - 1))
+        return np.where(self.hashes[at] == hashed, at, -1) if len(self.hashes) else np.full(len(hashed), -1)
+
+    def log(self, model: int, pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log probability of words, from the counts of pair, word before and word."""
+        own = (word + SMOOTHING) / (self.sums[model] + SMOOTHING * self.types)
+        return np.log(MIXED * (pair + SMOOTHING * own) / (before + SMOOTHING) + (1 - MIXED) * own)
+
+
+def _pairs(known: Words, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the word before each word, and the places of both in ``known``."""
+    before = np.concatenate([[START], hashed[:-1]])[: len(hashed)].astype(np.uint64)
+    before[first[:-1][first[:-1] < first[1:]]] = START
+    at, open_ = known.find(hashed), known.find(np.array([START], np.uint64))[0]
+    at_before = np.concatenate([[open_], at[:-1]])[: len(at)]
+    at_before[before == START] = open_
+    return before, at_before, at
+
+
+def _names(own: dict, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash for each row of its id and words: equal rows, which score alike, share it."""
+    position = (np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(hashed + position * np.uint64(0x9FB21C651E98DF25)), dtype=np.uint64)])
+    name = own["id"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    name = wordhash.mix(name + own["id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint64) * END)
+    return wordhash.mix(name + run[first[1:]] - run[first[:-1]])
+
+
+def score_words(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score``, by bigram models over all words and word pairs instead of classes.
+
+    A word's probability after another is mixed from that of the pair and, as the back-off, of
+    the word alone; every word and every pair has counts of its own. Pairs within the ``HEAD``
+    most frequent words are counted in a table that each task adds to, and scored in place. Every
+    other occurrence is shuffled once by its pair, or by the word before if that is rare, and meets
+    its counts there, as an occurrence of a rare word first meets the word's. What is frequent
+    is thus never a shuffle key, and what is broadcast saves shuffles but decides no count.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = target_ids.select(F.col(id_col).cast("long").alias("id")).dropna().distinct().withColumn("chosen", F.lit(True))
+    chosen = F.broadcast(chosen) if small_enough(chosen, BROADCAST_IDS) else chosen
+    learned = rows.join(chosen, "id", "left").select("id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    counts = materialise(word_counts(learned.select("text", "chosen"), starts=True), "word-counts")
+    opening = F.col("h") == int(START.view(np.int64))
+    total = counts.where(~opening).agg(F.sum("target"), F.sum("everywhere"), F.count("*")).first()
+    held = counts.where((F.col("everywhere") >= least_count(counts, HELD)) | opening).toPandas()
+    held = [held[c].to_numpy(np.int64) for c in ("h", "target", "everywhere")]
+    words = Words(held[0].view(np.uint64), held[1], held[2], (total[0] or 0, total[1] or 0), total[2])
+    shared, size = spark.sparkContext.broadcast(words), words.size
+
+    def paired(batches):
+        known, table = shared.value, np.zeros((2, size * size), np.int64)
+        for own, hashed, first in _texts(batches, SLICE):
+            _, before, at = _pairs(known, hashed, first)
+            before, at = (np.where(x >= 0, known.head[x], -1) if len(known.head) else x for x in (before, at))
+            both, target = (before >= 0) & (at >= 0), _chosen(own, first)
+            pair = before * size + at
+            for k, part in enumerate((pair[both & target], pair[both])):
+                value, count = np.unique(part, return_counts=True)
+                table[k, value] += count
+        at = np.flatnonzero(table[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[0, at]), pa.array(table[1, at])], ["pair", "target", "everywhere"])
+
+    pairs = learned.mapInArrow(paired, "pair long, target long, everywhere long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("everywhere").alias("everywhere"))
+    table = np.zeros((2, size * size))
+    for batch in materialise(pairs, "head-pairs").toArrow().to_batches():
+        at = batch.column("pair").to_numpy()
+        table[0, at], table[1, at] = batch.column("target").to_numpy(), batch.column("everywhere").to_numpy()
+    of_head = words.of_head
+    logs = [words.log(k, table[k].reshape(size, size), of_head[k][:, None], of_head[k][None, :]).reshape(-1) for k in range(2)]
+    models = spark.sparkContext.broadcast(logs)
+
+    # A line is an occurrence: code holds, from the lowest bit, whether it is of the target, whether both words
+    # are held, and the places of both, which in that case are the key instead. Or it is a row's own line, its
+    # code negative: then it holds the number of words, the losses' bits and, last, the id.
+    def occurrences(rare):
+        def found(batches):
+            known = shared.value
+            for own, hashed, first in _texts(batches, SLICE):
+                name, count = _names(own, hashed, first), np.diff(first)
+                row, target = np.repeat(np.arange(len(count)), count), _chosen(own, first)
+                before, at_before, at = _pairs(known, hashed, first)
+                if rare:
+                    go = at < 0
+                else:
+                    head = [np.where(x >= 0, known.head[x], -1) if len(known.head) else x for x in (at_before, at)]
+                    both = (head[0] >= 0) & (head[1] >= 0)
+                    go = (at >= 0) & ~both
+                    sums = [np.bincount(row[both], log[(head[0] * size + head[1])[both]], len(count)).astype(float).view(np.int64) for log in models.value]
+                held, places = (at_before >= 0) & (at >= 0), (at_before + 1 << 33) + (at + 1 << 2)
+                key = np.where(at_before >= 0, wordhash.mix(before * np.uint64(0x9FB21C651E98DF25) + hashed), before).view(np.int64)
+                key, code = np.where(held, places, key), np.where(held, 2, places) + target
+                w = np.where((at_before >= 0) & (at >= 0), 0, hashed.view(np.int64))
+                lines = [(name[row[go]], key[go], w[go], code[go])]
+                if not rare:
+                    # where a text ends with a rare word, that word occurs before nothing
+                    ends = first[1:][count > 0] - 1
+                    ends = ends[at[ends] < 0]
+                    lines.append((name[row[ends]], hashed[ends].view(np.int64), np.full(len(ends), END).view(np.int64), target[ends].astype(np.int64)))
+                    lines.append((name, name.view(np.int64), sums[0], -1 - count))
+                name, key, w, code = (np.concatenate(x) for x in zip(*lines))
+                columns = [pa.array(name.view(np.int64)), *map(pa.array, (key, w, code.astype(np.int64)))]
+                if not rare:
+                    nothing = pa.nulls(len(name) - len(count), pa.int64())
+                    columns += [pa.concat_arrays([nothing, pa.array(sums[1])]), pa.concat_arrays([nothing, own["id"]])]
+                yield pa.RecordBatch.from_arrays(columns, NAMES if rare else OWN)
+
+        return learned.mapInArrow(found, ", ".join(f"{c} long" for c in (NAMES if rare else OWN)))
+
+    def met(df, by, name):
+        over = W.partitionBy(*by)
+        return df.withColumn(f"{name}_t", F.sum(F.col("code").bitwiseAND(1)).over(over)).withColumn(f"{name}_e", F.count("code").over(over))
+
+    rest = met(occurrences(True), ["w"], "w").unionByName(occurrences(False)).repartition("key")
+    rest = met(met(rest, ["key", "w"], "pair"), ["key"], "key")
+
+    def weighed(batches):
+        known = shared.value
+        for batch in batches:
+            get = lambda c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            code, loss = get("code"), []
+            line, places = code < 0, np.where(code & 2, get("key"), code)
+            before, at = np.where(line, -1, (places >> 33) - 1), np.where(line, -1, (places >> 2 & 0x7FFFFFFF) - 1)
+            counts = ~line & (get("w") != END.view(np.int64))
+            for k, m in enumerate("te"):
+                c_before, c_word = (np.where(x >= 0, known.counts[k][x] if len(known.counts[k]) else 0, get(c)) for x, c in ((before, f"key_{m}"), (at, f"w_{m}")))
+                own = known.log(k, get(f"pair_{m}"), *(np.where(counts, c, 0) for c in (c_before, c_word)))
+                loss.append(pa.array(np.where(line, get(("w", "w_t")[k]).view(np.float64), np.where(counts, own, 0.0))))
+            rows_, words_ = line.astype(np.int64), np.where(line, -1 - code, 0)
+            own_id = pc.if_else(pa.array(line), batch.column("w_e"), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), own_id, pa.array(rows_), pa.array(words_), *loss], ["name", "id", "n_rows", "n_tokens", "target", "background"])
+
+    lines = rest.mapInArrow(weighed, "name long, id long, n_rows long, n_tokens long, target double, background double")
+    sums = lines.groupBy("name").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "target", "background")))
+    mean = [F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).alias(f"{c}_loss") for c in ("target", "background")]
+    each = sums.select("id", F.expr("n_tokens div n_rows").alias("n_tokens"), *mean, F.explode(F.expr("array_repeat(0, cast(n_rows as int))")))
+    return each.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     """Every document, scored against the documents that are labelled as of good quality and not toxic."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good.select("doc_id"))
+    return score_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), good.select("doc_id"))

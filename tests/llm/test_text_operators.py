@@ -277,6 +277,36 @@ def test_lm_score(spark, monkeypatch):
     assert lm_score.score(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
 
 
+@pytest.mark.parametrize(("head", "most"), [(6, 12), (0, 0), (1_500, 65_536)])
+def test_lm_score_counts_all_words(spark, monkeypatch, head, most):
+    """Every word and pair has its own counts, however few words are kept at hand."""
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    monkeypatch.setattr(lm_score, "HELD", most)
+    rnd = random.Random(3)
+    data = [(k, " ".join(rnd.choice("abcdefghij" if k % 2 else "fghijklmno") + rnd.choice(["", "", str(rnd.randrange(40))]) for _ in range(30))) for k in range(80)] + ODD
+    chosen = [k for k in range(40) if k % 2]
+    df = spark.createDataFrame(data, DOCS).withColumn("h", F.lit(1))
+    found = rows(lm_score.score_words(df, spark.createDataFrame([(k,) for k in [*chosen, None, 1]], "doc_id long")))
+    expected = [[], []]
+    types = len({w for _, t in data for w in plain.words(t)})
+    for loss, part in zip(expected, ([plain.words(t) for i, t in data if i in chosen], [plain.words(t) for _, t in data])):
+        own = Counter(w for ws in part for w in ws)
+        pairs = Counter(p for ws in part for p in zip([None, *ws], ws))
+        total, own[None] = sum(own.values()), sum(bool(ws) for ws in part)
+        alone = lambda w: (own[w] + 0.5) / (total + 0.5 * types)  # noqa: E731, B023
+        chance = lambda a, w: 0.7 * (pairs[a, w] + 0.5 * alone(w)) / (own[a] + 0.5) + 0.3 * alone(w)  # noqa: E731, B023
+        for _, t in data:
+            ws = plain.words(t)
+            loss.append(-np.mean([np.log(chance(a, w)) for a, w in zip([None, *ws], ws)]) if ws else None)
+    plainly = sorted(((i, len(plain.words(t)), a, b, None if a is None else a - b) for (i, t), a, b in zip(data, *expected)), key=lambda r: str(r[:2]))
+    found.sort(key=lambda r: str(r[:2]))
+    assert len(found) == len(data)
+    for got, want in zip(found, plainly):
+        assert got[:2] == want[:2] and (got[2] is None) == (want[2] is None)
+        assert want[2] is None or np.allclose(got[2:], want[2:], atol=1e-9)
+    assert lm_score.score_words(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
+
+
 @pytest.mark.parametrize("words", [0, 1, 3, 4, 7, 50, 10_000])
 def test_least_count(spark, words):
     rnd = random.Random(words)
