@@ -70,7 +70,7 @@ def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, largest: float) -> pd.DataFrame:
-    """The ``top`` of one block for each query, by inner product, then id."""
+    """The ``top`` ids of one block for each query, by inner product, then id; an id counts by its best row."""
     dims, q = vectors.shape[1], len(queries)
     matrix, point = projection(dims + 1), chi_square_point(MISS, PROJECTED)
     fill = np.sqrt(np.maximum(0, largest**2 - (vectors * vectors).sum(1)))
@@ -83,7 +83,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         gap = np.maximum(0, np.maximum(low[rows].min(0) - query_low, query_low - low[rows].max(0)))
         reach[:, k] = (gap * gap).sum(1)
     order = np.argsort(reach, axis=1, kind="stable")
-    best = np.full((q, top), -np.inf)
+    best, best_id = np.full((q, top), -np.inf), np.full((q, top), -1)
+    names, number = np.unique(ids, return_inverse=True)
+    unique = len(names) == len(ids)
     active, found = np.arange(q), []
     for step in range(len(leaves)):
         at = order[active, step]
@@ -102,11 +104,24 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             i, j = np.nonzero((score >= best[who].min(1)[:, None] - TIE) & np.isfinite(score))
             found.append((who[i], rows[j]))
             both = np.concatenate([best[who], score], 1)
-            best[who] = -np.partition(-both, top - 1, axis=1)[:, :top]
+            if unique:
+                best[who] = -np.partition(-both, top - 1, axis=1)[:, :top]
+                continue
+            named = np.concatenate([best_id[who], np.broadcast_to(number[rows], score.shape)], 1)
+            # by id and then score: all but the best row of an id leave the bound
+            turn_ = np.lexsort((-both, named), axis=1)
+            both, named = np.take_along_axis(both, turn_, 1), np.take_along_axis(named, turn_, 1)
+            both[:, 1:][named[:, 1:] == named[:, :-1]] = -np.inf
+            first = np.argpartition(-both, top - 1, axis=1)[:, :top]
+            best[who], best_id[who] = np.take_along_axis(both, first, 1), np.take_along_axis(named, first, 1)
     who, row = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
     score = (queries[who] * vectors[row]).sum(1)
     turn = np.lexsort((ids[row], -score, who))
     who, row, score = who[turn], row[turn], score[turn]
+    if not unique:
+        _, at = np.unique(np.stack([who, number[row]]), axis=1, return_index=True)
+        at.sort()
+        who, row, score = who[at], row[at], score[at]
     rank = np.arange(len(who)) - np.searchsorted(who, who, "left")
     keep = rank < top
     return pd.DataFrame({"query_id": query_ids[who[keep]], "vec_id": ids[row[keep]], "score": score[keep]})
@@ -127,7 +142,7 @@ def nearest(
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         return own.where(F.col("id").isNotNull() & F.expr(usable("v")))
 
-    base, asked = materialise(clean(vectors), "candidates"), clean(queries)
+    base, asked = materialise(clean(vectors).distinct(), "candidates"), clean(queries)
     shape = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")).alias("norm"))
     shape = shape.orderBy(F.desc("n"), F.desc("d")).first()
     dims, count, largest = (shape["d"], shape["n"], shape["norm"]) if shape else (1, 0, 1.0)

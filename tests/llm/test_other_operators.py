@@ -183,6 +183,29 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert projection_search.nearest(few.limit(0), few.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("other", [0.0, 1e-3])
+def test_nearest_neighbours_of_repeated_ids(spark, monkeypatch, other):
+    """Rows that repeat an id, alike or a little apart, push no neighbour out of one block."""
+    monkeypatch.setattr(projection_search, "LEAF", 20)
+    data = cloud(4, 200)
+    again = [(i, [x * (1 - other) for x in v]) for i, v in data]
+    query = spark.createDataFrame(data[:10], VECTORS)
+    v = {i: np.array(x, np.float32).astype(float) for i, x in data}
+    w = {i: np.array(x, np.float32).astype(float) for i, x in again}
+    near = max(v, key=lambda j: float((v[0] * v[j]).sum()) if j else -np.inf)
+    df = spark.createDataFrame(data + again + [(near, [x * (1 - other * k) for x in v[near].tolist()]) for k in range(30)], VECTORS)
+    found = {}
+    for r in projection_search.nearest(df, query, top=10).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hit = 0
+    for i, _ in data[:10]:
+        score = {j: max(float((v[i] * v[j]).sum()), float((v[i] * w[j]).sum())) for j in v if j != i}
+        best = sorted(score, key=lambda j: (-score[j], j))[:10]
+        assert len(found[i]) == 10 and (other or all(abs(s - score[j]) < 1e-9 for j, s in found[i].items()))
+        hit += len(set(best) & set(found[i]))
+    assert hit >= 95
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     draws = (rng.standard_normal((200_000, 12)) ** 2).sum(1)
