@@ -3,8 +3,9 @@
 Texts and templates are normalised to lower-case words without punctuation and become
 bigrams. A template of n bigrams can reach the least coefficient only in a document with
 enough bigrams, and only where enough of its own occur; both bounds prune most (document,
-template) pairs. In the rest, every window of the template's size that begins at one of
-its bigrams is compared, over the whole text, and the best of overlapping ones is kept.
+template) pairs. In the rest, windows that begin at one of its bigrams are compared, over the whole
+text, and the best of overlapping ones is kept: windows of the template's size, or, with
+``any_length`` as in the query, windows of every length.
 """
 
 from __future__ import annotations
@@ -53,6 +54,15 @@ def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs[keep], np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(first) - 1))])
 
 
+def neighbours(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the last and the next place of the same value, -1 and the length where there is none."""
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    before, after = np.full(len(flat), -1), np.full(len(flat), len(flat))
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    return before, after
+
+
 class Templates:
     """Distinct bigrams of all templates, ascending, and for each of them the templates that hold it."""
 
@@ -74,16 +84,47 @@ class Templates:
         same = self.known[number] == flat[at] if len(self.known) else np.zeros(0, bool)
         return at[same], number[same]
 
-    def spans(self, flat: np.ndarray, at: np.ndarray, number: np.ndarray, least: float) -> list[tuple[str, float, int, int]]:
+    def windows(self, size: int, place: np.ndarray, before: np.ndarray, after: np.ndarray, least: float) -> list[tuple[float, int, int]]:
+        """For every hit of a template of ``size`` bigrams the best window that begins there, if it reaches ``least``.
+
+        ``before`` and ``after`` hold the places of the last and next equal bigram. A window of more than
+        ``most`` distinct bigrams cannot reach the least; one that holds its first bigram again is no
+        better than that without the first, and one that ends beside a hit no better than a shorter.
+        """
+        own, best = np.zeros(len(before), bool), []
+        own[place] = True
+        most, need = (2 - least) / least * size + 1e-9, math.ceil(least * size / (2 - least) - 1e-9)
+        ends = np.searchsorted(place, after[place], "left") - np.arange(len(place))
+        for a in place[ends >= need]:
+            end, length = int(after[a]), 2 * int(most) + 2
+            while True:
+                b = min(end, a + length)
+                new = before[a:b] < a
+                window = np.cumsum(new)
+                if b == end or window[-1] > most:
+                    break
+                length *= 2
+            dice = 2 * np.cumsum(new & own[a:b]) / (size + window)
+            k = int(dice.argmax())
+            if dice[k] >= least:
+                best.append((float(dice[k]), int(a), k + 1))
+        return best
+
+    def spans(self, flat: np.ndarray, at: np.ndarray, number: np.ndarray, least: float, any_length: bool = False) -> list[tuple[str, float, int, int]]:
         """Matches in one document from its bigrams and the places and numbers of its hits."""
         total = len(flat)
         distinct = self.holds[np.unique(number)].sum(0)
-        out = []
+        out, equal = [], None
         for t in np.flatnonzero((self.sizes > 0) & (distinct * 2 >= least * self.sizes) & (total * (2 - least) >= least * self.sizes)):
             own = self.holds[number, t]
             place, kind, size, length = at[own], number[own], int(self.sizes[t]), int(self.lengths[t])
             need = math.ceil(least * size / 2)
             best: list[tuple[float, int, int]] = []
+            if any_length:
+                if distinct[t] * (2 - least) < least * size - 1e-9:
+                    continue
+                equal = equal or neighbours(flat)
+                best, place = self.windows(size, place, *equal, least), place[:0]
             ends = np.searchsorted(place, place + length, "left")
             for k in np.flatnonzero(ends - np.arange(len(place)) >= need):
                 span = min(length, total - int(place[k]))
@@ -99,7 +140,9 @@ class Templates:
         return sorted(out, key=lambda x: (-x[1], x[2], x[0]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: dict[str, str] = TEMPLATES, any_length: bool = False
+) -> DataFrame:
     """``(id_col, licenses)`` for every row; licences with coefficient, first word (from 0) and length in words.
 
     Best matches come first, then earlier ones. Null, empty and one-word texts have none.
@@ -117,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 found = []
                 for r in range(hi - lo):
                     a, b = bound[r], bound[r + 1]
-                    hits = known.spans(flat[off[r] : off[r + 1]], at[a:b] - off[r], number[a:b], least) if b > a else []
+                    hits = known.spans(flat[off[r] : off[r + 1]], at[a:b] - off[r], number[a:b], least, any_length) if b > a else []
                     found.append([{"license": n, "dice": d, "start": s, "words": w} for n, d, s, w in hits])
                 kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(found, kind)], [id_col, "licenses"])
@@ -128,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """Every document: how many licence notices it holds, and the best of them (null if none)."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), any_length=True)
     top = F.get("licenses", F.lit(0))
     return found.select(
         "doc_id",

@@ -143,6 +143,29 @@ def test_license_dice_against_plain(spark):
     assert got == expected and len(known.known) == len(own)
 
 
+def test_license_windows_of_any_length(spark):
+    """Words put in or left out in mid-text do not hide a notice; the best coefficient is that over all windows."""
+    middle = "some words before this work is hereby also licensed under the gnu general public license version 3 and many other words after it"
+    found = license_scan.scan(spark.createDataFrame([(1, middle)], DOCS), any_length=True).first()["licenses"]
+    assert [(s["license"], round(s["dice"], 3), s["start"], s["words"]) for s in found] == [("GPL-3.0", 0.842, 8, 9)]
+    rnd = random.Random(8)
+    template = "this work may be copied and shared by anyone and shared by all under the same terms".split()
+    grams = lambda w: list(zip(w, w[1:]))
+    own, data, expected = set(grams(template)), [(900, None), (901, ""), (902, "this work " * 3000)], {900: None, 901: None, 902: None}
+    for k in range(80):
+        w = list(template)
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randrange(2)] = rnd.choice([["zzz"], [], ["yyy", "zzz"], w[at : at + 1] * 2])
+        w = [f"p{rnd.randrange(9)}" for _ in range(rnd.randrange(20))] + w + [f"q{rnd.randrange(9)}" for _ in range(rnd.randrange(20))]
+        g = grams(w)
+        best = max(2 * len(own & set(g[a:b])) / (len(own) + len(set(g[a:b]))) for a in range(len(g)) for b in range(a + 1, len(g) + 1))
+        data.append((k, " ".join(w)))
+        expected[k] = round(best, 9) if best >= 0.6 else None
+    found = license_scan.scan(spark.createDataFrame(data, DOCS), least=0.6, templates={"t": " ".join(template)}, any_length=True)
+    assert {r["doc_id"]: round(r["licenses"][0]["dice"], 9) if r["licenses"] else None for r in found.collect()} == expected
+
+
 LETTERS = {"aa": "abcde", "bb": "cdefgh", "cc": "ghijk", "dd": "éèàkl"}
 
 
