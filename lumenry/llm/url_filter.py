@@ -18,7 +18,6 @@ from pyspark.sql import Window as W
 
 from .store import materialise, small_enough, unused
 
-DEPTH = 5
 RARE_SHARE = 0.02
 RARE_LEAST = 5
 SIMILAR = 2.0
@@ -56,30 +55,35 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments_of(path: Column) -> Column:
-    """Normalised segments, the first ``DEPTH`` of them, and ``**`` if there are more."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(
-        F.slice(parts, 1, DEPTH),
-        lambda s: F.when(s.rlike(r"^\d+$"), F.lit("#")).when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("@")).otherwise(s),
+    """Normalised segments: numbers, with or without a file ending, and hashes become wildcards."""
+    return F.transform(
+        F.filter(F.split(path, "/"), lambda s: s != ""),
+        lambda s: F.when(s.rlike(r"^\d+$"), F.lit("#"))
+        .when(s.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.regexp_replace(s, r"^[0-9]+", "#"))
+        .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("@"))
+        .otherwise(s),
     )
-    return F.when(F.size(parts) > DEPTH, F.concat(plain, F.array(F.lit("**")))).otherwise(plain)
 
 
 def template_tree(seen: DataFrame) -> DataFrame:
-    """``(host, segs, template, purity)`` for every ``seen(host, segs, n, labelled, bad)``, one row each."""
+    """``(host, segs, template, purity)`` for every ``seen(host, segs, n, labelled, bad)``, one row each.
+
+    The tree is as deep as the longest path; a path leaves it once it has ended, so others' depth does not change it.
+    """
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     base = seen.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("r")).first()["r"] or 0.0
     smooth = lambda above: (F.col("bad") + SMOOTHING * above) / (F.col("labelled") + SMOOTHING)
     hosts = seen.groupBy("host").agg(*sums).select("host", smooth(F.lit(base)).alias("purity"))
     tree = seen.join(hosts, "host").withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
+    level, ended = 0, []
+    while True:
         tree = tree.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
         child = tree.groupBy("host", "template", "seg").agg(*sums, F.first("purity").alias("above"))
         parent = child.groupBy("host", "template").agg(
             F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("kinds")
         )
         child = child.join(parent, ["host", "template"])
-        fixed = F.col("seg").isin("", "#", "@", "**") | (F.col("kinds") == 1)
+        fixed = (F.col("seg").isin("", "@") | F.col("seg").startswith("#")) | (F.col("kinds") == 1)
         rare = F.col("n") < F.greatest(F.lit(RARE_LEAST), RARE_SHARE * F.col("pn"))
         child = child.withColumn("rate", smooth(F.col("above"))).withColumn("open", ~fixed & ~rare)
         # of the open siblings there are at most 1 / RARE_SHARE; by rate, a significant step parts two branches
@@ -93,8 +97,10 @@ def template_tree(seen: DataFrame) -> DataFrame:
         merged = F.concat(F.lit("+"), F.col("branch").cast("string"))
         name = F.when(fixed, F.col("seg")).when(rare, F.lit("*")).when(alike, merged).otherwise(F.col("seg"))
         child = child.withColumn("grown", F.concat("template", F.when(F.col("seg") == "", F.lit("")).otherwise(F.concat(F.lit("/"), name))))
-        rates = child.groupBy("host", "grown").agg(*sums, F.first("above").alias("above"))
-        rates = rates.select("host", "grown", smooth(F.col("above")).alias("rate"))
+        # where nothing goes on, a path's end is no branch of its own
+        alone = F.first((F.col("seg") == "") & (F.col("kinds") == 1)).alias("alone")
+        rates = child.groupBy("host", "grown").agg(*sums, F.first("above").alias("above"), alone)
+        rates = rates.select("host", "grown", F.when(F.col("alone"), F.col("above")).otherwise(smooth(F.col("above"))).alias("rate"))
         child = child.select("host", "template", "seg", "grown").join(rates, ["host", "grown"])
         tree = tree.join(child, ["host", "template", "seg"]).select(
             "host", "segs", "n", "labelled", "bad", F.col("grown").alias("template"), F.col("rate").alias("purity")
@@ -102,19 +108,23 @@ def template_tree(seen: DataFrame) -> DataFrame:
         tree = materialise(tree, "templates")
         if tree.where(F.size("segs") > level + 1).isEmpty():
             break
+        ended.append(tree.where(F.size("segs") <= level))
+        tree, level = tree.where(F.size("segs") > level), level + 1
+    for own in ended:
+        tree = tree.unionByName(own)
     return tree.select("host", "segs", "template", "purity")
 
 
 def judge(urls: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, reject: float = REJECT, out_col: str = "judged") -> DataFrame:
     """``urls`` with ``out_col`` added: struct of host, path, rule, verdict, template and purity.
 
-    ``labels(key, bad)`` holds labels, 0 or 1, by the number that ends a path; a key that
+    ``labels(key, bad)`` holds labels, 0 or 1, by the number that ends a path, before a file ending if it has one; a key that
     repeats is bad if any of its rows is. A null url or one without ``://`` has an empty host
     and path and is judged as such. Rows that repeat are judged alike; an empty table stays
     empty; without labels nothing but rules blocks. Own columns stay, whatever their names.
     """
     p, k = unused("parts", urls.columns), unused("known", urls.columns)
-    key = F.expr(f"try_cast(nullif(regexp_extract({p}.path, '/([0-9]+)/?$', 1), '') as bigint)")
+    key = F.expr(f"try_cast(nullif(regexp_extract({p}.path, '/([0-9]+)([.][A-Za-z0-9]+)?/?$', 1), '') as bigint)")
     parts = urls.withColumn(p, F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")))
     parts = parts.withColumn(p, F.struct(f"{p}.host", f"{p}.path", segments_of(F.col(f"{p}.path")).alias("segs")))
     keyed = parts.select(f"{p}.host", f"{p}.segs", key.alias("key")).groupBy("host", "segs", "key").agg(F.count("*").alias("n"))

@@ -65,6 +65,25 @@ def test_url_templates(spark):
     assert {found[5000 + k]["template"] for k in range(20)} == {"/*/x"} and found[6000]["verdict"] == "allow"
 
 
+def test_url_templates_of_files_and_deep_paths(spark):
+    """Numbers before a file ending carry labels, and branches part at any depth."""
+    data, labels = [], []
+    for k in range(400):
+        data.append((k, f"http://site.test/{'ads' if k % 2 else 'news'}/{k}.html"))
+        data.append((1000 + k, f"http://deep.test/a/b/c/d/e/f/{'ads' if k % 2 else 'news'}/{1000 + k}/"))
+        labels += [(k, k % 2), (1000 + k, k % 2)]
+    data += [(5000, "http://site.test/news"), (5001, "http://site.test/")]
+    labels = spark.createDataFrame(labels, "key long, bad int")
+    found = {r["page_id"]: r["judged"] for r in url_filter.judge(spark.createDataFrame(data, "page_id long, url string"), labels).collect()}
+    assert len(found) == len(data)
+    for k in range(400):
+        name, verdict = ("ads", "block") if k % 2 else ("news", "allow")
+        assert (found[k]["template"], found[k]["verdict"]) == (f"/{name}/#.html", verdict)
+        assert (found[1000 + k]["template"], found[1000 + k]["verdict"]) == (f"/a/b/c/d/e/f/{name}/#", verdict)
+    alone = url_filter.judge(spark.createDataFrame([r for r in data if not 1000 <= r[0] < 2000], "page_id long, url string"), labels)
+    assert all(abs(r["judged"]["purity"] - found[r["page_id"]]["purity"]) < 1e-9 for r in alone.collect() if r["page_id"] < 1000)
+
+
 def test_warc(spark, tmp_path):
     body = "<html>" + "ü\r\n\r\n" * 60
     data = [(k, f"http://a/{k}", body if k % 3 == 0 else f"{body}{k}") for k in range(30)]
