@@ -510,12 +510,12 @@ def fx_split(spark, sf_dir):
 
 @query()
 def fx_aberration(spark, sf_dir):
-    return shown(X.aberration(few_pixels(spark, sf_dir), WIDTH, HEIGHT, 0.05))
+    return shown(X.aberration(pixels(spark, sf_dir), WIDTH, HEIGHT, 0.05))
 
 
 @query()
 def fx_spin(spark, sf_dir):
-    return shown(X.spin(few_pixels(spark, sf_dir), WIDTH, HEIGHT, steps=4))
+    return shown(X.spin(pixels(spark, sf_dir), WIDTH, HEIGHT, steps=4))
 
 
 BANDS = [(3, 12, 17, False), (8, 20, -9, True), (30, 41, 40, False)]
@@ -610,7 +610,7 @@ def fx_grain(spark, sf_dir):
 
 @query()
 def fx_liquid(spark, sf_dir):
-    return shown(D.liquid(few_pixels(spark, sf_dir), WIDTH, HEIGHT, amplitude=80, scale=300, seed=7))
+    return shown(D.liquid(pixels(spark, sf_dir), WIDTH, HEIGHT, amplitude=80, scale=300, seed=7))
 
 
 @query()
@@ -620,17 +620,17 @@ def fx_streaks(spark, sf_dir):
 
 @query()
 def fx_drag(spark, sf_dir):
-    return shown(D.drag(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
+    return shown(D.drag(pixels(spark, sf_dir), WIDTH, HEIGHT))
 
 
 @query()
 def fx_bloom(spark, sf_dir):
-    return shown(D.bloom(few_pixels(spark, sf_dir), WIDTH, HEIGHT, threshold=120))
+    return shown(D.bloom(pixels(spark, sf_dir), WIDTH, HEIGHT, threshold=120))
 
 
 @query()
 def fx_dither_diffusion(spark, sf_dir):
-    return shown(D.dither_diffusion(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
+    return shown(D.dither_diffusion(pixels(spark, sf_dir), WIDTH, HEIGHT))
 
 
 # Frames and signals
@@ -699,8 +699,10 @@ PERIODS = [round(20 + 1.7 * k, 1) for k in range(120)]
 SIGNAL = "sig as (select s_suppkey % 20 as id, row, 1 + 0.04 * sin(2 * pi() * row / (60.0::double + s_suppkey % 20 * 5)) as v from supplier, range(1600) as t(row) where s_suppkey <= 20)"
 
 
-def signal(spark, sf_dir):
-    base = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select((F.col("s_suppkey") % 20).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(1599))).alias("row"))
+def signal(spark, sf_dir, every=False):
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    known = known if every else known.where("id <= 20").select((F.col("id") % 20).alias("id"))
+    base = known.select("id", F.explode(F.sequence(F.lit(0), F.lit(1599))).alias("row"))
     return base.withColumn("v", 1 + 0.04 * F.sin(2 * F.pi() * F.col("row") / (60.0 + F.col("id") * 5)))
 
 
@@ -712,7 +714,7 @@ def band_power(spark, sf_dir):
 
 @query()
 def band_periods(spark, sf_dir):
-    return P.strongest(P.prominence(P.band_power(signal(spark, sf_dir), PERIODS)))
+    return P.strongest(P.prominence(P.band_power(signal(spark, sf_dir, every=True), PERIODS)))
 
 
 @query(f"""with {SIGNAL}, p as (select *, cast(floor((row / 101.7::double - floor(row / 101.7::double)) * 32) as int) as bin from sig), m as (select id, avg(v) as mean from sig group by id)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenry import queries as engine_queries
 from lumenry.functions import scalars as S
 from lumenry.functions.draws import Draws, split_mix, value_noise
 from lumenry.operators import bursts, effects, frames, keyfile, seeded, similarity, spectral
@@ -292,3 +293,16 @@ def test_diffusion_keeps_the_light(spark):
 
 def test_recipe_seeds():
     assert parse_recipe("seed=7 vignette + grain size=3") == [("vignette", {}), ("grain", {"size": 3, "seed": 8})]
+
+
+@pytest.mark.parametrize("name", ["fx_aberration", "fx_spin", "fx_liquid", "fx_drag", "fx_bloom", "fx_dither_diffusion"])
+def test_effects_take_every_picture(spark, tmp_path, name):
+    """Pictures beyond the twentieth are worked on too."""
+    suppliers = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").where("s_suppkey in (1, 20, 21, 90)")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r["pic"] for r in engine_queries.QUERIES[name](spark, str(tmp_path)).select("pic").distinct().collect()} == {1, 20, 21, 90}
+
+
+def test_band_periods_of_every_signal(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").where("s_suppkey in (1, 20, 21)").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r["id"] for r in engine_queries.QUERIES["band_periods"](spark, str(tmp_path)).collect()} == {1, 20, 21}
