@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .store import new_column
 
 BUCKETS = 1 << 16
 CHUNKS = 16
+SLICE = 256 << 10
 SMOOTHING = 1.0
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -46,12 +48,13 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(plain) > 1:
         capital = np.flatnonzero((plain[:-1] == 0xC3) & (plain[1:] >= 0x80) & (plain[1:] <= 0x9E)) + 1
         plain[capital] += 32
-    code = np.full(len(plain), -1, np.int64)
-    if len(plain) > 2:
-        three = (plain[:-2].astype(np.uint32) << 16) | (plain[1:-1].astype(np.uint32) << 8) | plain[2:]
-        hashed = ((three * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
+    code = np.full(len(plain), -1, np.int32)
+    for lo in range(0, max(0, len(plain) - 2), SLICE):
+        own = plain[lo : lo + SLICE + 2].astype(np.uint32)
+        three = (own[:-2] << 16) | (own[1:-1] << 8) | own[2:]
+        hashed = ((three * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32)
         hashed[three == 0x202020] = -1
-        code[:-2] = hashed
+        code[lo : lo + len(hashed)] = hashed
     ends = off[1:]
     for back in (1, 2):
         at = ends - back
@@ -82,14 +85,14 @@ def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
     def per_task(batches):
         held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
         for batch in batches:
-            for lo, hi in wordhash.slices(batch.column("text")):
-                code, off = trigrams(batch.column("text").slice(lo, hi - lo))
-                names, which = np.unique(np.array(batch.column("lang").slice(lo, hi - lo).to_pylist(), object), return_inverse=True)
-                row = np.repeat(which, np.diff(off))
-                keep = code >= 0
-                table = np.bincount(row[keep] * BUCKETS + code[keep], minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for name, own in zip(names, table):
-                    held[name] += own
+            names, which = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+            for k, name in enumerate(names):
+                texts = batch.column("text").take(pa.array(np.flatnonzero(which == k)))
+                for lo, hi in wordhash.slices(texts, SLICE):
+                    code, _ = trigrams(texts.slice(lo, hi - lo))
+                    for at in range(0, len(code), SLICE):
+                        own = code[at : at + SLICE]
+                        held[name] += np.bincount(own[own >= 0], minlength=BUCKETS)
         if held:
             yield pa.RecordBatch.from_pydict(
                 {
@@ -111,24 +114,33 @@ def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _margins(weights: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Mean weight of each text's trigrams, per bit."""
+    """Mean weight of each text's trigrams, per bit (``weights``: bit, bucket).
+
+    One bit at a time and, within a text longer than a slice, one stretch at a time, so
+    that a worker holds a few bytes per byte of a slice however many bits there are.
+    """
     code, off = trigrams(column)
-    keep = code >= 0
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[keep]
-    picked = weights[code[keep]]
-    count = np.bincount(row, minlength=len(off) - 1)
-    start = np.concatenate([[0], np.cumsum(count)])[:-1]
-    total = np.add.reduceat(np.vstack([picked, np.zeros((1, weights.shape[1]), picked.dtype)]), start, axis=0) if len(count) else np.zeros((0, weights.shape[1]))
-    total[count == 0] = 0
+    rows, bits = len(off) - 1, len(weights)
+    total, count = np.zeros((rows, bits)), np.zeros(rows, np.int64)
+    for lo in range(0, len(code), SLICE):
+        hi = min(len(code), lo + SLICE)
+        a, b = int(np.searchsorted(off, lo, "right")) - 1, int(np.searchsorted(off, hi, "left"))
+        keep = code[lo:hi] >= 0
+        own = code[lo:hi][keep]
+        upto = np.concatenate([[0], np.cumsum(keep)])[np.clip(off[a : b + 1] - lo, 0, hi - lo)]
+        count[a:b] += np.diff(upto)
+        for bit in range(bits):
+            run = np.concatenate([[0.0], np.cumsum(weights[bit][own], dtype=np.float64)])
+            total[a:b, bit] += np.diff(run[upto])
     return total / np.maximum(1, count)[:, None]
 
 
 class Model:
-    """Languages, their codewords, bit weights (bucket, bit), and the decoding table."""
+    """Languages, their codewords, bit weights (bit, bucket), and the decoding table."""
 
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray) -> None:
         self.languages, self.code, self.weights = languages, code, weights
-        self.scale = np.ones(weights.shape[1])
+        self.scale = np.ones(len(weights))
         self.trust = np.full(code.shape, 1 / max(1, code.shape[1]))
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,14 +160,14 @@ def train(rows: DataFrame) -> Model:
     counts = _counts(rows)
     languages = list(counts)
     if not languages:
-        return Model([], np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32))
+        return Model([], np.zeros((0, 1), np.int8), np.zeros((1, BUCKETS), np.float32))
     code = codewords(len(languages))
     share = np.stack([(c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS) for c in counts.values()])
-    weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
+    weights = np.zeros((code.shape[1], BUCKETS), np.float32)
     for bit in range(code.shape[1]):
         ones, zeros = share[code[:, bit] > 0], share[code[:, bit] < 0]
         if len(ones) and len(zeros):
-            weights[:, bit] = np.log(ones.mean(0)) - np.log(zeros.mean(0))
+            weights[bit] = np.log(ones.mean(0)) - np.log(zeros.mean(0))
     model = Model(languages, code, weights)
     shared, bits = rows.sparkSession.sparkContext.broadcast(model), code.shape[1]
 
@@ -163,7 +175,7 @@ def train(rows: DataFrame) -> Model:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2 * bits + 1))
         known = {name: k for k, name in enumerate(shared.value.languages)}
         for batch in batches:
-            for lo, hi in wordhash.slices(batch.column("text")):
+            for lo, hi in wordhash.slices(batch.column("text"), SLICE):
                 margins = _margins(shared.value.weights, batch.column("text").slice(lo, hi - lo))
                 names = np.array(batch.column("lang").slice(lo, hi - lo).to_pylist(), object)
                 for name in set(names):
@@ -189,15 +201,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     """``docs`` with ``out_col`` added: struct of ``lang_pred``, ``score`` and ``ambiguous``.
 
     Only the text is looked at. A text that is null or has no letter gets ``und`` and
-    score 0, as does every text where the model knows no language. Own columns stay.
+    score 0, as does every text where the model knows no language. Own columns stay;
+    one that is called ``out_col`` is an error. A text of any length is read whole, a
+    stretch of ``SLICE`` bytes at a time.
     """
+    new_column(out_col, docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         known, parts = shared.value, []
         column = pa.Array.from_pandas(texts, type=pa.large_string())
-        for lo, hi in wordhash.slices(column):
+        for lo, hi in wordhash.slices(column, SLICE):
             parts.append(known.decode(_margins(known.weights, column.slice(lo, hi - lo))))
         top, score, unsure = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
         names = np.array(known.languages, object)[top] if len(top) else []

@@ -29,6 +29,7 @@ from .store import materialise, small_enough
 from .tokens import ByteBpe
 
 OFFSET_ROWS = 500_000
+SLICE = 1 << 20
 ROUNDS = 40
 RATE = 0.5
 
@@ -159,24 +160,36 @@ def cut(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> DataFrame:
     def pieces(batches):
         encoder, seen, part = ByteBpe.load(vocabulary), np.zeros(limit + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi in wordhash.slices(batch.column("text"), 8 << 20):
-                rows = []
-                for at, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist(), lo):
-                    ids = np.append(encoder.encode(text or ""), end_id).astype("<u4")
-                    raw, start, piece = memoryview(ids.tobytes()), 0, 0
-                    size = len(ids) % limit or limit
-                    while start < len(ids):
-                        rows.append((at - lo, piece, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), seen[size]))
-                        seen[size] += 1
-                        start, piece, size = start + size, piece + 1, limit
-                at, piece, start, size, crc, rank = (np.array(x, np.int64) for x in zip(*rows))
+            for lo, hi in wordhash.slices(batch.column("text"), SLICE):
+                sizes, sums = [], []
+                for text in batch.column("text").slice(lo, hi - lo).to_pylist():
+                    raw, size = bytearray(), 0
+                    for ids in encoder.parts(text or "", end_id):
+                        raw += ids.astype("<u4").tobytes()
+                        size += len(ids)
+                    sizes.append(size)
+                    first = size % limit or limit
+                    edges = [0, *range(4 * first, 4 * size + 1, 4 * limit)]
+                    view = memoryview(raw)
+                    sums += [zlib.crc32(view[a:b]) for a, b in zip(edges, edges[1:])]
+                sizes = np.array(sizes, np.int64)
+                count = -(-sizes // limit)
+                at = np.repeat(np.arange(hi - lo), count)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                first = np.where(sizes % limit, sizes % limit, limit)[at]
+                size, start = np.where(piece, limit, first), np.where(piece, first + (piece - 1) * limit, 0)
+                order = np.argsort(size, kind="stable")
+                turn = np.arange(len(at)) - np.searchsorted(size[order], size[order], "left")
+                rank = np.empty(len(at), np.int64)
+                rank[order] = seen[size[order]] + turn
+                seen += np.bincount(size, minlength=limit + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(lo, hi - lo).take(pa.array(at)),
                         pa.array(piece.astype(np.int32)),
                         pa.array(start),
                         pa.array(size),
-                        pa.array(crc),
+                        pa.array(np.array(sums, np.int64)),
                         pa.array(np.full(len(at), part, np.int32)),
                         pa.array(rank),
                     ],

@@ -2,11 +2,13 @@
 
 A table goes to the folder that the session names in ``spark.checkpoint.dir``, which
 all executors of a cluster share, and is read again. Lost executors then cost a
-reread, not a recomputation. Where the setting is absent (tests), one folder is made.
+reread, not a recomputation. Where the setting is absent one folder is made, on a
+local master only.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,9 @@ _OWN = "lumenry.workdir"
 def workdir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master} has executors on other machines")
         base = tempfile.mkdtemp(prefix="lumenry-")
         spark.conf.set(_OWN, base)
     return base.rstrip("/")
@@ -39,6 +44,12 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def new_column(name: str, columns: list[str]) -> None:
+    """An error if a column is called ``name`` already: nothing of the caller's is overwritten or doubled."""
+    if name.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"the table has a column {name!r} already; give another out_col")
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, lengthened until no column is called so."""
     taken = {c.lower() for c in columns}
