@@ -179,9 +179,9 @@ def test_product_code_lists_all_filters():
 
 
 def test_nearest_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(projection_search, "BLOCK", 150)
+    monkeypatch.setattr(projection_search, "CELL", 40)
     monkeypatch.setattr(projection_search, "CHUNK", 16)
-    monkeypatch.setattr(projection_search, "LEAF", 20)
+    monkeypatch.setattr(projection_search, "FIRST", 15)
     data = cloud(3, 400)
     df = spark.createDataFrame(data + ODD_VECTORS + [(None, [1.0] * 16), data[7]], VECTORS).withColumn("block", F.lit(1))
     found = {}
@@ -198,14 +198,14 @@ def test_nearest_neighbours(spark, monkeypatch):
         hit, total = hit + len({j for _, j in best} & {j for _, j, _ in got}), total + 10
     assert hit / total >= 0.95
     few = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0])], VECTORS)
-    assert rows(projection_search.nearest(few, few)) == [(0, 1, 20, 4.0), (20, 1, 0, 4.0)]
+    assert rows(projection_search.nearest(few, few)) == [(0, 1, 20, 4.0, 1), (20, 1, 0, 4.0, 1)]
     assert projection_search.nearest(few.limit(0), few.limit(0)).isEmpty()
 
 
 @pytest.mark.parametrize("other", [0.0, 1e-3])
 def test_nearest_neighbours_of_repeated_ids(spark, monkeypatch, other):
     """Rows that repeat an id, alike or a little apart, push no neighbour out of one block."""
-    monkeypatch.setattr(projection_search, "LEAF", 20)
+    monkeypatch.setattr(projection_search, "FIRST", 15)
     data = cloud(4, 200)
     again = [(i, [x * (1 - other) for x in v]) for i, v in data]
     query = spark.createDataFrame(data[:10], VECTORS)
@@ -225,6 +225,26 @@ def test_nearest_neighbours_of_repeated_ids(spark, monkeypatch, other):
     assert hit >= 95
 
 
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_nearest_neighbours_leaves_most_unverified(spark, monkeypatch, shift):
+    """On clustered vectors, with or without a common mean, the test stops long before all candidates are scored."""
+    monkeypatch.setattr(projection_search, "CELL", 250)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((20, 32))
+    x = base[rng.integers(0, 20, 4000)] + 0.25 * rng.standard_normal((4000, 32)) + shift
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], VECTORS)
+    v, found, verified = x.astype(np.float32).astype(float), {}, {}
+    for r in projection_search.nearest(df, df.where("vec_id % 20 = 0"), top=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        verified[r["query_id"]] = r["verified"]
+    hit = 0
+    for i in range(0, 4000, 20):
+        score = v @ v[i]
+        score[i] = -np.inf
+        hit += len(found[i] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (200 * 20) >= 0.95 and np.mean(list(verified.values())) < 0.4 * 4000
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     draws = (rng.standard_normal((200_000, 12)) ** 2).sum(1)
