@@ -1,364 +1,236 @@
 """Operator 10: language-model scores by cross-entropy difference.
 
 A target model is learned from chosen documents, a background model from all documents.
-``score_words``, which the query runs, takes bigram models over all words and word pairs.
-In ``score`` both are class bigram models over one vocabulary, the most frequent words of all
-documents: the first ``HEAD`` words are classes of their own, the other words one class, words outside
-the vocabulary another. A word's probability is that of its class after the class before
-it, mixed with the class's frequency, times its share in its class. Both models are
-smoothed alike, and a document's score is its mean loss under the target model less that
-under the background model: low scores are like the target.
-
-In ``score`` word counts and class-pair counts are taken over whole texts of all documents and are
-shuffled; only the vocabulary and one table of class pairs per model, both bounded by
-parameters, are broadcast.
+Both are bigram models over one vocabulary, every word of any document: the probability of
+a word after another is that of the pair, smoothed towards that of the word alone. A
+document's score is its mean loss per word under the target model less that under the
+background model: low scores are like the target.
+
+The models are matched. Background counts are scaled to the size of the target, which makes
+them the counts that a background sample of like size has in the mean, so that smoothing
+weighs alike in both. A document's own counts are left out of both models when it is scored,
+so that a score does not tell what a model was learned from.
+
+Every word and every pair of all documents has counts of its own, none is left out. Documents
+are dealt to chunks of bounded size. A chunk names its distinct words and pairs once, with
+its own counts; these meet in buckets by hash, where counts are summed, and the sums go back
+to the chunk in the same order, without the keys. However frequent a word is, it is named once
+for a chunk. The texts are shuffled once, for both uses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import wordhash
-from .store import materialise, small_enough
+from .store import short_batches, small_enough
 
-WORDS = 65_536
-HEAD = 1_500
-MIXED = 0.7
 SMOOTHING = 0.5
+BACKOFF = 5.0
+CHUNK_WORDS = 1 << 19
+BUCKET_KEYS = 1 << 20
+CHUNKS_EACH = 8
 BROADCAST_IDS = 1_000_000
-HELD = 1 << 19
-SLICE = 2 << 20
+SLICE = 512 << 10
 START, END = np.uint64(0xA5C3F10E96D2B487), np.uint64(0x5E1B7D942CF60A3B)
-NAMES = ["name", "key", "w", "code"]
-OWN = [*NAMES, "w_t", "w_e"]
-
-
-def _texts(batches, limit: int = 8 << 20):
-    for batch in batches:
-        for lo, hi in wordhash.slices(batch.column("text"), limit):
-            own = {c: batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"}
-            yield own, *wordhash.words(batch.column("text").slice(lo, hi - lo))
-
-
-def _chosen(own: dict, first: np.ndarray) -> np.ndarray:
-    """For every word whether its document is of the target."""
-    return np.repeat(own["chosen"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-
-
-def word_counts(docs: DataFrame, starts: bool = False) -> DataFrame:
-    """``(h, everywhere, target)``: how often each word hash occurs in ``docs(text, chosen)``.
-
-    With ``starts`` every text with words counts as an occurrence of ``START`` too.
-    """
+PAIR = np.uint64(0x9FB21C651E98DF25)
+
+SCHEMA = "`{id}` long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of every text that has any, between ``START`` and ``END``; the text of each; words per text."""
+    hashed, first = wordhash.words(column)
+    count = np.diff(first)
+    size = np.where(count > 0, count + 2, 0)
+    row = np.repeat(np.arange(len(count)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full(len(row), START)
+    out[place == count[row] + 1] = END
+    out[(place > 0) & (place <= count[row])] = hashed
+    return out, row, count
+
+
+def _keys(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words (``START`` too), keys of the pairs, and the places at which pairs end."""
+    ends = np.flatnonzero(sequence != START)
+    return wordhash.mix(sequence), wordhash.mix(wordhash.mix(sequence[ends - 1]) * PAIR + sequence[ends]), ends
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for lo, hi in wordhash.slices(texts, SLICE):
+        yield lo, hi, *_sequences(texts.slice(lo, hi - lo))
+
+
+def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    value = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    value.sort()
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
+    return value[start], np.diff(np.append(start, len(value)))
+
+
+def _chunk_keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk, ascending, and how often each occurs in it and in its target documents."""
+    texts, chosen = docs["text"].combine_chunks(), docs["chosen"].to_numpy(zero_copy_only=False).astype(bool)
+    every, target = [], []
+    for lo, hi, sequence, row, _ in _slices(texts):
+        word, pair, ends = _keys(sequence)
+        every += [word, pair]
+        own = chosen[lo:hi][row]
+        target += [word[own], pair[own[ends]]]
+    value, count = _counted(every)
+    of_target, t = _counted(target)
+    out = np.zeros(len(value), np.int64)
+    out[np.searchsorted(value, of_target)] = t
+    return value, count, out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest; the first byte tells how many."""
+    size = next(n for n in (1, 2, 4, 8) if n == 8 or counts.max(initial=0) < 1 << 8 * n)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _requests(buckets: int):
+    def named(docs: pa.Table) -> pa.Table:
+        value, count, target = _chunk_keys(docs)
+        bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(value)]]) if len(value) else np.zeros(1, np.int64)
+        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        return pa.table(
+            {
+                "chunk": pa.array(np.full(len(parts), docs["chunk"][0].as_py(), np.int64)),
+                "bucket": pa.array(bucket[cuts[:-1]]),
+                "keys": pa.array([value[p].tobytes() for p in parts], pa.binary()),
+                "every": pa.array([_packed(count[p]) for p in parts], pa.binary()),
+                "target": pa.array([_packed(target[p]) for p in parts], pa.binary()),
+            }
+        )
+
+    return named
+
+
+def _replies(asked: pa.Table) -> pa.Table:
+    """For each chunk that asks a bucket, the sums over all chunks in the order of its keys."""
+    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    out = {}
+    for name in ("every", "target"):
+        # sums below 2^53 are exact
+        total = np.bincount(at, np.concatenate([_unpacked(x) for x in asked[name].to_pylist()])).astype(np.int64)
+        out[name] = pa.array([_packed(x) for x in np.split(total[at], cuts)], pa.binary())
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], **out})
+
+
+class Model:
+    """Sizes of both models: events in the target and everywhere, and kinds of words."""
+
+    def __init__(self, target: int, every: int, kinds: int) -> None:
+        self.sizes, self.kinds = (target, every), kinds
+        self.scale = (1.0, target / every if target and every else 1.0)
+
+    def loss(self, which: int, pair: np.ndarray, before: np.ndarray, word: np.ndarray, own_size: np.ndarray) -> np.ndarray:
+        """Losses of words, from the counts of pair, word before and word that are left; ``own_size`` events are left out."""
+        scale = self.scale[which]
+        alone = (scale * word + SMOOTHING) / (scale * (self.sizes[which] - own_size) + SMOOTHING * self.kinds)
+        return -np.log((scale * pair + BACKOFF * alone) / (scale * before + BACKOFF))
+
+
+def _own_counts(row: np.ndarray, at: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each key occurs in its own text."""
+    _, where, count = np.unique(row * kinds + at, return_inverse=True, return_counts=True)
+    return count[where]
+
+
+def _scorer(model: Model, id_col: str):
+    def scored(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({id_col: pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
+        value, _, _ = _chunk_keys(docs)
+        replies = replies.sort_by("bucket")
+        counts = [np.concatenate([np.zeros(0, np.int64), *map(_unpacked, replies[name].to_pylist())]) for name in ("target", "every")]
+        if len(counts[0]) != len(value):
+            raise ValueError(f"{len(value)} keys asked, {len(counts[0])} answered")
+        texts, chosen = docs["text"].combine_chunks(), docs["chosen"].to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, losses = [], [[], []]
+        for lo, hi, sequence, row, count in _slices(texts):
+            word, pair, ends = _keys(sequence)
+            word, pair = np.searchsorted(value, word), np.searchsorted(value, pair)
+            own_word, own_pair = _own_counts(row, word, len(value)), _own_counts(row[ends], pair, len(value))
+            read = np.flatnonzero(sequence[ends] != END)
+            at, before, of = ends[read], ends[read] - 1, row[ends[read]]
+            for k, known in enumerate(counts):
+                share = chosen[lo:hi][of] if k == 0 else 1
+                left = model.loss(
+                    k,
+                    known[pair[read]] - share * own_pair[read],
+                    known[word[before]] - share * own_word[before],
+                    known[word[at]] - share * own_word[at],
+                    share * (count[of] + 1),
+                )
+                losses[k].append(np.bincount(of, left, hi - lo) / np.maximum(1, count))
+            sizes.append(count)
+        size = np.concatenate(sizes)
+        target, background = (np.concatenate(x) for x in losses)
+        nothing = size == 0
+        columns = [pa.array(x, mask=nothing) for x in (target, background, target - background)]
+        return pa.table([docs["id"].combine_chunks(), pa.array(size.astype(np.int64)), *columns], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    return scored
+
+
+def model_sizes(docs: DataFrame) -> Model:
+    """Sizes from all of ``docs(text, chosen)``; an event is a word or a text's end."""
 
     def counted(batches):
-        for own, hashed, first in _texts(batches):
-            of_target = _chosen(own, first)
-            if starts:
-                opened = first[:-1][first[:-1] < first[1:]]
-                hashed, of_target = np.concatenate([hashed, np.full(len(opened), START)]), np.concatenate([of_target, of_target[opened]])
-            value, where, count = np.unique(hashed, return_inverse=True, return_counts=True)
-            target = np.bincount(where[of_target], minlength=len(value))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(target.astype(np.int64))], ["h", "everywhere", "target"]
-            )
-
-    rows = docs.mapInArrow(counted, "h long, everywhere long, target long")
-    return rows.groupBy("h").agg(F.sum("everywhere").alias("everywhere"), F.sum("target").alias("target"))
-
-
-def least_count(counts: DataFrame, words: int) -> int:
-    """The smallest count that at most ``words`` rows of ``counts(everywhere)`` reach.
-
-    Found from two small histograms, by eighths of an octave and then within the decisive
-    one, so that no task and not the driver sorts or gathers more than the words chosen.
-    """
-    octave = F.floor(F.log2(F.col("everywhere").cast("double")) * 8)
-    above = 0
-    for r in sorted(counts.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        if above + r["n"] > words:
-            least = None
-            for own in sorted(counts.where(octave == r["b"]).groupBy("everywhere").agg(F.count("*").alias("n")).collect(), reverse=True):
-                above += own["n"]
-                if above > words:
-                    return least or own["everywhere"] + 1
-                least = own["everywhere"]
-        above += r["n"]
-    return 1
-
-
-class Vocabulary:
-    """Word hashes, ascending, with class and, per model, the log share in the class.
-
-    Class 0 opens a document, 1 is every unknown word, 2 the vocabulary's rarer words.
-    """
+        for batch in batches:
+            chosen = batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, sequence, row, _ in _slices(batch.column("text")):
+                event = sequence != START
+                value, where, count = np.unique(sequence[event], return_inverse=True, return_counts=True)
+                target = np.bincount(where[chosen[lo:hi][row[event]]], minlength=len(value))
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count), pa.array(target)], ["h", "every", "target"])
 
-    def __init__(self, hashes: np.ndarray, everywhere: np.ndarray, target: np.ndarray) -> None:
-        rank = np.lexsort((hashes, -everywhere))
-        kind = np.full(len(hashes), 2)
-        kind[rank[:HEAD]] = 3 + np.arange(min(HEAD, len(hashes)))
-        order = np.argsort(hashes)
-        self.hashes, self.kind = hashes[order], kind[order].astype(np.int64)
-        self.classes = 3 + min(HEAD, len(hashes))
-        self.shares = []
-        for count in (target[order], everywhere[order]):
-            share = np.zeros(len(hashes))
-            rare = self.kind == 2
-            if rare.any():
-                share[rare] = np.log((count[rare] + SMOOTHING) / (count[rare].sum() + SMOOTHING * rare.sum()))
-            self.shares.append(share)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, hashed: np.ndarray) -> np.ndarray:
-        """Place of each word in the vocabulary, -1 if unknown."""
-        out = np.full(len(hashed), -1, np.int64)
-        maybe = np.flatnonzero(self.table[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashed[maybe]), len(self.hashes) - 1)
-            out[maybe] = np.where(self.hashes[at] == hashed[maybe], at, -1)
-        return out
-
-    def pairs(self, found: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Class pair of every word and the word before it in its document."""
-        kind = np.where(found >= 0, self.kind[np.maximum(found, 0)], 1) if len(self.kind) else np.ones(len(found), np.int64)
-        before = np.concatenate([[0], kind[:-1]])[: len(kind)]
-        starts = first[:-1]
-        before[starts[(starts < first[1:])]] = 0
-        return before * self.classes + kind
-
-
-def _log_table(counts: np.ndarray) -> np.ndarray:
-    """Log probability of each class (column) after each class (row)."""
-    classes = counts.shape[0]
-    frequency = counts.sum(0) + SMOOTHING
-    frequency[0] = 0
-    frequency /= frequency.sum()
-    after = counts + SMOOTHING * frequency
-    return np.log(np.maximum(1e-300, MIXED * after / after.sum(1, keepdims=True) + (1 - MIXED) * frequency)).astype(np.float32).reshape(classes, classes)
+    kinds = docs.mapInArrow(counted, "h long, every long, target long").groupBy("h").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+    total = kinds.agg(F.sum("target").alias("target"), F.sum("every").alias("every"), F.count("*").alias("kinds")).first()
+    return Model(total["target"] or 0, total["every"] or 0, total["kinds"])
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_tokens, target_loss, background_loss, score)`` for every row of ``docs``.
 
-    The vocabulary is every word that occurs as often as some least count, the smallest that
-    at most ``WORDS`` words reach; words of equal count are in or out together.
-
     ``target_ids`` holds, under ``id_col``, the ids of documents to learn the target from; nulls
     and repeats in it do nothing. Texts without words, null or empty, have null losses and score.
     Without any target document the target model is that of smoothing alone. Repeated rows
-    count and are scored each; an empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = target_ids.select(F.col(id_col).cast("long").alias("id")).dropna().distinct().withColumn("chosen", F.lit(True))
-    chosen = F.broadcast(chosen) if small_enough(chosen, BROADCAST_IDS) else chosen
-    learned = rows.join(chosen, "id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    counts = materialise(word_counts(learned), "word-counts")
-    counts = counts.where(F.col("everywhere") >= least_count(counts, WORDS)).toPandas()
-    words = Vocabulary(counts["h"].to_numpy(np.int64).view(np.uint64), counts["everywhere"].to_numpy(np.int64), counts["target"].to_numpy(np.int64))
-    shared, size = spark.sparkContext.broadcast(words), words.classes
-
-    def paired(batches):
-        held = np.zeros((2, size * size), np.int32)
-        for own, hashed, first in _texts(batches):
-            pair, target = shared.value.pairs(shared.value.find(hashed), first), _chosen(own, first)
-            for k, part in enumerate((pair[target], pair)):
-                value, count = np.unique(part, return_counts=True)
-                held[k, value] += count.astype(np.int32)
-        at = np.flatnonzero(held[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[1, at].astype(np.int64)), pa.array(held[0, at].astype(np.int64))], ["pair", "everywhere", "target"])
-
-    pairs = learned.mapInArrow(paired, "pair long, everywhere long, target long").groupBy("pair").agg(F.sum("everywhere").alias("everywhere"), F.sum("target").alias("target"))
-    pairs = materialise(pairs, "class-pairs")
-    tables = np.zeros((2, size * size))
-    for batch in pairs.toArrow().to_batches():
-        at = batch.column("pair").to_numpy()
-        tables[0, at], tables[1, at] = batch.column("target").to_numpy(), batch.column("everywhere").to_numpy()
-    models = spark.sparkContext.broadcast([_log_table(t.reshape(size, size)).reshape(-1) for t in tables])
-
-    def scored(batches):
-        known, logs = shared.value, models.value
-        for own, hashed, first in _texts(batches):
-            found, count = known.find(hashed), np.diff(first)
-            pair, loss = known.pairs(found, first), []
-            for log, share in zip(logs, known.shares):
-                own_log = log[pair].astype(np.float64) + (np.where(found >= 0, share[np.maximum(found, 0)], 0) if len(share) else 0)
-                total = np.concatenate([[0], np.cumsum(own_log)])
-                loss.append(-(total[first[1:]] - total[first[:-1]]) / np.maximum(1, count))
-            nothing = count == 0
-            target, background = (pa.array(x, mask=nothing) for x in loss)
-            yield pa.RecordBatch.from_arrays(
-                [own["id"], pa.array(count.astype(np.int64)), target, background, pa.array(loss[0] - loss[1], mask=nothing)],
-                [id_col, "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return rows.mapInArrow(scored, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-class Words:
-    """The most frequent words and ``START``, by ascending hash, with their counts ``(target, everywhere)``.
-
-    ``head`` numbers the first ``HEAD`` of them, -1 elsewhere. A word that is not here is rare,
-    not unknown: its counts come with its shuffled occurrences.
+    count, as copies do, and are scored each, with one row's counts left out; an empty table gives no rows; other
+    columns are not read. A long text is read whole: a worker holds the words of one text, or of a chunk.
     """
-
-    def __init__(self, hashes: np.ndarray, target: np.ndarray, everywhere: np.ndarray, sums: tuple[int, int], types: int) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], np.stack([target[order], everywhere[order]])
-        first = np.lexsort((self.hashes, -self.counts[1]))[:HEAD]
-        self.head, self.size = np.full(len(hashes), -1, np.int64), len(first)
-        self.head[first] = np.arange(len(first))
-        self.of_head = self.counts[:, first]
-        self.sums, self.types = sums, types
-
-    def find(self, hashed: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashed), max(0, len(self.hashes) - 1))
-        return np.where(self.hashes[at] == hashed, at, -1) if len(self.hashes) else np.full(len(hashed), -1)
-
-    def log(self, model: int, pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log probability of words, from the counts of pair, word before and word."""
-        own = (word + SMOOTHING) / (self.sums[model] + SMOOTHING * self.types)
-        return np.log(MIXED * (pair + SMOOTHING * own) / (before + SMOOTHING) + (1 - MIXED) * own)
-
-
-def _pairs(known: Words, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the word before each word, and the places of both in ``known``."""
-    before = np.concatenate([[START], hashed[:-1]])[: len(hashed)].astype(np.uint64)
-    before[first[:-1][first[:-1] < first[1:]]] = START
-    at, open_ = known.find(hashed), known.find(np.array([START], np.uint64))[0]
-    at_before = np.concatenate([[open_], at[:-1]])[: len(at)]
-    at_before[before == START] = open_
-    return before, at_before, at
-
-
-def _names(own: dict, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash for each row of its id and words: equal rows, which score alike, share it."""
-    position = (np.arange(len(hashed)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(hashed + position * np.uint64(0x9FB21C651E98DF25)), dtype=np.uint64)])
-    name = own["id"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    name = wordhash.mix(name + own["id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint64) * END)
-    return wordhash.mix(name + run[first[1:]] - run[first[:-1]])
-
-
-def score_words(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``score``, by bigram models over all words and word pairs instead of classes.
-
-    A word's probability after another is mixed from that of the pair and, as the back-off, of
-    the word alone; every word and every pair has counts of its own. Pairs within the ``HEAD``
-    most frequent words are counted in a table that each task adds to, and scored in place. Every
-    other occurrence is shuffled once by its pair, or by the word before if that is rare, and meets
-    its counts there, as an occurrence of a rare word first meets the word's. What is frequent
-    is thus never a shuffle key, and what is broadcast saves shuffles but decides no count.
-    """
-    spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = target_ids.select(F.col(id_col).cast("long").alias("id")).dropna().distinct().withColumn("chosen", F.lit(True))
     chosen = F.broadcast(chosen) if small_enough(chosen, BROADCAST_IDS) else chosen
     learned = rows.join(chosen, "id", "left").select("id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    counts = materialise(word_counts(learned.select("text", "chosen"), starts=True), "word-counts")
-    opening = F.col("h") == int(START.view(np.int64))
-    total = counts.where(~opening).agg(F.sum("target"), F.sum("everywhere"), F.count("*")).first()
-    held = counts.where((F.col("everywhere") >= least_count(counts, HELD)) | opening).toPandas()
-    held = [held[c].to_numpy(np.int64) for c in ("h", "target", "everywhere")]
-    words = Words(held[0].view(np.uint64), held[1], held[2], (total[0] or 0, total[1] or 0), total[2])
-    shared, size = spark.sparkContext.broadcast(words), words.size
-
-    def paired(batches):
-        known, table = shared.value, np.zeros((2, size * size), np.int64)
-        for own, hashed, first in _texts(batches, SLICE):
-            _, before, at = _pairs(known, hashed, first)
-            before, at = (np.where(x >= 0, known.head[x], -1) if len(known.head) else x for x in (before, at))
-            both, target = (before >= 0) & (at >= 0), _chosen(own, first)
-            pair = before * size + at
-            for k, part in enumerate((pair[both & target], pair[both])):
-                value, count = np.unique(part, return_counts=True)
-                table[k, value] += count
-        at = np.flatnonzero(table[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[0, at]), pa.array(table[1, at])], ["pair", "target", "everywhere"])
-
-    pairs = learned.mapInArrow(paired, "pair long, target long, everywhere long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("everywhere").alias("everywhere"))
-    table = np.zeros((2, size * size))
-    for batch in materialise(pairs, "head-pairs").toArrow().to_batches():
-        at = batch.column("pair").to_numpy()
-        table[0, at], table[1, at] = batch.column("target").to_numpy(), batch.column("everywhere").to_numpy()
-    of_head = words.of_head
-    logs = [words.log(k, table[k].reshape(size, size), of_head[k][:, None], of_head[k][None, :]).reshape(-1) for k in range(2)]
-    models = spark.sparkContext.broadcast(logs)
-
-    # A line is an occurrence: code holds, from the lowest bit, whether it is of the target, whether both words
-    # are held, and the places of both, which in that case are the key instead. Or it is a row's own line, its
-    # code negative: then it holds the number of words, the losses' bits and, last, the id.
-    def occurrences(rare):
-        def found(batches):
-            known = shared.value
-            for own, hashed, first in _texts(batches, SLICE):
-                name, count = _names(own, hashed, first), np.diff(first)
-                row, target = np.repeat(np.arange(len(count)), count), _chosen(own, first)
-                before, at_before, at = _pairs(known, hashed, first)
-                if rare:
-                    go = at < 0
-                else:
-                    head = [np.where(x >= 0, known.head[x], -1) if len(known.head) else x for x in (at_before, at)]
-                    both = (head[0] >= 0) & (head[1] >= 0)
-                    go = (at >= 0) & ~both
-                    sums = [np.bincount(row[both], log[(head[0] * size + head[1])[both]], len(count)).astype(float).view(np.int64) for log in models.value]
-                held, places = (at_before >= 0) & (at >= 0), (at_before + 1 << 33) + (at + 1 << 2)
-                key = np.where(at_before >= 0, wordhash.mix(before * np.uint64(0x9FB21C651E98DF25) + hashed), before).view(np.int64)
-                key, code = np.where(held, places, key), np.where(held, 2, places) + target
-                w = np.where((at_before >= 0) & (at >= 0), 0, hashed.view(np.int64))
-                lines = [(name[row[go]], key[go], w[go], code[go])]
-                if not rare:
-                    # where a text ends with a rare word, that word occurs before nothing
-                    ends = first[1:][count > 0] - 1
-                    ends = ends[at[ends] < 0]
-                    lines.append((name[row[ends]], hashed[ends].view(np.int64), np.full(len(ends), END).view(np.int64), target[ends].astype(np.int64)))
-                    lines.append((name, name.view(np.int64), sums[0], -1 - count))
-                name, key, w, code = (np.concatenate(x) for x in zip(*lines))
-                columns = [pa.array(name.view(np.int64)), *map(pa.array, (key, w, code.astype(np.int64)))]
-                if not rare:
-                    nothing = pa.nulls(len(name) - len(count), pa.int64())
-                    columns += [pa.concat_arrays([nothing, pa.array(sums[1])]), pa.concat_arrays([nothing, own["id"]])]
-                yield pa.RecordBatch.from_arrays(columns, NAMES if rare else OWN)
-
-        return learned.mapInArrow(found, ", ".join(f"{c} long" for c in (NAMES if rare else OWN)))
-
-    def met(df, by, name):
-        over = W.partitionBy(*by)
-        return df.withColumn(f"{name}_t", F.sum(F.col("code").bitwiseAND(1)).over(over)).withColumn(f"{name}_e", F.count("code").over(over))
-
-    rest = met(occurrences(True), ["w"], "w").unionByName(occurrences(False)).repartition("key")
-    rest = met(met(rest, ["key", "w"], "pair"), ["key"], "key")
-
-    def weighed(batches):
-        known = shared.value
-        for batch in batches:
-            get = lambda c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            code, loss = get("code"), []
-            line, places = code < 0, np.where(code & 2, get("key"), code)
-            before, at = np.where(line, -1, (places >> 33) - 1), np.where(line, -1, (places >> 2 & 0x7FFFFFFF) - 1)
-            counts = ~line & (get("w") != END.view(np.int64))
-            for k, m in enumerate("te"):
-                c_before, c_word = (np.where(x >= 0, known.counts[k][x] if len(known.counts[k]) else 0, get(c)) for x, c in ((before, f"key_{m}"), (at, f"w_{m}")))
-                own = known.log(k, get(f"pair_{m}"), *(np.where(counts, c, 0) for c in (c_before, c_word)))
-                loss.append(pa.array(np.where(line, get(("w", "w_t")[k]).view(np.float64), np.where(counts, own, 0.0))))
-            rows_, words_ = line.astype(np.int64), np.where(line, -1 - code, 0)
-            own_id = pc.if_else(pa.array(line), batch.column("w_e"), pa.scalar(None, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), own_id, pa.array(rows_), pa.array(words_), *loss], ["name", "id", "n_rows", "n_tokens", "target", "background"])
-
-    lines = rest.mapInArrow(weighed, "name long, id long, n_rows long, n_tokens long, target double, background double")
-    sums = lines.groupBy("name").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "target", "background")))
-    mean = [F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).alias(f"{c}_loss") for c in ("target", "background")]
-    each = sums.select("id", F.expr("n_tokens div n_rows").alias("n_tokens"), *mean, F.explode(F.expr("array_repeat(0, cast(n_rows as int))")))
-    return each.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    model = model_sizes(learned.select("text", "chosen"))
+    events = model.sizes[1]
+    chunks, buckets = events // CHUNK_WORDS + 1, 2 * events // BUCKET_KEYS + 1
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = learned.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))).repartition(max(least, chunks // CHUNKS_EACH), "chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_requests(buckets), "chunk long, bucket long, keys binary, every binary, target binary")
+    answered = asked.repartition(max(least, buckets // CHUNKS_EACH), "bucket").groupBy("bucket").applyInArrow(_replies, "chunk long, bucket long, every binary, target binary")
+    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_scorer(model, id_col), SCHEMA.format(id=id_col))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Every document, scored against the documents that are labelled as of good quality and not toxic."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return score_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), good.select("doc_id"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good.select("doc_id"))

@@ -257,86 +257,61 @@ def test_splitting_tree(spark):
         assert own[0][0] == 0 and own[-1][1] == units and all(a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
-def test_lm_score(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "HEAD", 6)
-    monkeypatch.setattr(lm_score, "WORDS", 12)
-    rnd = random.Random(9)
-    data = [(k, " ".join(rnd.choice("abcdefghij" if k % 2 else "fghijklmno") for _ in range(30))) for k in range(80)] + ODD
-    df = spark.createDataFrame(data, DOCS).withColumn("h", F.lit(1))
-    chosen = [k for k in range(40) if k % 2]
-    found = {}
-    for r in lm_score.score(df, spark.createDataFrame([(k,) for k in [*chosen, None, 1]], "doc_id long")).collect():
-        found.setdefault(r["doc_id"], r)
-    # a plain version of both models
-    every = [plain.words(t) for _, t in data]
-    counts = Counter(w for ws in every for w in ws)
-    assert found[900]["score"] is None and found[904]["n_tokens"] == 0 and found[905]["n_tokens"] == 1
-    vocabulary = [w for w, _ in counts.most_common()]
-    ranked = sorted(counts.values(), reverse=True)
-    assert len(vocabulary) > 12 and ranked[5] > ranked[6] and ranked[11] > ranked[12]
-    kind = {w: 3 + k if k < 6 else 2 for k, w in enumerate(vocabulary[:12])}
-    loss = []
-    for part in ([plain.words(t) for i, t in data if i in chosen], every):
-        pairs, own = Counter(), Counter(w for ws in part for w in ws)
-        for ws in part:
-            for a, b in zip([None, *ws], ws):
-                pairs[0 if a is None else kind.get(a, 1), kind.get(b, 1)] += 1
-        after = Counter()
-        for (_, b), n in pairs.items():
-            after[b] += n
-        frequency = {b: after[b] + 0.5 for b in range(1, 9)}
-        total = sum(frequency.values())
-        frequency = {b: v / total for b, v in frequency.items()}
-        before = Counter()
-        for (a, _), n in pairs.items():
-            before[a] += n
-        rare = [w for w, k in kind.items() if k == 2]
-        share = {w: (own[w] + 0.5) / (sum(own[v] for v in rare) + 0.5 * len(rare)) for w in rare}
-        chance = lambda a, b: 0.7 * (pairs[a, b] + 0.5 * frequency[b]) / (before[a] + 0.5) + 0.3 * frequency[b]  # noqa: E731, B023
-        loss.append({i: -np.mean([np.log(chance(0 if a is None else kind.get(a, 1), kind.get(b, 1)) * share.get(b, 1)) for a, b in zip([None, *ws], ws)]) for (i, _), ws in zip(data[:80], every)})  # noqa: B023
-    for i in range(80):
-        assert abs(found[i]["target_loss"] - loss[0][i]) < 1e-4 and abs(found[i]["background_loss"] - loss[1][i]) < 1e-4
-    assert np.mean([found[i]["score"] for i in range(41, 80, 2)]) < np.mean([found[i]["score"] for i in range(40, 80, 2)])
-    assert lm_score.score(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
-
-
-@pytest.mark.parametrize(("head", "most"), [(6, 12), (0, 0), (1_500, 65_536)])
-def test_lm_score_counts_all_words(spark, monkeypatch, head, most):
-    """Every word and pair has its own counts, however few words are kept at hand."""
-    monkeypatch.setattr(lm_score, "HEAD", head)
-    monkeypatch.setattr(lm_score, "HELD", most)
+@pytest.mark.parametrize(("chunk", "bucket"), [(40, 64), (700, 16), (1 << 19, 1 << 20)])
+def test_lm_score(spark, monkeypatch, chunk, bucket):
+    """Against plain models over all words and pairs, each document's own counts left out, whatever the chunks."""
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(lm_score, "BUCKET_KEYS", bucket)
     rnd = random.Random(3)
     data = [(k, " ".join(rnd.choice("abcdefghij" if k % 2 else "fghijklmno") + rnd.choice(["", "", str(rnd.randrange(40))]) for _ in range(30))) for k in range(80)] + ODD
     chosen = [k for k in range(40) if k % 2]
-    df = spark.createDataFrame(data, DOCS).withColumn("h", F.lit(1))
-    found = rows(lm_score.score_words(df, spark.createDataFrame([(k,) for k in [*chosen, None, 1]], "doc_id long")))
-    expected = [[], []]
-    types = len({w for _, t in data for w in plain.words(t)})
-    for loss, part in zip(expected, ([plain.words(t) for i, t in data if i in chosen], [plain.words(t) for _, t in data])):
-        own = Counter(w for ws in part for w in ws)
-        pairs = Counter(p for ws in part for p in zip([None, *ws], ws))
-        total, own[None] = sum(own.values()), sum(bool(ws) for ws in part)
-        alone = lambda w: (own[w] + 0.5) / (total + 0.5 * types)  # noqa: E731, B023
-        chance = lambda a, w: 0.7 * (pairs[a, w] + 0.5 * alone(w)) / (own[a] + 0.5) + 0.3 * alone(w)  # noqa: E731, B023
-        for _, t in data:
-            ws = plain.words(t)
-            loss.append(-np.mean([np.log(chance(a, w)) for a, w in zip([None, *ws], ws)]) if ws else None)
-    plainly = sorted(((i, len(plain.words(t)), a, b, None if a is None else a - b) for (i, t), a, b in zip(data, *expected)), key=lambda r: str(r[:2]))
+    df = spark.createDataFrame(data, DOCS).withColumn("chunk", F.lit(1)).withColumn("chosen", F.lit("x"))
+    found = rows(lm_score.score(df, spark.createDataFrame([(k,) for k in [*chosen, None, 1]], "doc_id long")))
+    texts = [(i, plain.words(t)) for i, t in data]
+    kinds = len({w for _, ws in texts for w in ws}) + 1
+    models = []
+    for part in ([ws for i, ws in texts if i in chosen], [ws for _, ws in texts]):
+        seqs = [[0, *ws, 1] for ws in part if ws]
+        models.append((Counter(x for q in seqs for x in q), Counter(p for q in seqs for p in zip(q, q[1:])), sum(len(q) - 1 for q in seqs)))
+    scale = models[0][2] / models[1][2]
+    want = []
+    for i, ws in texts:
+        losses = []
+        for k, (alone, pairs, size) in enumerate(models):
+            times, r, q = int(k == 1 or i in chosen), (1, scale)[k], [0, *ws, 1]
+            own, own_pairs = Counter(q), Counter(zip(q, q[1:]))
+            of = lambda w: (r * (alone[w] - times * own[w]) + 0.5) / (r * (size - times * (len(ws) + 1)) + 0.5 * kinds)  # noqa: E731, B023
+            chance = lambda v, w: (r * (pairs[v, w] - times * own_pairs[v, w]) + 5 * of(w)) / (r * (alone[v] - times * own[v]) + 5)  # noqa: E731, B023
+            losses.append(-np.mean([np.log(chance(v, w)) for v, w in zip(q, ws)]) if ws else None)
+        want.append((i, len(ws), *losses, losses[0] - losses[1] if ws else None))
     found.sort(key=lambda r: str(r[:2]))
+    want.sort(key=lambda r: str(r[:2]))
     assert len(found) == len(data)
-    for got, want in zip(found, plainly):
-        assert got[:2] == want[:2] and (got[2] is None) == (want[2] is None)
-        assert want[2] is None or np.allclose(got[2:], want[2:], atol=1e-9)
-    assert lm_score.score_words(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
-
-
-@pytest.mark.parametrize("words", [0, 1, 3, 4, 7, 50, 10_000])
-def test_least_count(spark, words):
-    rnd = random.Random(words)
-    counts = [int(2 ** (10 * rnd.random())) for _ in range(300)]
-    least = lm_score.least_count(spark.createDataFrame([(c,) for c in counts], "everywhere long"), words)
-    lower = max((c for c in counts if c < least), default=None)
-    assert sum(c >= least for c in counts) <= words and (lower is None or sum(c >= lower for c in counts) > words)
+    for got, exact in zip(found, want):
+        assert got[:2] == exact[:2] and (got[2] is None) == (exact[2] is None)
+        assert exact[2] is None or np.allclose(got[2:], exact[2:], atol=1e-9)
+    assert lm_score.score(df.limit(0), df.limit(0).select("doc_id")).isEmpty()
+    assert all(r[2] is not None or not r[1] for r in rows(lm_score.score(df, df.limit(0).select("doc_id"))))
+
+
+def test_lm_score_does_not_tell_what_was_learned(spark):
+    """Documents of one kind score alike, whether the target model was learned from them or not; other kinds score higher."""
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    chains = [{w: [rnd.choice(words) for _ in range(6)] for w in words} for _ in range(2)]
+
+    def text(kind):
+        out = [rnd.choice(words)]
+        while len(out) < 150:
+            out.append(rnd.choice(chains[kind][out[-1]]))
+        return " ".join(out)
+
+    data = [(k, text(k % 4 == 3)) for k in range(800)]
+    kind = {k: k % 4 == 3 for k in range(800)}
+    trained = [k for k in range(800) if kind[k] and k % 8 == 3]
+    score = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(data, DOCS), spark.createDataFrame([(k,) for k in trained], "doc_id long")).collect()}
+    one, two = (np.median([score[k] for k in score if kind[k] and (k in trained) == x]) for x in (True, False))
+    assert abs(one - two) < 0.05 and np.median([score[k] for k in score if not kind[k]]) > two + 0.5
 
 
 def test_jaccard_join_of_long_texts(spark):
