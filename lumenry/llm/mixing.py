@@ -1,14 +1,17 @@
 """Operator 7: mixing sources to target weights, in DataFrame and SQL functions only.
 
-Every source is cut into hash-permuted blocks of rows. A source's target becomes an
-exact quota of blocks, whole passes first, the last block in part. A splitting tree
-deals the quotas to output shards: each node halves its blocks, and the numbers that
-go left are drawn source by source from hypergeometric distributions, that is, from
-the multivariate one. A shard then owns disjoint runs of each source's blocks and is
-shuffled locally by a hash.
-
-Only counts of (source, block) are shuffled; the texts stay where they are read. The
-number of blocks of a source is bounded, so every table but the documents is too.
+Every source is cut into hash-permuted blocks of about ``BLOCK_WORDS`` words. A source's
+target becomes an exact quota of blocks, whole passes first, the last block in part. A
+splitting tree deals the quotas to output shards of about ``SHARD_WORDS``: each node halves
+its blocks, and the numbers that go left are drawn source by source from hypergeometric
+distributions, that is, from the multivariate one. A shard then owns disjoint runs of each
+source's blocks and is shuffled locally, by a hash of the row and the shard. The block that is
+taken in part gives its rows in that order, so the shard that the tree deals it to decides which.
+
+Only counts of (source, block) are shuffled by ``mix``; the texts stay where they are read unless
+the draws are too large for a broadcast. Numbers of blocks, shards and sources have no
+bound: running sums go over stretches of blocks first, and a node keeps its sources in
+groups, between which it draws before it draws within them.
 """
 
 from __future__ import annotations
@@ -17,41 +20,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import materialise, small_enough, unused
+from .store import fits, materialise, new_column, unused
 
 BLOCK_WORDS = 20_000
-BLOCKS_LEAST, BLOCKS_MOST = 64, 65_536
+BLOCKS_LEAST = 64
+STRETCH = 4_096
 SHARD_WORDS = 4_000_000
-MOST_LEVELS = 16
-BROADCAST_ROWS = 500_000
+GROUP = 256
+BROADCAST_BYTES = 64 << 20
 
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _in_order(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``turn``, from 1: the place of each source by code point, null last.
+
+    Ranges of sources are numbered each by itself and put behind one another, so no task sees all sources.
+    """
+    last = F.col("source").asc_nulls_last()
+    ranged = totals.repartitionByRange(last).withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy(last))), "sources")
+    sizes = sorted(ranged.groupBy("part").count().collect())
+    before = {r["part"]: sum(x["count"] for x in sizes[:k]) for k, r in enumerate(sizes)}
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
+    return ranged.withColumn("turn", F.col("own") + offset).drop("part", "own")
+
+
 def source_targets(totals: DataFrame, most: int = 3, share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, source_size)``.
 
     Sources by code point, null last, weigh ``weights`` in turn. A target stops at
     ``most`` times its source's size; the excess is shared again by weight until no
-    target is above. Sorted by size against weight, the sources that stop come first,
-    so running sums give the level that the others share.
+    target is above. Each round stops all sources that the level of the last one puts above.
     """
-    turn = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last()))
     table = F.array(*map(F.lit, weights))
-    weighed = totals.withColumn("weight", F.element_at(table, (F.pmod(turn - 1, F.lit(len(weights))) + 1).cast("int")))
-    every = W.partitionBy(F.lit(1))
-    lower = every.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = lower.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * share - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    ranked = weighed.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") > most * F.col("source_size"))
-    shared = F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)
-    common = shared.getField("level") * F.col("weight")
+    weighed = _in_order(totals).withColumn("weight", F.element_at(table, (F.pmod(F.col("turn") - 1, F.lit(len(weights))) + 1).cast("int")))
+    weighed = materialise(weighed, "weighed")
+    level = 0.0
+    while True:
+        stops = F.col("weight") * F.lit(level) > most * F.col("source_size") * (1 + 1e-12)
+        row = weighed.agg(
+            F.sum("source_size").alias("size"), F.sum(F.when(stops, F.col("source_size"))).alias("stopped"), F.sum(F.when(~stops, F.col("weight"))).alias("weight")
+        ).first()
+        if not row["weight"]:
+            break
+        found = (row["size"] * share - most * (row["stopped"] or 0)) / row["weight"]
+        if found <= level:
+            break
+        level = found
     cap = (F.col("source_size") * most).cast("double")
-    return ranked.withColumn("target", F.when(F.col("stops"), cap).otherwise(F.least(common, cap))).select("source", "source_size", "target")
+    return weighed.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap).alias("target"))
 
 
 def _log_factorial(n: str) -> str:
@@ -87,63 +107,102 @@ def _drawn(own: str, rest: str, take: str, chance: str) -> str:
     return f"if({take} <= 0 or {own} <= 0, 0L, if({rest} <= 0, {take}, element_at(transform(array({outer}), m -> {walk}), 1)))"
 
 
-def _halved(seed: int, level: int) -> str:
-    """The numbers of each source that go left: draws along the array of counts."""
-    chance = f"(pmod(xxhash64({seed}, {level}, node, size(z.out)), 9007199254740991) + 0.5D) / 9007199254740992D"
+def _split(seed: int, level: int, counts: str, total: str, take: str, salt: str) -> str:
+    """How many of each of ``counts``, which sum to ``total``, are among ``take`` that go left: draws along the array."""
+    chance = f"(pmod(xxhash64({seed}, {level}, node, {salt}, size(z.out)), 9007199254740991) + 0.5D) / 9007199254740992D"
     draw = _drawn("c", "(z.have - c)", "z.take", chance)
     return (
-        "aggregate(counts, named_struct('have', total, 'take', total div 2, 'out', cast(array() as array<bigint>)), "
+        f"aggregate({counts}, named_struct('have', {total}, 'take', {take}, 'out', cast(array() as array<bigint>)), "
         f"(z, c) -> element_at(transform(array({draw}), d -> named_struct('have', z.have - c, 'take', z.take - d, 'out', concat(z.out, array(d)))), 1), "
         "z -> z.out)"
     )
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
-    """``(source, shard, lo, hi)``: the run of each source's drawn blocks that a shard owns, from ``(source, units)``."""
+    """``(source, shard, lo, hi)``: the run of each source's drawn blocks that a shard owns, from ``(source, units)``.
+
+    A row of the tree is a node and a group of at most about ``GROUP`` sources.
+    """
+    quotas = quotas.where("units > 0")
+    groups = quotas.count() // GROUP + 1
     order = "array_sort(collect_list(named_struct('nul', source is null, 'source', source, 'units', units)))"
-    nodes = quotas.where("units > 0").agg(F.expr(order).alias("own")).where("size(own) > 0")
-    nodes = nodes.selectExpr("transform(own, o -> o.source) sources", "transform(own, o -> o.units) counts", "0L node")
+    own = quotas.groupBy(F.pmod(F.xxhash64("source"), F.lit(groups)).alias("grp")).agg(F.expr(order).alias("own"))
+    nodes = own.selectExpr("transform(own, o -> o.source) sources", "transform(own, o -> o.units) counts", "grp", "0L node")
     for level in range(levels):
-        nodes = nodes.withColumn("total", F.expr("aggregate(counts, 0L, (a, c) -> a + c)")).withColumn("left", F.expr(_halved(seed, level)))
+        nodes = nodes.withColumn("total", F.expr("aggregate(counts, 0L, (a, c) -> a + c)"))
+        if groups == 1:
+            nodes = nodes.withColumn("take", F.expr("total div 2"))
+        else:
+            sums = nodes.groupBy("node").agg(F.expr("array_sort(collect_list(named_struct('grp', grp, 'total', total)))").alias("g"))
+            sums = sums.withColumn("have", F.expr("aggregate(g, 0L, (a, x) -> a + x.total)"))
+            sums = sums.withColumn("takes", F.expr(_split(seed, level, "transform(g, x -> x.total)", "have", "have div 2", "-1L")))
+            sums = sums.selectExpr("node", "inline(arrays_zip(transform(g, x -> x.grp) as grp, takes as take))").toDF("node", "grp", "take")
+            nodes = nodes.join(sums, ["node", "grp"])
+        nodes = nodes.withColumn("left", F.expr(_split(seed, level, "counts", "total", "take", "grp")))
         sides = "explode(array(named_struct('node', 2 * node, 'counts', left), named_struct('node', 2 * node + 1, 'counts', zip_with(counts, left, (c, d) -> c - d))))"
-        nodes = nodes.selectExpr("sources", f"{sides} side").selectExpr("sources", "side.counts counts", "side.node node")
+        nodes = nodes.selectExpr("sources", "grp", f"{sides} side").selectExpr("sources", "grp", "side.counts counts", "side.node node")
         if level % 4 == 3:
-            nodes = materialise(nodes.repartition("node"), "split-nodes")
+            nodes = materialise(nodes.repartition("node", "grp"), "split-nodes")
     shards = nodes.selectExpr("node shard", "inline(arrays_zip(sources, counts))").withColumnRenamed("sources", "source").where("counts > 0")
-    hi = F.sum("counts").over(W.partitionBy("source").orderBy("shard"))
-    return shards.withColumn("hi", hi).selectExpr("source", "shard", "hi - counts lo", "hi")
+    return running(shards, "shard", {"hi": "counts"}).selectExpr("source", "shard", "hi - counts lo", "hi")
+
+
+def running(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """``rows(source, ...)`` with running sums per source along the long ``order``, stretch by stretch and then over stretches."""
+    inner = rows.withColumn("stretch", F.expr(f"{order} div {STRETCH}"))
+    totals = inner.groupBy("source", "stretch").agg(*[F.sum(c).alias(f"{name}_own") for name, c in sums.items()])
+    before = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col("source").alias("s"), F.col("stretch").alias("t"), *[F.coalesce(F.sum(f"{name}_own").over(before), F.lit(0)).alias(f"{name}_before") for name in sums])
+    within = W.partitionBy("source", "stretch").orderBy(order)
+    inner = inner.select("*", *[F.sum(c).over(within).alias(name) for name, c in sums.items()])
+    met = inner.join(totals, inner.source.eqNullSafe(totals.s) & (inner.stretch == totals.t))
+    return met.select(*rows.columns, *[(F.col(name) + F.col(f"{name}_before")).alias(name) for name in sums])
 
 
 def blocks_of(size: str) -> Column:
-    return F.least(F.lit(BLOCKS_MOST), F.greatest(F.lit(BLOCKS_LEAST), F.expr(f"{size} div {BLOCK_WORDS}"))).cast("long")
+    return F.greatest(F.lit(BLOCKS_LEAST), F.expr(f"{size} div {BLOCK_WORDS}")).cast("long")
 
 
-def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Targets, and per (source, block) the copies drawn, from ``sized(source, key, size)``."""
+def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``sized(source, key, size)``: targets; per (source, block) the copies drawn; per (source, key) the words of the copy that is drawn in part."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, most, share).withColumn("blocks", blocks_of("source_size"))
     targets = materialise(targets, "targets")
-    in_source = sized.join(F.broadcast(targets) if small_enough(targets, BROADCAST_ROWS) else targets, sized.source.eqNullSafe(targets.source))
-    held = in_source.select(sized.source, "size", F.pmod("key", "blocks").alias("block")).groupBy("source", "block").agg(F.sum("size").alias("words"))
-    held = held.where("words > 0").withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("block")))
-    held = held.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("block")) - 1)
-    held = held.withColumn("used", F.count("*").over(W.partitionBy("source"))).withColumnRenamed("source", "s")
-    held = held.join(targets, held.s.eqNullSafe(targets.source)).select(
-        "source", "block", "words", "upto", "place", "used", F.floor(F.col("target") / F.col("source_size")).alias("passes"),
-        (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("rest"),
+    small = F.broadcast(targets) if fits(targets, BROADCAST_BYTES) else targets
+    in_source = sized.join(small, sized.source.eqNullSafe(small.source)).select(sized.source, "key", "size", F.pmod("key", "blocks").alias("block"))
+    held = in_source.groupBy("source", "block").agg(F.sum("size").alias("words")).where("words > 0").withColumn("one", F.lit(1))
+    held = running(held, "block", {"upto": "words", "place": "one"})
+    used = held.groupBy("source").agg(F.count("*").alias("used")).withColumnRenamed("source", "s")
+    goals = targets.join(used, targets.source.eqNullSafe(F.col("s"))).select(
+        "s", "used", F.floor(F.col("target") / F.col("source_size")).alias("passes"),
+        F.round(F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).cast("long").alias("rest"),
     )
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("rest") - (F.col("upto") - F.col("words"))) / F.col("words")))
-    held = materialise(held.withColumn("part", part), "blocks")
+    goals = materialise(goals, "goals")
+    goals = F.broadcast(goals) if fits(goals, BROADCAST_BYTES) else goals
+    # the words that the last pass takes of a block; only one block of a source gives some of its words
+    part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - (F.col("upto") - F.col("words"))))
+    held = held.join(goals, held.source.eqNullSafe(F.col("s"))).select("source", "block", "words", (F.col("place") - 1).alias("place"), "used", "passes", part.alias("part"))
+    held = materialise(held, "blocks")
     units = held.groupBy("source").agg((F.max("used") * F.max("passes") + F.sum((F.col("part") > 0).cast("long"))).alias("units"))
-    levels = held.agg(F.sum(F.col("words") * (F.col("passes") + F.col("part")))).first()[0] or 0
-    levels = min(MOST_LEVELS, max(0, int(levels / SHARD_WORDS).bit_length()))
-    runs = split_quotas(units, levels, seed)
+    total = held.agg(F.sum(F.col("words") * F.col("passes") + F.col("part"))).first()[0] or 0
+    runs = split_quotas(units, int(total / SHARD_WORDS).bit_length(), seed)
     copies = held.withColumn("copy", F.expr("explode(filter(sequence(0L, passes), p -> p < passes or part > 0))")).selectExpr(
-        "source s", "block", "copy", "copy * used + place unit", "if(copy < passes, 1D, part) share"
+        "source s", "block", "copy", "copy * used + place unit", "if(copy < passes or part = words, cast(null as bigint), part) quota"
     )
-    dealt = copies.join(runs, copies.s.eqNullSafe(runs.source) & (F.col("unit") >= F.col("lo")) & (F.col("unit") < F.col("hi")))
-    dealt = dealt.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "share"))).alias("copies"))
-    return targets.select("source", "source_size", "target"), materialise(dealt.withColumnRenamed("s", "source"), "draws")
+    # runs lie end to end: a stretch of units meets the few runs that reach into it
+    runs = runs.withColumn("stretch", F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")))
+    copies = copies.withColumn("at", F.expr(f"unit div {STRETCH}"))
+    dealt = copies.join(runs, copies.s.eqNullSafe(runs.source) & (F.col("at") == F.col("stretch")) & (F.col("unit") >= F.col("lo")) & (F.col("unit") < F.col("hi")))
+    dealt = materialise(dealt.select(F.col("s").alias("source"), "block", "copy", "shard", "quota"), "dealt")
+    torn = dealt.where("quota is not null").withColumnsRenamed({"source": "s", "block": "b"})
+    torn = F.broadcast(torn) if fits(torn, BROADCAST_BYTES) else torn
+    rows = in_source.where("size > 0").join(torn, in_source.source.eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    rows = rows.groupBy("source", "block", "key", "copy", "shard", "quota").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    turn = W.partitionBy("source", "block").orderBy(F.xxhash64("key", "shard"), "key").rowsBetween(W.unboundedPreceding, -1)
+    given = F.greatest(F.lit(0), F.least(F.expr("n * size"), F.col("quota") - F.coalesce(F.sum(F.expr("n * size")).over(turn), F.lit(0))))
+    rows = rows.withColumn("words", F.floor(given / F.col("n"))).where("words > 0").select("source", "key", "copy", "shard", "words")
+    whole = dealt.where("quota is null").groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("copies"))
+    return targets, materialise(whole, "draws"), materialise(rows, "parts")
 
 
 def mix(
@@ -158,29 +217,32 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``out_col`` added: struct of size, source_size, target, taken and copies.
 
-    A copy holds its pass, output shard, share of the text's words taken in it, words, and
-    place, a random number below 1 that orders it in its shard. Rows are told apart by a hash
-    of id and text, so rows that repeat share their block and fate. Null sources are a source,
-    null texts have no words; an empty table stays empty. Own columns are kept.
+    A copy holds its pass, output shard, words, and place, a random number below 1 that orders
+    it in its shard. Rows are told apart by a hash of id and text, so rows that repeat share their
+    block and fate; of n such rows in the block that is taken in part each gives the same number of
+    words. Null sources are a source, null texts have no words, long ones count whole; an empty
+    table stays empty. Own columns are kept; one that is called ``out_col`` is an error.
     """
     own = docs.columns
-    m, goal, draw, took = (unused(n, own) for n in ("mixed", "goal", "draw", "took"))
+    new_column(out_col, own)
+    m, goal, draw, part, took = (unused(n, own) for n in ("mixed", "goal", "draw", "part", "took"))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     keyed = docs.withColumn(m, F.struct(words_in(F.col(text_col)).alias("size"), key.alias("key")))
     sized = materialise(keyed.select(F.col(source_col).alias("source"), f"{m}.size", f"{m}.key"), "sizes")
-    targets, drawn = draws(sized, seed, most, share)
-    targets = targets.select(F.struct("source", "source_size", "target", blocks_of("source_size").alias("blocks")).alias(goal))
+    targets, drawn, parts = draws(sized, seed, most, share)
+    targets = targets.select(F.struct("source", "source_size", "target", "blocks").alias(goal))
     drawn = drawn.select(F.struct("source", "block", "copies").alias(draw))
-    if small_enough(drawn, BROADCAST_ROWS) and small_enough(targets, BROADCAST_ROWS):
-        targets, drawn = F.broadcast(targets), F.broadcast(drawn)
+    parts = parts.select(F.struct("source", "key", "copy", "shard", "words").alias(part))
+    targets, drawn, parts = (F.broadcast(t) if fits(t, BROADCAST_BYTES) else t for t in (targets, drawn, parts))
     met = keyed.join(targets, F.col(source_col).eqNullSafe(F.col(f"{goal}.source")), "left")
     met = met.join(
-        drawn,
-        F.col(source_col).eqNullSafe(F.col(f"{draw}.source")) & (F.pmod(f"{m}.key", f"{goal}.blocks") == F.col(f"{draw}.block")),
-        "left",
+        drawn, F.col(source_col).eqNullSafe(F.col(f"{draw}.source")) & (F.pmod(f"{m}.key", f"{goal}.blocks") == F.col(f"{draw}.block")), "left"
     )
-    place = f"(pmod(xxhash64({m}.key, c.copy), 9007199254740992) / 9007199254740992D)"
-    copies = f"transform(coalesce({draw}.copies, array()), c -> named_struct('pass', c.copy, 'shard', c.shard, 'share', c.share, 'words', cast(floor({m}.size * c.share) as bigint), 'place', {place}))"
+    met = met.join(parts, F.col(source_col).eqNullSafe(F.col(f"{part}.source")) & (F.col(f"{m}.key") == F.col(f"{part}.key")), "left")
+    place = f"(pmod(xxhash64({m}.key, c.shard, c.copy), 9007199254740992) / 9007199254740992D)"
+    last = f"if({part} is null, array(), array(named_struct('copy', {part}.copy, 'shard', {part}.shard, 'words', {part}.words)))"
+    every = f"concat(transform(coalesce({draw}.copies, array()), c -> named_struct('copy', c.copy, 'shard', c.shard, 'words', {m}.size)), {last})"
+    copies = f"transform({every}, c -> named_struct('pass', c.copy, 'shard', c.shard, 'words', c.words, 'place', {place}))"
     return met.withColumn(took, F.expr(copies)).select(
         *[F.col(f"`{c}`") for c in own],
         F.struct(
@@ -194,14 +256,18 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole rows of ``docs``, one for each copy; a part of a block takes that share of its rows."""
+    """The mix as whole rows of ``docs``, one for each copy, shard by shard in the order of their places.
+
+    The row that crosses its block's quota is taken if half of its words are.
+    """
     out, copy = unused("mix", docs.columns), unused("copy", docs.columns)
     mixed = mix(docs, out_col=out, **options)
-    dealt = mixed.withColumn(copy, F.explode(f"{out}.copies")).where(F.col(f"{copy}.place") < F.col(f"{copy}.share"))
+    dealt = mixed.withColumn(copy, F.explode(f"{out}.copies")).where(2 * F.col(f"{copy}.words") >= F.col(f"{out}.size"))
+    dealt = dealt.repartition(f"{copy}.shard").sortWithinPartitions(f"{copy}.shard", f"{copy}.place")
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """Contract query: all documents, weights 1, 2, 3 in turn, no source above three times its size."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies")
