@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .store import short_batches
 
 LEAST = 0.8
 
@@ -132,10 +133,10 @@ class Templates:
                 dice = 2 * both / (size + window)
                 if dice >= least:
                     best.append((dice, int(place[k]), span))
-            taken: list[tuple[int, int]] = []
+            free = np.ones(total + 1, bool)
             for dice, start, span in sorted(best, key=lambda x: (-x[0], x[1])):
-                if all(start >= b or start + span <= a for a, b in taken):
-                    taken.append((start, start + span))
+                if free[start : start + span].all():
+                    free[start : start + span] = False
                     out.append((self.names[t], dice, start, span + 1))
         return sorted(out, key=lambda x: (-x[1], x[2], x[0]))
 
@@ -150,6 +151,7 @@ def scan(
     columns are not read.
     """
     known = Templates(templates)
+    short_batches(docs.sparkSession)
 
     def scanned(batches):
         for batch in batches:
