@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 
 from . import wordhash
 from .graph import components
-from .store import materialise, small_enough
+from .store import materialise, short_batches, small_enough
 
 FREQUENT_LEAST = 12
 FREQUENT_SHARE = 4000
@@ -329,6 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = materialise(_describe(docs, width, percent), "described")
     full = every.where("n > 0")

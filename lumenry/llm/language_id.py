@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .store import new_column
+from .store import new_column, short_batches
 
 BUCKETS = 1 << 16
 CHUNKS = 16
@@ -156,6 +156,7 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """Fit to all rows of ``rows(lang, text)`` with a language and a text."""
+    short_batches(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
     counts = _counts(rows)
     languages = list(counts)
@@ -206,6 +207,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     stretch of ``SLICE`` bytes at a time.
     """
     new_column(out_col, docs.columns)
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import wordhash
-from .store import materialise, small_enough
+from .store import materialise, short_batches, small_enough
 from .tokens import ByteBpe
 
 OFFSET_ROWS = 500_000
@@ -209,6 +209,7 @@ def pack(
     packed like others; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(cut(docs, vocabulary, limit, end_id), "pieces")
     held = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("c")), "lengths")
