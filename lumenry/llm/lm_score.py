@@ -20,6 +20,7 @@ for a chunk. The texts are shuffled once, for both uses.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,11 @@ from .store import short_batches, small_enough
 
 SMOOTHING = 0.5
 BACKOFF = 5.0
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 21
 BUCKET_KEYS = 1 << 20
-CHUNKS_EACH = 8
+CHUNKS_EACH = 4
+HELD = 1 << 20
+KEY_BITS = 48
 BROADCAST_IDS = 1_000_000
 SLICE = 512 << 10
 START, END = np.uint64(0xA5C3F10E96D2B487), np.uint64(0x5E1B7D942CF60A3B)
@@ -90,29 +93,54 @@ def _chunk_keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, count, out
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest; the first byte tells how many."""
-    size = next(n for n in (1, 2, 4, 8) if n == 8 or counts.max(initial=0) < 1 << 8 * n)
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes that hold the largest, low bytes of all first; the first byte tells how many each takes."""
+    size = next(n for n in range(1, 9) if n == 8 or numbers.max(initial=0) < 1 << 8 * n)
+    planes = np.ascontiguousarray(numbers.astype("<u8")[:, None].view(np.uint8)[:, :size].T)
+    return bytes([size]) + planes.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8")[:, 0]
+
+
+def _small(counts: np.ndarray) -> bytes:
+    return zlib.compress(_packed(counts), 1)
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return _unpacked(zlib.decompress(raw))
+
+
+def _places(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each of ascending keys, and its place in the bucket as ``KEY_BITS`` bits.
+
+    A bucket holds about ``BUCKET_KEYS`` keys at any size of the corpus, so two keys share a place with a probability of about 4e-9.
+    """
+    high, low = value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)
+    share = high * np.uint64(buckets) + (low * np.uint64(buckets) >> np.uint64(32))
+    bucket = share >> np.uint64(32)
+    # the 32 bits below the bucket and, of the key's lowest bits, those that the product has not used
+    rest = (share & np.uint64(0xFFFFFFFF)) << np.uint64(KEY_BITS - 32)
+    return bucket.astype(np.int64), (rest | (low * np.uint64(buckets) & np.uint64(0xFFFFFFFF)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def _requests(buckets: int):
     def named(docs: pa.Table) -> pa.Table:
         value, count, target = _chunk_keys(docs)
-        bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket, place = _places(value, buckets)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(value)]]) if len(value) else np.zeros(1, np.int64)
         parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
         return pa.table(
             {
                 "chunk": pa.array(np.full(len(parts), docs["chunk"][0].as_py(), np.int64)),
                 "bucket": pa.array(bucket[cuts[:-1]]),
-                "keys": pa.array([value[p].tobytes() for p in parts], pa.binary()),
-                "every": pa.array([_packed(count[p]) for p in parts], pa.binary()),
-                "target": pa.array([_packed(target[p]) for p in parts], pa.binary()),
+                "keys": pa.array([_packed(np.diff(place[p], prepend=0)) for p in parts], pa.binary()),
+                "every": pa.array([_small(count[p]) for p in parts], pa.binary()),
+                "target": pa.array([_small(target[p]) for p in parts], pa.binary()),
             }
         )
 
@@ -121,14 +149,14 @@ def _requests(buckets: int):
 
 def _replies(asked: pa.Table) -> pa.Table:
     """For each chunk that asks a bucket, the sums over all chunks in the order of its keys."""
-    keys = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
+    keys = [np.cumsum(_unpacked(x)) for x in asked["keys"].to_pylist()]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     out = {}
     for name in ("every", "target"):
         # sums below 2^53 are exact
-        total = np.bincount(at, np.concatenate([_unpacked(x) for x in asked[name].to_pylist()])).astype(np.int64)
-        out[name] = pa.array([_packed(x) for x in np.split(total[at], cuts)], pa.binary())
+        total = np.bincount(at, np.concatenate([_large(x) for x in asked[name].to_pylist()])).astype(np.int64)
+        out[name] = pa.array([_small(x) for x in np.split(total[at], cuts)], pa.binary())
     return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], **out})
 
 
@@ -158,7 +186,7 @@ def _scorer(model: Model, id_col: str):
             return pa.table({id_col: pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("target_loss", "background_loss", "score")}})
         value, _, _ = _chunk_keys(docs)
         replies = replies.sort_by("bucket")
-        counts = [np.concatenate([np.zeros(0, np.int64), *map(_unpacked, replies[name].to_pylist())]) for name in ("target", "every")]
+        counts = [np.concatenate([np.zeros(0, np.int64), *map(_large, replies[name].to_pylist())]) for name in ("target", "every")]
         if len(counts[0]) != len(value):
             raise ValueError(f"{len(value)} keys asked, {len(counts[0])} answered")
         texts, chosen = docs["text"].combine_chunks(), docs["chosen"].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -192,14 +220,31 @@ def _scorer(model: Model, id_col: str):
 def model_sizes(docs: DataFrame) -> Model:
     """Sizes from all of ``docs(text, chosen)``; an event is a word or a text's end."""
 
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts, 1)
+        value, at = np.unique(rows[0], return_inverse=True)
+        return np.stack([value, *(np.bincount(at, x, len(value)).astype(np.uint64) for x in rows[1:])])
+
     def counted(batches):
+        parts, size = [], 0
         for batch in batches:
             chosen = batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, sequence, row, _ in _slices(batch.column("text")):
                 event = sequence != START
                 value, where, count = np.unique(sequence[event], return_inverse=True, return_counts=True)
                 target = np.bincount(where[chosen[lo:hi][row[event]]], minlength=len(value))
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count), pa.array(target)], ["h", "every", "target"])
+                parts.append(np.stack([value, count.astype(np.uint64), target.astype(np.uint64)]))
+                size += len(value)
+                if size > HELD:
+                    parts = [merged(parts)]
+                    size = 0
+                    if len(parts[0][0]) > HELD:
+                        yield batch_of(parts.pop())
+        if parts:
+            yield batch_of(merged(parts))
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in rows], ["h", "every", "target"])
 
     kinds = docs.mapInArrow(counted, "h long, every long, target long").groupBy("h").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
     total = kinds.agg(F.sum("target").alias("target"), F.sum("every").alias("every"), F.count("*").alias("kinds")).first()
