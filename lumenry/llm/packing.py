@@ -4,8 +4,10 @@ A configuration is a multiset of piece lengths that fits into one sequence. The
 program over the length histogram asks for the fewest configurations that cover all
 pieces. Multiplicative weights solve it: a knapsack dynamic program prices, in one
 table, the best configuration through every length, near-best ones are taken, and the
-prices of covered lengths fall. The fractional plan is rounded down, and what is left
-is packed longest first, each time by the fullest configuration the remaining pieces allow.
+prices of covered lengths fall. The fractional plan is rounded: full configurations are used
+as often as their running sum of amounts gains whole numbers, as long as their pieces last. What is left makes a
+smaller program, which is solved and rounded again. The few pieces that no such round
+places are packed longest first, each time by the fullest configuration they allow.
 
 The plan works on at most ``limit`` counts, whatever the number of documents; only it
 runs on the driver. Pieces find their place by their rank among pieces of their length.
@@ -30,8 +32,12 @@ from .tokens import ByteBpe
 
 OFFSET_ROWS = 500_000
 SLICE = 1 << 20
-ROUNDS = 40
-RATE = 0.5
+ROUNDS = 60
+SOLVED = 6
+LEAST_GAIN = 0.02
+RATE = 0.3
+STEP = 0.2
+NEAR = 0.5
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +48,7 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int) -> tuple[np.nd
         best[c] = best[c - 1]
         if k := fitting[c]:
             value = prices[:k] + best[c - lengths[:k]]
-            top = int(value.argmax())
+            top = k - 1 - int(value[::-1].argmax())  # of equal ones the longest: short pieces are the ones that fill gaps
             if value[top] > best[c]:
                 best[c], taken[c] = value[top], top
     return best, taken
@@ -65,26 +71,43 @@ def _follow(capacity: np.ndarray, taken: np.ndarray, lengths: np.ndarray) -> np.
         left[live] -= lengths[item]
 
 
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, limit: int, rounds: int = ROUNDS, rate: float = RATE):
-    """Fractional configuration plan: (rows of item counts, amounts), covering about ``counts``."""
-    prices = lengths / limit
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, limit: int, above: int = 0, rounds: int = ROUNDS, rate: float = RATE):
+    """Fractional configuration plan: (rows of item counts, amounts), covering no length more than ``counts``.
+
+    A round prices lengths by their size, times a weight that falls exponentially with the share
+    that is covered, and takes the best configuration through every length over ``above`` if it is a good one. It covers at most
+    ``STEP`` of a length, so that no configuration runs away with the short pieces that many need.
+    """
     amounts: dict[bytes, float] = defaultdict(float)
     covered = np.zeros(len(lengths))
-    need = float(lengths @ counts) / limit
+    need, idle = float(lengths @ counts) / limit, 0
     for _ in range(rounds):
-        best, taken = knapsack(lengths, prices, limit)
-        value = prices + best[limit - lengths]
-        near = np.flatnonzero(value >= 0.995 * value.max())
-        plans = _follow(limit - lengths[near], taken, lengths)
+        rest = counts - covered
+        live = np.flatnonzero(rest > 1e-9)
+        if not (lengths[live] > above).any():
+            break
+        prices = lengths[live] / limit * np.exp(-rate * covered[live] / counts[live])
+        best, taken = knapsack(lengths[live], prices, limit)
+        value = prices + best[limit - lengths[live]]
+        near = np.flatnonzero((value >= NEAR * np.median(value)) & (lengths[live] > above))
+        plans = _follow(limit - lengths[live][near], taken, lengths[live])
         plans[np.arange(len(near)), near] += 1
-        share = counts[near] * np.maximum(1e-9, 1 - covered[near] / counts[near] / max(1e-9, (covered / counts).max()))
-        share = share / share.sum() if share.sum() > 0 else np.full(len(near), 1 / len(near))
-        share *= need / rounds
-        for plan, x in zip(plans, share):
-            amounts[plan.tobytes()] += x
-        covered += share @ plans
-        prices = prices * np.exp(-rate * (covered / counts - (covered * lengths).sum() / (counts * lengths).sum()))
-        prices = np.clip(prices / prices.max(), 1e-12, None)
+        budget, gained = np.minimum(rest, np.maximum(STEP * counts, 1)), 0.0
+        full = plans @ lengths[live] == limit
+        for k in np.lexsort((-near, ~full)):  # the longest pieces have the fewest configurations
+            own = np.flatnonzero(plans[k])
+            at, held = live[own], plans[k, own]
+            x = float((budget[at] / held).min())
+            if x > 1e-9:
+                row = np.zeros(len(lengths), np.int32)
+                row[at] = held
+                amounts[row.tobytes()] += x
+                budget[at] -= x * held
+                covered[at] += x * held
+                gained += x
+        idle = idle + 1 if gained < 1e-3 * need else 0
+        if idle == 3:
+            break
     return np.array([np.frombuffer(k, np.int32) for k in amounts]), np.array(list(amounts.values()))
 
 
@@ -110,36 +133,56 @@ def _fullest(lengths: list[int], left: dict[int, int], capacity: int) -> dict[in
     return out
 
 
-def plan(histogram: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold exactly ``histogram``."""
-    left = {n: c for n, c in sorted(histogram.items()) if c > 0}
+def rounded(lengths: np.ndarray, left: dict[int, int], plans: np.ndarray, amounts: np.ndarray, limit: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of the full configurations of a fractional plan; what they hold is taken off ``left``."""
+    full = np.flatnonzero(plans @ lengths == limit) if len(plans) else np.zeros(0, np.int64)
+    full = full[np.lexsort((full, -amounts[full]))]
+    upto = np.floor(np.cumsum(amounts[full]) + 0.5)
     out = []
-    if limit in left:
-        out.append(({limit: 1}, left.pop(limit)))
-    if left:
-        lengths, counts = np.array(list(left)), np.array(list(left.values()), float)
-        plans, amounts = solve_lp(lengths, counts, limit)
-        for k in np.argsort(-(plans @ lengths), kind="stable"):
+    for k, use in zip(full, np.diff(upto, prepend=0)):
+        if use > 0:
             items = {int(lengths[i]): int(plans[k, i]) for i in np.flatnonzero(plans[k])}
-            use = min(int(amounts[k]), *(left[n] // a for n, a in items.items()))
-            if use > 0 and sum(n * a for n, a in items.items()) == limit:
+            use = min(int(use), *(left[n] // a for n, a in items.items()))
+            if use > 0:
                 out.append((items, use))
                 for n, a in items.items():
                     left[n] -= a * use
-    order = sorted(left, reverse=True)
-    for n in order:
-        while left[n] > 0:
-            left[n] -= 1
-            items = _fullest([m for m in order if left[m]], left, limit - n)
-            left[n] += 1
-            items[n] += 1
-            use = min(left[m] // a for m, a in items.items())
-            out.append((dict(items), use))
-            for m, a in items.items():
-                left[m] -= a * use
     return out
 
 
+def plan(histogram: dict[int, int], limit: int) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """Configurations and how often each is used: those of the program, and those that fill the rest.
+
+    Together they hold exactly ``histogram``. Pieces over half a sequence, no two of which go together, come first.
+    """
+    left = {n: c for n, c in sorted(histogram.items()) if c > 0}
+    solved, rest = [], []
+    if limit in left:
+        solved.append(({limit: 1}, left.pop(limit)))
+    for above, times in ((limit // 2, 1), (0, SOLVED)):
+        for _ in range(times):
+            lengths = np.array([n for n, c in left.items() if c > 0])
+            counts = np.array([c for c in left.values() if c > 0], float)
+            if not (lengths > above).any():
+                break
+            found = rounded(lengths, left, *solve_lp(lengths, counts, limit, above), limit)
+            solved += found
+            if sum(use for _, use in found) * limit < LEAST_GAIN * float(lengths @ counts):
+                break
+        order = sorted(left, reverse=True)
+        for n in order:
+            while n > above and left[n] > 0:
+                left[n] -= 1
+                items = _fullest([m for m in order if left[m]], left, limit - n)
+                left[n] += 1
+                items[n] += 1
+                use = min(left[m] // a for m, a in items.items())
+                rest.append((dict(items), use))
+                for m, a in items.items():
+                    left[m] -= a * use
+    return solved, rest
+
+
 def slots(plans: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: first rank of each slot, its first sequence, and its offset in the sequence."""
     rank, first, out = defaultdict(int), 0, defaultdict(list)
@@ -214,7 +257,7 @@ def pack(
     pieces = materialise(cut(docs, vocabulary, limit, end_id), "pieces")
     held = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("c")), "lengths")
     histogram = {r["length"]: r["c"] for r in held.groupBy("length").agg(F.sum("c").alias("c")).collect()}
-    places = spark.sparkContext.broadcast(slots(plan(histogram, limit)))
+    places = spark.sparkContext.broadcast(slots(sum(plan(histogram, limit), [])))
     before = held.withColumn("before", F.sum("c").over(W.partitionBy("length").orderBy("part")) - F.col("c")).drop("c")
     before = F.broadcast(before) if small_enough(before, OFFSET_ROWS) else before
 
