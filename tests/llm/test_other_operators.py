@@ -84,6 +84,36 @@ def test_url_templates_of_files_and_deep_paths(spark):
     assert all(abs(r["judged"]["purity"] - found[r["page_id"]]["purity"]) < 1e-9 for r in alone.collect() if r["page_id"] < 1000)
 
 
+def test_url_tree_against_plain(spark):
+    rnd = random.Random(12)
+    paths = {}
+    for _ in range(900):
+        host = rnd.choice(["a.com", "a.com", "b.org", ""])
+        first = rnd.choice(["news", "about", "ads", "forum", "shop", f"odd{rnd.randrange(60)}", "#", "@"])
+        segs = (first, *(rnd.choice(["x", "y", "#", "#.html", "deep", "@"]) for _ in range(rnd.choice([0, 0, 1, 1, 2, 5]))))
+        if rnd.random() < 0.05:
+            segs = ()
+        labelled = 0 if first == "forum" else rnd.randrange(4)
+        n, had, bad = paths.get((host, segs), (0, 0, 0))
+        paths[host, segs] = (n + rnd.randrange(1, 9), had + labelled, bad + sum(rnd.random() < (0.8 if first == "ads" else 0.1) for _ in range(labelled)))
+    want = plain.url_templates(paths)
+    seen = spark.createDataFrame([(h, list(s), *c) for (h, s), c in paths.items()], "host string, segs array<string>, n long, labelled long, bad long")
+    found = {(r["host"], tuple(r["segs"])): (r["template"], r["purity"]) for r in url_filter.template_tree(seen).collect()}
+    assert set(found) == set(want) and any(t.startswith("/+") for t, _ in want.values())
+    for key, (template, purity) in want.items():
+        assert found[key][0] == template and abs(found[key][1] - purity) < 1e-9, key
+
+
+def test_url_branches_without_labels_are_not_blocked(spark):
+    data = [(f"http://a.com/{part}/{k}", k) for part, lo in (("news", 0), ("about", 1000), ("ads", 2000), ("forum", 3000)) for k in range(lo, lo + 400)]
+    labels = [(k, 0) for k in range(0, 1400)] + [(k, int(k % 10 < 7)) for k in range(2000, 2400)]
+    urls = spark.createDataFrame(data, "url string, k long")
+    got = url_filter.judge(urls, spark.createDataFrame(labels, "key long, bad int"), rules=()).select("url", "judged.verdict").collect()
+    assert {r["verdict"] for r in got if "/ads/" in r["url"]} == {"block"} and {r["verdict"] for r in got if "/ads/" not in r["url"]} == {"allow"}
+    with pytest.raises(ValueError, match="out_col"):
+        url_filter.judge(urls, spark.createDataFrame(labels, "key long, bad int"), out_col="URL")
+
+
 def test_warc(spark, tmp_path):
     body = "<html>" + "ü\r\n\r\n" * 60
     data = [(k, f"http://a/{k}", body if k % 3 == 0 else f"{body}{k}") for k in range(30)]

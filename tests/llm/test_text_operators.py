@@ -73,7 +73,7 @@ def test_jaccard_join_on_nothing(spark):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_packing_plan_is_exact(histogram):
     held = Counter()
-    for items, use in packing.plan(histogram, 64):
+    for items, use in sum(packing.plan(histogram, 64), []):
         assert use > 0 and sum(n * a for n, a in items.items()) <= 64
         for n, a in items.items():
             held[n] += a * use
@@ -83,8 +83,22 @@ def test_packing_plan_is_exact(histogram):
 def test_packing_plan_is_tight():
     rng = np.random.default_rng(2)
     u, c = np.unique(rng.integers(1, 1025, 20_000), return_counts=True)
-    used = sum(use for _, use in packing.plan(dict(zip(u.tolist(), c.tolist())), 1024))
+    solved, rest = packing.plan(dict(zip(u.tolist(), c.tolist())), 1024)
+    used = sum(use for _, use in solved + rest)
     assert used <= 1.004 * -(-int(u @ c) // 1024)
+    full = sum(use for items, use in solved if items == {1024: 1})
+    assert sum(use for _, use in solved) - full >= 0.8 * (used - full)
+
+
+def test_tokens_of_long_blanks():
+    from tokenizers import Tokenizer
+
+    from lumenry.llm import tokens
+
+    exact, own = Tokenizer.from_file(packing.default_vocabulary()), tokens.ByteBpe(packing.default_vocabulary())
+    for text in ("a" + " " * 2_000_000 + "b", "one two  three\n" * 200_000):
+        got = np.concatenate(list(own.parts(text, 2)))
+        assert got.tolist() == [*exact.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_packing(spark):
