@@ -132,3 +132,135 @@ def merge_settings(automatic: DataFrame, manual: DataFrame) -> DataFrame:
 def adapt(target: DataFrame, preset: DataFrame, settings: DataFrame) -> DataFrame:
     """A preset's look on a target, then settings."""
     return override(apply_look(target, preset), settings)
+
+
+def newline(lines: DataFrame) -> DataFrame:
+    """``(path, eol)``: how the first line of each file ends, a line feed if in no known way."""
+    first = F.min_by("raw", "line")
+    return lines.groupBy("path").agg(F.when(first.endswith("\r\n"), F.lit("\r\n")).otherwise(F.lit("\n")).alias("eol"))
+
+
+def _put_together(pieces: DataFrame) -> DataFrame:
+    """Parsed lines from ``pieces(path, at, turn, raw)``."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "turn", "raw")))
+    return parse(pieces.groupBy("path").agg(F.array_join(F.transform(ordered, lambda s: s["raw"]), "").alias("text")))
+
+
+def _ended(lines: DataFrame, paths: DataFrame, eol: DataFrame) -> DataFrame:
+    """``(path, at, turn, raw)`` of ``lines``; in files of ``paths`` the last line gets an end if it has none."""
+    size = lines.groupBy("path").agg(F.max("line").alias("size"))
+    grown = paths.select("path", F.lit(True).alias("grows")).join(size, "path").join(eol, "path")
+    met = lines.join(grown, "path", "left")
+    open_ = F.col("grows") & (F.col("line") == F.col("size")) & ~F.col("raw").endswith("\n")
+    raw = F.when(F.coalesce(open_, F.lit(False)), F.concat("raw", "eol")).otherwise(F.col("raw"))
+    return met.select("path", F.col("line").cast("double").alias("at"), F.lit(0).cast("long").alias("turn"), raw.alias("raw"))
+
+
+def set_values(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """``lines`` with ``values(path, section, key, value, ord, add)`` written into them.
+
+    All places of a key are rewritten and keep their line ends; of values that repeat a key the last
+    counts. A key that is missing is added, if ``add`` says so, behind the last entry of the first
+    section of that name, in the order of ``ord``; a section that is missing is put at the end of the
+    file, behind a blank line. A path without lines is an empty file.
+    """
+    key = ["path", "section", "key"]
+    wanted = values.groupBy(*key).agg(F.max_by("value", "ord").alias("put"), F.min("ord").alias("ord"), F.max_by("add", "ord").alias("add"))
+    entries = lines.where("kind = 'entry'").select(*key).distinct()
+    eol = newline(lines)
+    missing = wanted.join(entries, key, "left_anti").where("add").join(eol, "path", "left").withColumn("eol", F.coalesce("eol", F.lit("\n")))
+    line_end = F.regexp_extract("raw", r"([\r\n]*)$", 1)
+    met = lines.join(wanted.select(*key, "put"), key, "left")
+    hit = (F.col("kind") == "entry") & F.col("put").isNotNull()
+    written = met.withColumn("raw", F.when(hit, F.concat("key", F.lit("="), "put", line_end)).otherwise(F.col("raw"))).drop("put")
+
+    header = lines.where("kind = 'section'").withColumn("after", F.lead("line").over(W.partitionBy("path").orderBy("line")))
+    header = header.groupBy("path", "section").agg(F.min("line").alias("head"), F.min_by(F.struct("after"), "line").alias("next"))
+    inside = lines.where("kind = 'entry'").select("path", "section", F.col("line").alias("entry"))
+    reach = header.join(inside, ["path", "section"], "left").where("entry is null or next.after is null or entry < next.after or head = entry")
+    reach = reach.groupBy("path", "section").agg(F.greatest(F.max("head"), F.coalesce(F.max("entry"), F.lit(0))).alias("spot"))
+    known = header.select("path", "section").join(reach, ["path", "section"], "left").withColumn("found", F.lit(True))
+    heads = header.select("path", "section", "head")
+    placed = missing.join(known, ["path", "section"], "left").join(heads, ["path", "section"], "left")
+    entry = F.concat("key", F.lit("="), "put", "eol")
+    added = placed.where("found").select("path", F.coalesce("spot", "head").cast("double").alias("at"), (F.col("ord") + 1).cast("long").alias("turn"), entry.alias("raw"))
+
+    new = placed.where("found is null")
+    size = lines.groupBy("path").agg(F.max("line").alias("size"))
+    new = new.withColumn("first", F.min("ord").over(W.partitionBy("path", "section"))).join(size, "path", "left")
+    turn = F.dense_rank().over(W.partitionBy("path").orderBy("first", "section"))
+    new = new.withColumn("at", (F.coalesce("size", F.lit(0)) + turn).cast("double")).withColumn("opens", F.col("ord") == F.col("first"))
+    blank = F.when(F.col("size").isNull() & (F.col("at") == 1), F.lit("")).otherwise(F.col("eol"))
+    heading = F.when(F.col("opens"), F.concat(blank, F.lit("["), "section", F.lit("]"), "eol")).otherwise(F.lit(""))
+    new = new.select("path", "at", (F.col("ord") + 1).cast("long").alias("turn"), F.concat(heading, entry).alias("raw"))
+    paths = placed.where("found is null").select("path").distinct()
+    return _put_together(_ended(written, paths, eol).unionByName(added).unionByName(new))
+
+
+def set_marks(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` with the marks of ``wanted(path, rank, color, in_trash)``; a rank of 0 is not added where there is none."""
+    key = [F.lit("General").alias("section"), F.lit(True).alias("add")]
+    rank = wanted.select("path", F.lit("Rank").alias("key"), F.col("rank").cast("string").alias("value"), F.lit(0).alias("ord"), key[0], (F.col("rank") > 0).alias("add"))
+    color = wanted.select("path", F.lit("ColorLabel").alias("key"), F.col("color").cast("string").alias("value"), F.lit(1).alias("ord"), *key)
+    trash = wanted.select("path", F.lit("InTrash").alias("key"), F.col("in_trash").cast("string").alias("value"), F.lit(2).alias("ord"), *key)
+    return set_values(lines, rank.unionByName(color).unionByName(trash))
+
+
+def replace_section(lines: DataFrame, source: DataFrame, name: str) -> DataFrame:
+    """``lines`` with the section ``name`` of the ``source`` of the same path in place of all its own of that name.
+
+    The first section of that name in the source counts; where it has none the section goes. The section stays
+    at its first place or comes to the end, and its lines end as the file's do.
+    """
+    eol = newline(lines)
+    own = source.withColumn("nth", F.count(F.when(F.col("kind") == "section", 1)).over(W.partitionBy("path").orderBy("line")))
+    first = own.where((F.col("section") == name) & (F.col("kind") == "section")).groupBy("path").agg(F.min("nth").alias("nth"))
+    taken = own.join(first, ["path", "nth"]).join(eol, "path")
+    places = lines.groupBy("path").agg(F.min(F.when((F.col("kind") == "section") & (F.col("section") == name), F.col("line"))).alias("head"), F.max("line").alias("size"))
+    taken = taken.join(places, "path").select(
+        "path", F.coalesce("head", F.col("size") + 1).cast("double").alias("at"), F.col("line").cast("long").alias("turn"),
+        F.concat(F.regexp_replace("raw", r"[\r\n]+$", ""), "eol").alias("raw"),
+    )
+    rest = lines.where((F.col("section") != name) | F.col("section").isNull())
+    return _put_together(_ended(rest, places.where("head is null"), eol).unionByName(taken))
+
+
+def adjustments(texts: DataFrame) -> DataFrame:
+    """``(path, line, group, section, key, value, error)`` of ``[group]`` headers over ``Section.Key=value`` lines.
+
+    Section and key part at the last dot before the first equals sign. A header is a row without a section, so that a
+    group without settings is known. Blank lines and ``#`` comments are free; any other line is an error that names it.
+    """
+    split = F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw")
+    lines = texts.select("path", split).select("path", (F.col("line") + 1).alias("line"), F.trim(F.regexp_replace("raw", r"[\r\t]", " ")).alias("raw"))
+    lines = lines.where(~((F.col("raw") == "") | F.col("raw").startswith("#")))
+    head = F.when(F.col("raw").startswith("[") & F.col("raw").endswith("]"), F.expr("substring(raw, 2, length(raw) - 2)"))
+    lines = lines.withColumn("head", head).withColumn("group", F.last(F.col("head"), ignorenulls=True).over(W.partitionBy("path").orderBy("line")))
+    part = lambda k: F.when(F.col("head").isNull(), F.trim(F.regexp_extract("raw", r"^([^=]*)\.([^.=]*)=(.*)$", k)))
+    good = F.col("raw").rlike(r"^[^=]*\.[^.=]*=")
+    error = F.when(F.col("head").isNotNull(), None).when(F.col("group").isNull(), "a setting before any [group]").when(~good, "expected Section.Key=value")
+    lines = lines.withColumn("error", F.when(error.isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), error)))
+    fine = F.col("error").isNull()
+    return lines.select("path", "line", "group", *[F.when(fine, part(k)).alias(c) for k, c in ((1, "section"), (2, "key"), (3, "value"))], "error")
+
+
+def group_settings(rows: DataFrame, group: str) -> DataFrame:
+    """``(path, section, key, value, ord)`` of one group of ``adjustments``; none if it has no header."""
+    return rows.where((F.col("group") == group) & F.col("section").isNotNull()).select("path", "section", "key", "value", F.col("line").alias("ord"))
+
+
+def set_group(rows: DataFrame, settings: DataFrame) -> DataFrame:
+    """``rows(group, section, key, value, ord)`` with the groups of ``settings`` in place of their own."""
+    named = ["group", "section", "key", "value", "ord"]
+    return rows.join(settings.select("group").distinct(), "group", "left_anti").select(named).unionByName(settings.select(named))
+
+
+def automatic(preset: DataFrame, light: DataFrame) -> DataFrame:
+    """``(path, section, key, value)``: the preset's exposure compensation shifted by the stops from ``light(path, reference, own)``.
+
+    ``preset`` holds ``get`` rows. Luminances are linear; nothing is set where one of them is unknown or not positive.
+    """
+    own = preset.where("section = 'Exposure' and key = 'Compensation'").select("path", F.col("value").try_cast("double").alias("had"))
+    known = light.where("reference > 0 and own > 0").join(own, "path", "left")
+    shifted = F.round(F.coalesce("had", F.lit(0.0)) + F.log2(F.col("reference") / F.col("own")), 2)
+    return known.select("path", F.lit("Exposure").alias("section"), F.lit("Compensation").alias("key"), shifted.cast("string").alias("value"))

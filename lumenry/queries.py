@@ -20,7 +20,8 @@ from .operators import keyfile as K
 from .operators import seeded as D
 from .operators import similarity as M
 from .operators import spectral as P
-from .plans.recipe import parse_recipe
+from .plans.parameters import PARAMETERS, describe
+from .plans.recipe import parse_recipe, print_recipe, recipe_frames
 from .sources import shots as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +207,23 @@ def move_plan(spark, sf_dir):
     return T.move_plan(shots, members, taken, "shoot")
 
 
+@query(f"""with {FILES}, m as (select cast(cast(substr(stem, 2) as bigint) // 4 as varchar) as label, stem, jpeg, raw from shots),
+g as (select label, label || '-' || min(stem) || case when cast(label as bigint) % 6 = 0 then '-3' when cast(label as bigint) % 3 = 0 then '-2' else '' end as folder
+  from m group by label having count(*) >= 2),
+f as (select label, stem, jpeg as source from m union all select label, stem, raw from m
+  union all select label, stem, jpeg || '.pp3' from m where cast(label as bigint) % 2 = 0)
+select 'shoot' as dir, stem, source, 'shoot/' || folder || '/' || substr(source, 7) as target from f join g using (label) where source is not null""")
+def move_plan_taken(spark, sf_dir):
+    """As ``move_plan``, where folders of a third of the names, and second ones of a sixth, are there already, and with sidecars."""
+    shots = T.pair(files(spark, sf_dir))
+    number = F.floor(F.substring("stem", 2, 8).cast("long") / 4)
+    members = shots.select(number.cast("string").alias("label"), "dir", "stem", F.col("stem").alias("pos"))
+    name = members.groupBy("label").agg(F.concat_ws("-", "label", F.min("stem")).alias("folder")).withColumn("n", F.col("label").cast("long"))
+    taken = name.where("n % 3 = 0").select("folder").union(name.where("n % 6 = 0").select(F.concat("folder", F.lit("-2"))))
+    beside = shots.where(F.col("jpeg").isNotNull() & (number % 2 == 0)).select(F.concat("jpeg", F.lit(".pp3")).alias("path"))
+    return T.move_plan(shots, members, taken, "shoot", beside)
+
+
 # Profiles
 
 ENTRIES = """entries as (
@@ -245,6 +263,54 @@ def keyfile_sections(spark, sf_dir):
     return K.sections(profiles(spark, sf_dir))
 
 
+HEAD = "'[General]\nRank=' || {rank} || '\nInTrash=' || case when c_custkey % 4 = 0 then 'true' else 'false' end"
+LOOK = "'[Exposure]\nCompensation=' || cast(cast((c_custkey % 40) / 10.0 as decimal(4,1)) as varchar) || '\nCurve=1;0=' || c_nationkey"
+OWN = "'\n[' || c_mktsegment || ']\nName = ' || c_name || '\n'"
+
+
+@query(f"""select c_custkey as path, {HEAD.format(rank="'5'")} || '\nColorLabel=' || (c_custkey % 3) || '\n# comment\n' || {LOOK} || {OWN}
+|| case when c_custkey % 2 = 0 then '\n[Crop]\nEnabled=true\nX=' || c_nationkey || '\n' else '' end as text from customer""")
+def keyfile_set(spark, sf_dir):
+    """A key rewritten, one added to its section, and a section added to every second file."""
+    lines = profiles(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    put = lambda rows, section, key, value, ord_: rows.select(F.col("c_custkey").alias("path"), F.lit(section).alias("section"), F.lit(key).alias("key"), value.cast("string").alias("value"), F.lit(ord_).alias("ord"), F.lit(True).alias("add"))
+    even = c.where("c_custkey % 2 = 0")
+    values = put(c, "General", "Rank", F.lit(5), 0).union(put(c, "General", "ColorLabel", F.col("c_custkey") % 3, 1))
+    values = values.union(put(even, "Crop", "Enabled", F.lit("true"), 2)).union(put(even, "Crop", "X", F.col("c_nationkey"), 3))
+    return K.render(K.set_values(lines, values))
+
+
+@query(f"""select c_custkey as path, {HEAD.format(rank="(c_custkey % 2)")} || '\nColorLabel=4\n# comment\n' || {LOOK} || {OWN} as text from customer""")
+def keyfile_set_marks(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    wanted = c.select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 2).alias("rank"), F.lit(4).alias("color"), (F.col("c_custkey") % 4 == 0).alias("in_trash"))
+    return K.render(K.set_marks(profiles(spark, sf_dir), wanted))
+
+
+@query(f"""with c as (select *, {LOOK} as look, row_number() over (order by c_custkey) as n from customer)
+select a.c_custkey as path, {HEAD.format(rank="(a.c_custkey % 6)").replace("c_custkey", "a.c_custkey").replace("a.a.", "a.")} || '\n# comment\n'
+|| coalesce(b.look, '') || case when b.look is null then {OWN.replace("'\n['", "'['").replace("c_", "a.c_")} else {OWN.replace("c_", "a.c_")} end as text
+from c a left join c b on b.c_custkey = a.c_custkey + 1""")
+def keyfile_replace(spark, sf_dir):
+    """The exposure of the next customer's file in place of each one's own; the last file loses its section."""
+    lines = profiles(spark, sf_dir)
+    source = lines.withColumn("path", F.col("path") - 1)
+    return K.render(K.replace_section(lines, source, "Exposure"))
+
+
+@query("""select n_nationkey as path, 2 as line, 'main' as "group", cast(null as varchar) as section, cast(null as varchar) as key, cast(null as varchar) as value, cast(null as varchar) as error from nation
+union all select n_nationkey, 3, 'main', 'Color.Toning', 'Name', n_name || '=' || n_regionkey, null from nation
+union all select n_nationkey, 5, 'main', null, null, null, 'line 5: expected Section.Key=value' from nation where n_nationkey % 2 = 0
+union all select n_nationkey, 6, 'empty', null, null, null, null from nation""")
+def adjustments(spark, sf_dir):
+    text = F.concat(
+        F.lit("# top\n[main]\n  Color.Toning.Name = "), F.col("n_name"), F.lit("="), F.col("n_regionkey").cast("string"), F.lit("\r\n\n"),
+        F.when(F.col("n_nationkey") % 2 == 0, "no setting").otherwise("# none"), F.lit("\n[empty]\n"),
+    )
+    return K.adjustments(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), text.alias("text")))
+
+
 def two_profiles(spark, sf_dir):
     """Profiles of even customers as targets, with the next customer's profile as reference."""
     rows = K.get(profiles(spark, sf_dir))
@@ -721,3 +787,44 @@ def band_periods(spark, sf_dir):
 select id, bin, round(greatest(0.8, least(1.25, avg(v) / any_value(mean))), 6) as gain from p join m using (id) group by id, bin""")
 def fold_gains(spark, sf_dir):
     return P.folded_gains(signal(spark, sf_dir), 101.7).withColumn("gain", F.round("gain", 6))
+
+
+# Recipes over time
+
+FRAMES = "f as (select event_id, event_id % 64 as k, (event_id % 64) / 63.0 as moment, (event_id % 64) / 4.0 as cycle from events)"
+
+
+def frames(spark, sf_dir):
+    k = F.col("event_id") % 64
+    return table(spark, sf_dir, "events").select("event_id", (k / 63.0).cast("double").alias("moment"), (k / 4.0).cast("double").alias("cycle"))
+
+
+@query(f"""with {FRAMES}, t as (select *, cycle - floor(cycle) as p, cast(floor(cycle) as bigint) as n from f),
+v as (select event_id, 0 as step, 'spin' as effect, 'angle' as parameter,
+    case when p < 0.25 then '0' when p < 0.5 then case n % 3 when 0 then '40' when 1 then '50' else '60' end when p < 0.75 then '10' else '80' end as value from t
+  union all select event_id, 0, 'spin', 'mix', cast(cast(round(20 + 60 * moment) as bigint) as varchar) from t
+  union all select event_id, 1, 'grain', 'strength', case when n % 4 = 0 then case when p >= 0.5 then '7' else '30' end else case when p < 0.5 then '7' else '30' end end from t
+  union all select event_id, 1, 'grain', 'color', 'true' from t)
+select * from v""")
+def recipe_frames_steps(spark, sf_dir):
+    """Patterns, a range and a change of the cycle over as many frames as there are events."""
+    text = 'spin angle="0 <40 50 60> ~ 80" mix=20..80 + every 4 rev grain strength="7 ~" color=true  # a comment'
+    return recipe_frames(frames(spark, sf_dir), text).select("event_id", "step", "effect", "parameter", "value")
+
+
+def _described() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({text(e)}, {k}, {text(n)}, {text(kind)}, {text(default)}, {text(note)})" for e, params in PARAMETERS.items() for k, (n, kind, default, note) in enumerate(params)]
+    return f'select * from (values {", ".join(rows)}) as t(effect, place, parameter, kind, "default", help)'
+
+
+@query(_described())
+def effect_parameters(spark, sf_dir):
+    return describe(spark)
+
+
+@query("""select distinct 'seed=1 duotone dark=14052b light=ffd9a0 + scanlines period=' || (n_nationkey + 2) || ' thickness=1 strength=60' as text from nation""")
+def recipe_text(spark, sf_dir):
+    """Recipes as texts with all their parameters."""
+    periods = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().collect()]
+    return spark.createDataFrame([(print_recipe(f"duotone dark=14052b light=ffd9a0 scanlines period={k + 2}"),) for k in periods], "text string")

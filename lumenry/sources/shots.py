@@ -94,20 +94,29 @@ def fresh_entries(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return cache.join(files.select(key), key, "left_semi"), files.join(cache.select(key), key, "left_anti")
 
 
-def move_plan(shots: DataFrame, members: DataFrame, taken: DataFrame, directory: str) -> DataFrame:
+def move_plan(shots: DataFrame, members: DataFrame, taken: DataFrame, directory: str, sidecars: DataFrame | None = None) -> DataFrame:
     """``(dir, stem, source, target)`` for batches ``members(label, dir, stem, pos)`` of two or more.
 
-    A batch's folder is label and first stem, with the first free number from 2 on if the
-    name is in ``taken(folder)`` or was given to an earlier batch. Nothing is moved here.
+    A batch's folder is label and first stem (the stem alone without a label). If that name is in
+    ``taken(folder)`` or is an earlier batch's, it gets the first free number from 2 on. With ``sidecars(path)`` the
+    key files of moved pictures go along. Nothing is moved here.
     """
     size = members.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("pos", "stem")).alias("first")).where("n >= 2")
-    base = size.select("label", F.concat_ws("-", "label", "first.stem").alias("base"), F.col("first.pos").alias("at"))
-    used = taken.select(F.regexp_replace("folder", r"-\d+$", "").alias("plain"), "folder")
-    clash = base.join(used, F.col("plain") == F.col("base"), "left").groupBy("label", "base", "at")
-    last = F.max(F.coalesce(F.try_to_number(F.regexp_extract("folder", r"-(\d+)$", 1), F.lit("999999999")).cast("int"), F.when(F.col("folder").isNotNull(), 1)))
-    numbered = clash.agg(F.coalesce(last, F.lit(0)).alias("seen")).withColumn("turn", F.row_number().over(W.partitionBy("base").orderBy("at")))
-    number = F.col("seen") + F.col("turn")
+    name = F.when(F.col("label") == "", F.col("first.stem")).otherwise(F.concat_ws("-", "label", "first.stem"))
+    base = size.select("label", name.alias("base"), F.col("first.pos").alias("at"))
+    # a folder holds its own name as number 1, and the number at its end for the name before it
+    held = taken.select("folder").union(base.select("base")).distinct()
+    ending = F.regexp_extract("folder", r"^(?s)(.+)-([2-9]|[1-9][0-9]+)$", 2)
+    used = held.where(ending != "").select(F.regexp_extract("folder", r"^(?s)(.+)-([2-9]|[1-9][0-9]+)$", 1).alias("base"), ending.cast("long").alias("number"))
+    used = used.union(taken.select(F.col("folder").alias("base"), F.lit(1).cast("long"))).distinct()
+    used = used.join(base.select("base").distinct(), "base", "left_semi").groupBy("base").agg(F.collect_set("number").alias("used"))
+    turn = base.withColumn("turn", F.row_number().over(W.partitionBy("base").orderBy("at", "label")))
+    numbered = turn.join(used, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<bigint>")))
+    number = F.expr("element_at(array_except(sequence(1L, cast(size(used) + turn as bigint)), used), turn)")
     folder = F.when(number == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string")))
     placed = members.join(numbered.select("label", folder.alias("folder")), "label").join(shots, ["dir", "stem"])
     files = placed.select("dir", "stem", "folder", F.explode(F.array_compact(F.array("jpeg", "raw"))).alias("source"))
+    if sidecars is not None:
+        beside = files.withColumn("source", F.concat("source", F.lit(".pp3")))
+        files = files.unionByName(beside.join(sidecars.select(F.col("path").alias("source")).distinct(), "source", "left_semi"))
     return files.select("dir", "stem", "source", F.concat(F.lit(directory.rstrip("/") + "/"), "folder", F.lit("/"), file_name(F.col("source"))).alias("target"))
