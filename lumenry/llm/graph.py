@@ -12,24 +12,39 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` for every node of ``edges(a, b)``; ``comp`` is the smallest node reachable.
 
     Each round hooks every root to its smallest neighbour, follows two pointers, and
-    rewrites the edges between roots, so paths shrink geometrically. Nothing but a
-    row count reaches the driver. Self-loops are allowed, nulls are dropped; no edges give no rows.
+    rewrites the edges between roots, so paths shrink geometrically. The rounds' tables of
+    roots are followed one after another at the end. Whether edges are left is asked after every
+    second round; nothing but that reaches the driver. Self-loops are allowed, nulls are dropped; no edges give no rows.
     """
     live = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()
     live = materialise(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    rounds = []
     live = live.where("a <> b")
     while not live.isEmpty():
-        both = live.select(F.col("a").alias("x"), F.col("b").alias("y")).union(live.select("b", "a"))
-        up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         for _ in range(2):
-            over = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            up = up.join(over, "p").select("x", F.col("q").alias("p"))
-        up = materialise(up, "parents")
-        labels = materialise(
-            labels.join(up, labels.comp == up.x, "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels"
-        )
-        ends = live.join(up.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a")
-        ends = ends.join(up.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
-        live = materialise(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+            up = materialise(_hooked(live), "parents")
+            rounds.append(up)
+            ends = live.join(up.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a")
+            ends = ends.join(up.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+            live = ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        live = materialise(live, "edges")
+        if len(rounds) >= 8:
+            labels, rounds = materialise(_followed(labels, rounds), "labels"), []
+    return materialise(_followed(labels, rounds), "labels")
+
+
+def _hooked(live: DataFrame) -> DataFrame:
+    """``(x, p)``: for every end of an edge a smaller node, or itself, that it is joined with."""
+    both = live.select(F.col("a").alias("x"), F.col("b").alias("y")).union(live.select("b", "a"))
+    up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
+    for _ in range(2):
+        over = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
+        up = up.join(over, "p").select("x", F.col("q").alias("p"))
+    return up
+
+
+def _followed(labels: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    for up in rounds:
+        labels = labels.join(up, labels.comp == up.x, "left").select("node", F.coalesce("p", "comp").alias("comp"))
     return labels

@@ -42,6 +42,7 @@ def _in_order(totals: DataFrame) -> DataFrame:
     last = F.col("source").asc_nulls_last()
     ranged = totals.repartitionByRange(last).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy(last))), "sources")
+    # a row for each range, which the session's partitions bound
     sizes = sorted(ranged.groupBy("part").count().collect())
     before = {r["part"]: sum(x["count"] for x in sizes[:k]) for k, r in enumerate(sizes)}
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
@@ -57,7 +58,6 @@ def source_targets(totals: DataFrame, most: int = 3, share: float = 1.0, weights
     """
     table = F.array(*map(F.lit, weights))
     weighed = _in_order(totals).withColumn("weight", F.element_at(table, (F.pmod(F.col("turn") - 1, F.lit(len(weights))) + 1).cast("int")))
-    weighed = materialise(weighed, "weighed")
     level = 0.0
     while True:
         stops = F.col("weight") * F.lit(level) > most * F.col("source_size") * (1 + 1e-12)
@@ -168,7 +168,8 @@ def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) ->
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, most, share).withColumn("blocks", blocks_of("source_size"))
     targets = materialise(targets, "targets")
-    small = F.broadcast(targets) if fits(targets, BROADCAST_BYTES) else targets
+    few = fits(targets, BROADCAST_BYTES)
+    small = F.broadcast(targets) if few else targets
     in_source = sized.join(small, sized.source.eqNullSafe(small.source)).select(sized.source, "key", "size", F.pmod("key", "blocks").alias("block"))
     held = in_source.groupBy("source", "block").agg(F.sum("size").alias("words")).where("words > 0").withColumn("one", F.lit(1))
     held = running(held, "block", {"upto": "words", "place": "one"})
@@ -177,8 +178,7 @@ def draws(sized: DataFrame, seed: int = 7, most: int = 3, share: float = 1.0) ->
         "s", "used", F.floor(F.col("target") / F.col("source_size")).alias("passes"),
         F.round(F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).cast("long").alias("rest"),
     )
-    goals = materialise(goals, "goals")
-    goals = F.broadcast(goals) if fits(goals, BROADCAST_BYTES) else goals
+    goals = F.broadcast(goals) if few else goals
     # the words that the last pass takes of a block; only one block of a source gives some of its words
     part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - (F.col("upto") - F.col("words"))))
     held = held.join(goals, held.source.eqNullSafe(F.col("s"))).select("source", "block", "words", (F.col("place") - 1).alias("place"), "used", "passes", part.alias("part"))

@@ -37,6 +37,7 @@ CHUNK = 4_096
 TURN = 256
 FIRST = 96
 PAIRS = 65_536
+DENSE = 16
 MISS = 0.04
 TIE = 1e-9
 
@@ -118,6 +119,12 @@ def _best(who: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int) -> np.n
     return turn[rank < top]
 
 
+def _products(queries: np.ndarray, who: np.ndarray, vectors: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, summed in the same order wherever a pair is met."""
+    parts = [(queries[who[p : p + PAIRS]] * vectors[row[p : p + PAIRS]]).sum(1) for p in range(0, len(who), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def search_block(
     space: Space, ids: np.ndarray, lead: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, top: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +140,7 @@ def search_block(
         far = np.maximum(0, norm[None, :] - 2 * (side @ low.T) + (side * side).sum(1)[:, None])
         far[query_ids[start : start + TURN, None] == ids[None, :]] = np.inf
         bound, best, hits, take = kth[start : start + TURN].copy(), np.full((len(own), top), -np.inf), [], FIRST
+        dense = None
         while True:
             far[far > point * space.distance(own, bound)[:, None]] = np.inf  # the stopping test
             take = min(take, len(ids))
@@ -141,20 +149,24 @@ def search_block(
             if not len(i):
                 break
             row = near[i, j]
-            score = np.concatenate([(own[i[p : p + PAIRS]] * vectors[row[p : p + PAIRS]]).sum(1) for p in range(0, len(i), PAIRS)])
+            if dense is None and len(i) * DENSE > far.size:  # one product of matrices is cheaper than so many of rows
+                dense = own @ vectors.T
+            score = dense[i, row] if dense is not None else _products(own, i, vectors, row)
             np.add.at(verified, start + i, 1)
             far[i, row] = np.inf
             hits.append(np.stack([i, row, score])[:, score >= bound[i] - TIE])
             led = np.full((len(own), take), -np.inf)
             led[i, j] = np.where(lead[row], score, -np.inf)
             best = -np.partition(-np.concatenate([best, led], 1), top - 1, axis=1)[:, :top]
-            bound, take = np.maximum(bound, best.min(1)), 2 * take
+            bound, take = np.maximum(bound, best.min(1)), 3 * take
         if hits:
             i, row, score = np.concatenate(hits, 1)
             i, row = i.astype(np.int64), row.astype(np.int64)
             good = np.flatnonzero(score >= bound[i] - TIE)
-            good = good[_best(i[good], ids[row[good]], score[good], top)]
-            out.append((start + i[good], row[good], score[good]))
+            score = _products(own, i[good], vectors, row[good])
+            best_first = _best(i[good], ids[row[good]], score, top)
+            good, score = good[best_first], score[best_first]
+            out.append((start + i[good], row[good], score))
     who, row, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return who, row, score, verified
 

@@ -24,6 +24,8 @@ LEAST = 100
 SHELF_RECORDS = 500
 BROADCAST_ROWS = 500_000
 LINE = "\r\n"
+#: Fixed value: how revisit records say that only the payload is that of another record.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _uuid(key: Column) -> Column:
@@ -44,6 +46,7 @@ def _header(record_type: Column, date: str) -> Column:
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        optional(revisit, line("WARC-Profile", F.lit(PROFILE))),
         optional(revisit, line("WARC-Refers-To", F.coalesce(_uuid(F.col("first")), F.lit("")))),
         optional(revisit, line("WARC-Refers-To-Key", F.coalesce(F.col("first").cast("string"), F.lit("")))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
