@@ -1,4 +1,7 @@
-"""Operators over several frames of one scene, as pixel tables with a frame number."""
+"""Operators over the frames of scenes, as pixel tables with a frame number.
+
+``scene`` names the columns that tell scenes apart; without any the table is one scene.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +19,12 @@ BLENDS = {
 }
 
 
-def ghost(px: DataFrame, main: int, blend: str = "lighten", opacity: int = 70, frame: str = "frame") -> DataFrame:
-    """Frames layered over frame ``main`` in frame order: each mixes in with ``opacity``; rounded once at the end.
+def ghost(px: DataFrame, main: int, blend: str = "lighten", opacity: int = 70, frame: str = "frame", scene: tuple[str, ...] = ()) -> DataFrame:
+    """Frames layered over frame ``main`` of their scene in frame order: each mixes in with ``opacity``; rounded once at the end.
 
     ``average`` is the plain mean of all frames. A pixel's frames are folded as one sorted array.
     """
-    pixels = px.groupBy("y", "x")
+    pixels = px.groupBy(*scene, "y", "x")
     if blend == "average":
         return pixels.agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"])
     held = pixels.agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), "r", "g", "b"))).alias("all"))
@@ -33,51 +36,52 @@ def ghost(px: DataFrame, main: int, blend: str = "lighten", opacity: int = 70, f
         value = F.aggregate(others, start, lambda s, o: s + (mode(s, o[channel].cast("double")) - s) * share)
         return F.floor(value + 0.5).cast("int").alias(channel)
 
-    return held.where(F.exists("all", lambda s: s["f"] == main)).select("y", "x", *[folded(c) for c in "rgb"])
+    return held.where(F.exists("all", lambda s: s["f"] == main)).select(*scene, "y", "x", *[folded(c) for c in "rgb"])
 
 
-def median_background(px: DataFrame) -> DataFrame:
-    """``(y, x, r, g, b)``: upper medians over the frames."""
-    held = px.groupBy("y", "x").agg(*[F.collect_list(c).alias(c) for c in "rgb"])
-    return held.select("y", "x", *[upper_median(F.col(c)).alias(c) for c in "rgb"])
+def median_background(px: DataFrame, scene: tuple[str, ...] = ()) -> DataFrame:
+    """``(scene, y, x, r, g, b)``: upper medians over the frames."""
+    held = px.groupBy(*scene, "y", "x").agg(*[F.collect_list(c).alias(c) for c in "rgb"])
+    return held.select(*scene, "y", "x", *[upper_median(F.col(c)).alias(c) for c in "rgb"])
 
 
-def differences(px: DataFrame, frame: str = "frame") -> DataFrame:
-    """``(frame, y, x, diff)``: the largest channel difference to the background."""
-    back = median_background(px).select("y", "x", *[F.col(c).alias(f"back_{c}") for c in "rgb"])
-    return px.join(back, ["y", "x"]).select(frame, "y", "x", F.greatest(*[F.abs(F.col(c) - F.col(f"back_{c}")) for c in "rgb"]).alias("diff"))
+def differences(px: DataFrame, frame: str = "frame", scene: tuple[str, ...] = ()) -> DataFrame:
+    """``(scene, frame, y, x, diff)``: the largest channel difference to the background."""
+    back = median_background(px, scene).select(*scene, "y", "x", *[F.col(c).alias(f"back_{c}") for c in "rgb"])
+    return px.join(back, [*scene, "y", "x"]).select(*scene, frame, "y", "x", F.greatest(*[F.abs(F.col(c) - F.col(f"back_{c}")) for c in "rgb"]).alias("diff"))
 
 
-def track(found: DataFrame, least: int = 24, frame: str = "frame") -> DataFrame:
-    """``(frame, cx, cy)``: weighted centres of differences, a second time only within twice the first spread (at least 2)."""
+def track(found: DataFrame, least: int = 24, frame: str = "frame", scene: tuple[str, ...] = ()) -> DataFrame:
+    """``(scene, frame, cx, cy)``: weighted centres of differences, a second time only within twice the first spread (at least 2)."""
     strong = found.where(F.col("diff") >= least)
     centre = [(F.sum(F.col("diff") * F.col(c)) / F.sum("diff")).alias(f"c{c}") for c in "xy"]
-    first = strong.groupBy(frame).agg(*centre)
+    key = [*scene, frame]
+    first = strong.groupBy(*key).agg(*centre)
     away = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    met = strong.join(F.broadcast(first), frame).withColumn("away", away)
-    spread = met.groupBy(frame).agg(F.sqrt(F.sum(F.col("diff") * F.col("away")) / F.sum("diff")).alias("spread"))
-    near = met.join(F.broadcast(spread), frame).where(F.sqrt("away") <= F.greatest(2 * F.col("spread"), F.lit(2.0)))
-    return near.groupBy(frame).agg(*centre)
+    met = strong.join(first, key).withColumn("away", away)
+    spread = met.groupBy(*key).agg(F.sqrt(F.sum(F.col("diff") * F.col("away")) / F.sum("diff")).alias("spread"))
+    near = met.join(spread, key).where(F.sqrt("away") <= F.greatest(2 * F.col("spread"), F.lit(2.0)))
+    return near.groupBy(*key).agg(*centre)
 
 
-def carried(centres: DataFrame, frame: str = "frame") -> DataFrame:
+def carried(centres: DataFrame, frame: str = "frame", scene: tuple[str, ...] = ()) -> DataFrame:
     """Frames without a centre take the last known one."""
-    order = W.partitionBy(F.lit(0)).orderBy(frame)
-    return centres.select(frame, *[F.last(c, ignorenulls=True).over(order).alias(c) for c in ("cx", "cy")])
+    order = W.partitionBy(*(scene or [F.lit(0)])).orderBy(frame)
+    return centres.select(*scene, frame, *[F.last(c, ignorenulls=True).over(order).alias(c) for c in ("cx", "cy")])
 
 
-def register(px: DataFrame, main: int, width: int, height: int, reach: int, frame: str = "frame") -> DataFrame:
-    """``(frame, dx, dy)``: the shift, up to ``reach`` either way, with the least mean difference of lights to ``main``.
+def register(px: DataFrame, main: int, width: int, height: int, reach: int, frame: str = "frame", scene: tuple[str, ...] = ()) -> DataFrame:
+    """``(scene, frame, dx, dy)``: the shift, up to ``reach`` either way, with the least mean difference of lights to ``main``.
 
     The centre region that no shift leaves is compared; of equal shifts the smallest (dy, dx) is
     taken. The shifts are a bounded table; pixels meet by equality on shifted coordinates.
     """
     light = F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")) / 1000 - 110) / 145)), 2)
-    lit = px.select(frame, "y", "x", light.alias("v"))
+    lit = px.select(*scene, frame, "y", "x", light.alias("v"))
     inner = (F.col("x") >= reach) & (F.col("x") < width - reach) & (F.col("y") >= reach) & (F.col("y") < height - reach)
-    base = lit.where((F.col(frame) == main) & inner).select("y", "x", F.col("v").alias("base"))
+    base = lit.where((F.col(frame) == main) & inner).select(*scene, "y", "x", F.col("v").alias("base"))
     moves = F.sequence(F.lit(-reach), F.lit(reach))
     shifts = base.withColumn("dy", F.explode(moves)).withColumn("dx", F.explode(moves))
-    at = shifts.select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dy", "dx", "base")
-    cost = at.join(lit, ["y", "x"]).groupBy(frame, "dy", "dx").agg(F.round(F.avg(F.abs(F.col("v") - F.col("base"))), 9).alias("cost"))
-    return cost.groupBy(frame).agg(F.min(F.struct("cost", "dy", "dx")).alias("m")).select(frame, "m.dx", "m.dy", "m.cost")
+    at = shifts.select(*scene, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "dy", "dx", "base")
+    cost = at.join(lit, [*scene, "y", "x"]).groupBy(*scene, frame, "dy", "dx").agg(F.round(F.avg(F.abs(F.col("v") - F.col("base"))), 9).alias("cost"))
+    return cost.groupBy(*scene, frame).agg(F.min(F.struct("cost", "dy", "dx")).alias("m")).select(*scene, frame, "m.dx", "m.dy", "m.cost")

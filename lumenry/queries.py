@@ -568,8 +568,10 @@ def fx_prism(spark, sf_dir):
     return shown(X.prism(pixels(spark, sf_dir), WIDTH, HEIGHT, angle=30))
 
 
-@query(f"""with {PX} select p.pic, p.y, p.x, cast(a.r as bigint) as r, cast(p.g as bigint) as g, cast(c.b as bigint) as b from px p
-join px a on a.pic = p.pic and a.y = greatest(0, p.y - 2) and a.x = least(63, p.x + 6) join px c on c.pic = p.pic and c.y = p.y and c.x = greatest(0, p.x - 6)""")
+@query(f"""with {PX}, h as (select pic, y, x, g, coalesce(lead(r, 6) over across, last_value(r) over whole) as r, coalesce(lag(b, 6) over across, first_value(b) over whole) as b
+  from px window across as (partition by pic, y order by x), whole as (partition by pic, y order by x rows between unbounded preceding and unbounded following))
+select pic, y, x, cast(coalesce(lag(r, 2) over down, first_value(r) over down) as bigint) as r, cast(g as bigint) as g, cast(b as bigint) as b
+from h window down as (partition by pic, x order by y)""")
 def fx_split(spark, sf_dir):
     return shown(X.split(pixels(spark, sf_dir), 1000, red=(-6, 2)))
 
@@ -594,8 +596,9 @@ def fx_slice(spark, sf_dir):
     return shown(X.slices(pixels(spark, sf_dir), WIDTH, BANDS))
 
 
-@query(f"""with {PX}, m as (select *, case when y > 20 and y < 35 then 20 when y > 4 and y < 27 then 4 else y end as sy from px)
-select m.pic, m.y, m.x, cast(s.r as bigint) as r, cast(s.g as bigint) as g, cast(s.b as bigint) as b from m join px s on s.pic = m.pic and s.y = m.sy and s.x = m.x""")
+@query(f"""with {PX}, m as (select *, max(case when y = 20 then r end) over c as r20, max(case when y = 20 then g end) over c as g20, max(case when y = 20 then b end) over c as b20,
+  max(case when y = 4 then r end) over c as r4, max(case when y = 4 then g end) over c as g4, max(case when y = 4 then b end) over c as b4 from px window c as (partition by pic, x))
+select pic, y, x, """ + ", ".join(f"cast(case when y > 20 and y < 35 then {c}20 when y > 4 and y < 27 then {c}4 else {c} end as bigint) as {c}" for c in "rgb") + " from m")
 def fx_stretch(spark, sf_dir):
     return shown(X.stretch(pixels(spark, sf_dir), [(4, 27), (20, 35)]))
 
@@ -610,19 +613,19 @@ def fx_sort(spark, sf_dir):
 
 AROUND = f"""with {PX}, n as (
   select p.pic, p.y, p.x, p.g as own, q.r, q.g, q.b, q.l from px p, (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx), px q
-  where p.pic <= 20 and q.pic = p.pic and q.y = greatest(0, least(47, p.y + dy)) and q.x = greatest(0, least(63, p.x + dx))
+  where q.pic = p.pic and q.y = greatest(0, least(47, p.y + dy)) and q.x = greatest(0, least(63, p.x + dx))
 )"""
 
 
 @query(AROUND + """ select pic, y, x, cast(own + list_sort(list(r - g))[5] as bigint) as r, cast(own as bigint) as g, cast(own + list_sort(list(b - g))[5] as bigint) as b
 from n group by pic, y, x, own""")
 def median3_chroma(spark, sf_dir):
-    return shown(X.median_chroma(few_pixels(spark, sf_dir), WIDTH, HEIGHT))
+    return shown(X.median_chroma(pixels(spark, sf_dir), WIDTH, HEIGHT))
 
 
 @query(AROUND + " select pic, y, x, round(avg(l), 6) as blurred from n group by pic, y, x")
 def box_blur(spark, sf_dir):
-    px = few_pixels(spark, sf_dir).withColumn("l", S.brightness(F.col("r"), F.col("g"), F.col("b")))
+    px = pixels(spark, sf_dir).withColumn("l", S.brightness(F.col("r"), F.col("g"), F.col("b")))
     return X.box_blur(px, WIDTH, HEIGHT, "l").select("pic", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("blurred", 6).alias("blurred"))
 
 
@@ -647,13 +650,13 @@ def luminance(spark, sf_dir):
     return M.luminance(M.thumbnails(pixels(spark, sf_dir), WIDTH, HEIGHT)).withColumn("luminance", F.round("luminance", 6))
 
 
-@query(f"""with {PX}, s as (select pic, sum(r)::double as r, sum(g)::double as g, sum(b)::double as b from px where greatest(r, g, b) >= 48 and pic % 3 = x % 3 group by pic),
+@query(f"""with {PX}, s as (select pic, sum(r)::double as r, sum(g)::double as g, sum(b)::double as b from px where greatest(r, g, b) >= 48 group by pic),
 h as (select *, greatest(r, g, b) as hi, greatest(r, g, b) - least(r, g, b) as sp from s),
 d as (select *, case when hi = r then 60 * (case when g >= b then (g - b) / sp else (g - b) / sp + 6 end) when hi = g then 60 * ((b - r) / sp + 2) else 60 * ((r - g) / sp + 4) end as hue from h)
 select pic, case when hi <= 0 or sp / hi < 0.08 then 'neutre' when hue < 15 then 'rouge' when hue < 45 then 'orange' when hue < 70 then 'jaune' when hue < 160 then 'vert'
 when hue < 200 then 'cyan' when hue < 260 then 'bleu' when hue < 300 then 'violet' when hue < 345 then 'rose' else 'rouge' end as colour from d""")
 def colour_name(spark, sf_dir):
-    shares = M.tints(pixels(spark, sf_dir).where("pic % 3 = x % 3"))
+    shares = M.tints(pixels(spark, sf_dir))
     return shares.select("pic", S.colour_name(F.col("red"), F.col("green"), F.col("blue")).alias("colour"))
 
 
@@ -665,10 +668,6 @@ def recipe_chain(spark, sf_dir):
     return shown(X.apply_recipe(pixels(spark, sf_dir), WIDTH, HEIGHT, parse_recipe("seed=7 falsecolor order=bgr + scanlines + vignette")))
 
 
-def few_pixels(spark, sf_dir):
-    return pixels(spark, sf_dir).where("pic <= 20")
-
-
 @query()
 def fx_grain(spark, sf_dir):
     return shown(D.grain(pixels(spark, sf_dir), WIDTH, HEIGHT, seed=7))
@@ -701,73 +700,78 @@ def fx_dither_diffusion(spark, sf_dir):
 
 # Frames and signals
 
-def scene(spark, sf_dir):
-    return pixels(spark, sf_dir).where("pic between 1 and 5").withColumnRenamed("pic", "frame")
+SCENE = ("scene",)
+SC = "sc as (select (pic - 1) // 5 as scene, (pic - 1) % 5 + 1 as frame, y, x, r, g, b from px)"
+
+
+def scenes(spark, sf_dir):
+    """Five pictures are the frames of a scene."""
+    at = F.col("pic") - 1
+    return pixels(spark, sf_dir).withColumn("scene", F.expr("(pic - 1) div 5")).withColumn("frame", at % 5 + 1).drop("pic")
 
 
 def blend_sql(mode: str) -> str:
     over = {"lighten": "greatest(s, o::double)", "screen": "255 - (255 - s) * (255 - o) / 255", "over": "o"}[mode]
     fold = lambda c: byte_sql(f"list_reduce(list_prepend(m{c}, {c}), lambda s, o: s + ({over} - s) * 0.7::double)")
-    lists = ", ".join(f"list({c}::double order by pic) filter (pic <> 3) as {c}, max({c}::double) filter (pic = 3) as m{c}" for c in "rgb")
-    return f"with {PX}, c as (select y, x, {lists} from px where pic between 1 and 5 group by y, x) select y, x, " + ", ".join(f"{fold(c)} as {c}" for c in "rgb") + " from c"
+    lists = ", ".join(f"list({c}::double order by frame) filter (frame <> 3) as {c}, max({c}::double) filter (frame = 3) as m{c}" for c in "rgb")
+    return f"with {PX}, {SC}, c as (select scene, y, x, {lists} from sc group by scene, y, x) select scene, y, x, " + ", ".join(f"{fold(c)} as {c}" for c in "rgb") + " from c"
 
 
 def flat(df):
-    return df.select(*[F.col(c).cast("long").alias(c) for c in ("y", "x", "r", "g", "b")])
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("scene", "y", "x", "r", "g", "b")])
 
 
 @query(blend_sql("lighten"))
 def ghost_lighten(spark, sf_dir):
-    return flat(R.ghost(scene(spark, sf_dir), 3, "lighten"))
+    return flat(R.ghost(scenes(spark, sf_dir), 3, "lighten", scene=SCENE))
 
 
 @query(blend_sql("screen"))
 def ghost_screen(spark, sf_dir):
-    return flat(R.ghost(scene(spark, sf_dir), 3, "screen"))
+    return flat(R.ghost(scenes(spark, sf_dir), 3, "screen", scene=SCENE))
 
 
 @query(blend_sql("over"))
 def ghost_over(spark, sf_dir):
-    return flat(R.ghost(scene(spark, sf_dir), 3, "over"))
+    return flat(R.ghost(scenes(spark, sf_dir), 3, "over", scene=SCENE))
 
 
-@query(f"with {PX} select y, x, " + ", ".join(f"{byte_sql(f'avg({c})')} as {c}" for c in "rgb") + " from px where pic between 1 and 5 group by y, x")
+@query(f"with {PX}, {SC} select scene, y, x, " + ", ".join(f"{byte_sql(f'avg({c})')} as {c}" for c in "rgb") + " from sc group by scene, y, x")
 def ghost_average(spark, sf_dir):
-    return flat(R.ghost(scene(spark, sf_dir), 3, "average"))
+    return flat(R.ghost(scenes(spark, sf_dir), 3, "average", scene=SCENE))
 
 
-MEDIAN = "back as (select y, x, " + ", ".join(f"list_sort(list({c}))[count(*) // 2 + 1] as m{c}" for c in "rgb") + " from px where pic between 1 and 5 group by y, x)"
+MEDIAN = f"{SC}, back as (select scene, y, x, " + ", ".join(f"list_sort(list({c}))[count(*) // 2 + 1] as m{c}" for c in "rgb") + " from sc group by scene, y, x)"
 
 
-@query(f"with {PX}, {MEDIAN} select y, x, cast(mr as bigint) as r, cast(mg as bigint) as g, cast(mb as bigint) as b from back")
+@query(f"with {PX}, {MEDIAN} select scene, y, x, cast(mr as bigint) as r, cast(mg as bigint) as g, cast(mb as bigint) as b from back")
 def frame_median(spark, sf_dir):
-    return flat(R.median_background(scene(spark, sf_dir)))
+    return flat(R.median_background(scenes(spark, sf_dir), SCENE))
 
 
-@query(f"""with {PX}, {MEDIAN}, d as (select pic as frame, y, x, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) as w from px join back using (y, x) where pic between 1 and 5),
-s as (select * from d where w >= 24), c as (select frame, sum(w * x) / sum(w)::double as cx, sum(w * y) / sum(w)::double as cy from s group by frame),
-a as (select s.*, pow(x - cx, 2) + pow(y - cy, 2) as away from s join c using (frame)), p as (select frame, sqrt(sum(w * away) / sum(w)) as spread from a group by frame)
-select frame, round(sum(w * x) / sum(w)::double, 6) as cx, round(sum(w * y) / sum(w)::double, 6) as cy from a join p using (frame) where sqrt(away) <= greatest(2 * spread, 2) group by frame""")
+@query(f"""with {PX}, {MEDIAN}, d as (select scene, frame, y, x, greatest(abs(r - mr), abs(g - mg), abs(b - mb)) as w from sc join back using (scene, y, x)),
+s as (select * from d where w >= 24), c as (select scene, frame, sum(w * x) / sum(w)::double as cx, sum(w * y) / sum(w)::double as cy from s group by scene, frame),
+a as (select s.*, pow(x - cx, 2) + pow(y - cy, 2) as away from s join c using (scene, frame)), p as (select scene, frame, sqrt(sum(w * away) / sum(w)) as spread from a group by scene, frame)
+select scene, frame, round(sum(w * x) / sum(w)::double, 6) as cx, round(sum(w * y) / sum(w)::double, 6) as cy from a join p using (scene, frame) where sqrt(away) <= greatest(2 * spread, 2) group by scene, frame""")
 def track_centroid(spark, sf_dir):
-    found = R.track(R.differences(scene(spark, sf_dir)))
-    return found.select("frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    found = R.track(R.differences(scenes(spark, sf_dir), scene=SCENE), scene=SCENE)
+    return found.select("scene", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-@query(f"""with {PX}, v as (select pic, y, x, pow(greatest(0, least(1, ((299 * r + 587 * g + 114 * b) / 1000.0::double - 110) / 145)), 2) as v from px where pic between 1 and 5),
-c as (select q.pic as frame, dy, dx, round(avg(abs(q.v - p.v)), 9) as cost from v p, range(-3, 4) as a(dy), range(-3, 4) as b(dx), v q
-where p.pic = 3 and p.x >= 3 and p.x < 61 and p.y >= 3 and p.y < 45 and q.y = p.y + dy and q.x = p.x + dx group by all)
-select frame, cast(dx as int) as dx, cast(dy as int) as dy, cost from (select *, row_number() over (partition by frame order by cost, dy, dx) as nth from c) where nth = 1""")
+@query(f"""with {PX}, {SC}, v as (select scene, frame, y, x, pow(greatest(0, least(1, ((299 * r + 587 * g + 114 * b) / 1000.0::double - 110) / 145)), 2) as v from sc),
+c as (select q.scene, q.frame, dy, dx, round(avg(abs(q.v - p.v)), 9) as cost from v p, range(-3, 4) as a(dy), range(-3, 4) as b(dx), v q
+where p.frame = 3 and q.scene = p.scene and p.x >= 3 and p.x < 61 and p.y >= 3 and p.y < 45 and q.y = p.y + dy and q.x = p.x + dx group by all)
+select scene, frame, cast(dx as int) as dx, cast(dy as int) as dy, cost from (select *, row_number() over (partition by scene, frame order by cost, dy, dx) as nth from c) where nth = 1""")
 def register_shift(spark, sf_dir):
-    return R.register(scene(spark, sf_dir), 3, WIDTH, HEIGHT, 3)
+    return R.register(scenes(spark, sf_dir), 3, WIDTH, HEIGHT, 3, scene=SCENE)
 
 
 PERIODS = [round(20 + 1.7 * k, 1) for k in range(120)]
-SIGNAL = "sig as (select s_suppkey % 20 as id, row, 1 + 0.04 * sin(2 * pi() * row / (60.0::double + s_suppkey % 20 * 5)) as v from supplier, range(1600) as t(row) where s_suppkey <= 20)"
+SIGNAL = "sig as (select s_suppkey as id, row, 1 + 0.04 * sin(2 * pi() * row / (60.0::double + s_suppkey * 5)) as v from supplier, range(1600) as t(row))"
 
 
-def signal(spark, sf_dir, every=False):
+def signal(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    known = known if every else known.where("id <= 20").select((F.col("id") % 20).alias("id"))
     base = known.select("id", F.explode(F.sequence(F.lit(0), F.lit(1599))).alias("row"))
     return base.withColumn("v", 1 + 0.04 * F.sin(2 * F.pi() * F.col("row") / (60.0 + F.col("id") * 5)))
 
@@ -780,7 +784,7 @@ def band_power(spark, sf_dir):
 
 @query()
 def band_periods(spark, sf_dir):
-    return P.strongest(P.prominence(P.band_power(signal(spark, sf_dir, every=True), PERIODS)))
+    return P.strongest(P.prominence(P.band_power(signal(spark, sf_dir), PERIODS)))
 
 
 @query(f"""with {SIGNAL}, p as (select *, cast(floor((row / 101.7::double - floor(row / 101.7::double)) * 32) as int) as bin from sig), m as (select id, avg(v) as mean from sig group by id)
