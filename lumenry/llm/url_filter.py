@@ -57,6 +57,8 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
         hits.append(F.when(fits, F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(action).alias("action"))))
+    if not hits:
+        return F.lit(None).cast("struct<size:int,rule:string,action:string>")
     return F.array_max(F.array_compact(F.array(*hits)))
 
 

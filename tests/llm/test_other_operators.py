@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenry.llm import cap_filters, jaccard_join, projection_search, url_filter, warc
-from lumenry.llm.store import fresh, materialise
+from lumenry.llm import cap_filters, jaccard_join, language_id, mixing, projection_search, url_filter, warc
+from lumenry.llm.store import fresh, materialise, workdir
 
 from . import plain
 
@@ -316,6 +316,26 @@ def test_pipeline_runs(spark):
     assert not out.isEmpty()
 
 
+def test_own_columns_are_not_overwritten(spark):
+    df = spark.createDataFrame([(1, "some text", "s")], "doc_id long, text string, source string")
+    model = language_id.train(df.select(F.lit("en").alias("lang"), "text"))
+    for taken in (df.withColumn("Language", F.lit(1)), df.withColumn("MIX", F.lit(1))):
+        with pytest.raises(ValueError, match="out_col"):
+            language_id.identify(taken, model, out_col="language") if "Language" in taken.columns else mixing.mix(taken)
+
+
+def test_no_shared_folder_is_an_error_off_the_local_master():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="shared folder"):
+        workdir(Session())
+
+
 def test_op4_on_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     data = [tuple(r) for r in docs.select("doc_id", "text").collect()]

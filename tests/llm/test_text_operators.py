@@ -207,6 +207,19 @@ def test_language_id(spark):
     assert language_id.identify(df.where("doc_id < 3"), one).select("language.lang_pred").distinct().count() == 1
 
 
+def test_language_id_of_many_languages_and_long_texts(spark):
+    """Forty languages of letter pairs of their own; a text of many slices is read whole."""
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = [[rnd.choice(letters) + rnd.choice(letters) for _ in range(12)] for _ in range(40)]
+    text = lambda k, n: " ".join(rnd.choice(pairs[k]) + rnd.choice(pairs[k]) for _ in range(n))
+    data = [(k * 100 + n, text(k, 60), f"l{k:02}") for k in range(40) for n in range(6)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string").select("lang", "text"))
+    asked = [(k, text(k, 60)) for k in range(40)] + [(100, text(3, 10) + " " + text(7, 120_000))]
+    got = {r["doc_id"]: r["language"]["lang_pred"] for r in language_id.identify(spark.createDataFrame(asked, DOCS), model).collect()}
+    assert sum(got[k] == f"l{k:02}" for k in range(40)) >= 38 and got[100] == "l07"
+
+
 def test_codewords_keep_their_distance():
     for count in (2, 3, 4, 7, 9, 20):
         code = language_id.codewords(count).astype(int)
@@ -254,6 +267,33 @@ def test_mixing(spark, seed):
     assert mixing.mix(df.limit(0), out_col="out").isEmpty()
 
 
+def test_mixing_goes_by_the_tree(spark):
+    """Copies name shards; what a block in part gives depends on its shard, and repeated rows are given alike."""
+    rnd = random.Random(6)
+    data = [(k, " ".join("w" for _ in range(rnd.randrange(1, 90))), "abc"[k % 3]) for k in range(900)] + [(5000, "x y", "a")] * 40
+    df = spark.createDataFrame(data, DOCS + ", source string")
+    plainly = {s: spark.createDataFrame(data, DOCS + ", source string") for s in (7, 8)}
+    rows = mixing.mix(df).collect()
+    copies = [c for r in rows for c in r["mix"]["copies"]]
+    assert all(c["words"] > 0 and 0 <= c["place"] < 1 for c in copies if c["words"]) and all(sum(c["words"] for c in r["mix"]["copies"]) == r["mix"]["taken"] for r in rows)
+    assert len({r["mix"]["taken"] for r in rows if r["doc_id"] == 5000}) == 1
+    taken = [{r["doc_id"]: r["mix"]["taken"] for r in mixing.mix(own, seed=s).collect()} for s, own in plainly.items()]
+    assert taken[0] != taken[1]
+
+
+def test_splitting_tree_with_groups_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    monkeypatch.setattr(mixing, "STRETCH", 5)
+    quota = spark.createDataFrame([(f"s{k}", 5 + k) for k in range(20)] + [(None, 7)], "source string, units long")
+    runs, size = mixing.split_quotas(quota, 3, 2).collect(), Counter()
+    for r in runs:
+        size[r["shard"]] += r["hi"] - r["lo"]
+    assert sum(size.values()) == sum(5 + k for k in range(20)) + 7 and max(size.values()) - min(size.values()) <= 1
+    for source in [f"s{k}" for k in range(20)] + [None]:
+        own = sorted((r["lo"], r["hi"]) for r in runs if r["source"] == source)
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
 def test_splitting_tree(spark):
     """Shards are even, quotas exact, and draws have the hypergeometric mean and variance."""
     quota = spark.createDataFrame([("a", 400), ("b", 1000), (None, 60), ("none", 0)], "source string, units long")
