@@ -136,7 +136,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
             sums = nodes.groupBy("node").agg(F.expr("array_sort(collect_list(named_struct('grp', grp, 'total', total)))").alias("g"))
             sums = sums.withColumn("have", F.expr("aggregate(g, 0L, (a, x) -> a + x.total)"))
             sums = sums.withColumn("takes", F.expr(_split(seed, level, "transform(g, x -> x.total)", "have", "have div 2", "-1L")))
-            sums = sums.selectExpr("node", "inline(arrays_zip(transform(g, x -> x.grp) as grp, takes as take))").toDF("node", "grp", "take")
+            sums = sums.selectExpr("node", "inline(transform(g, (x, i) -> named_struct('grp', x.grp, 'take', takes[i])))")
             nodes = nodes.join(sums, ["node", "grp"])
         nodes = nodes.withColumn("left", F.expr(_split(seed, level, "counts", "total", "take", "grp")))
         sides = "explode(array(named_struct('node', 2 * node, 'counts', left), named_struct('node', 2 * node + 1, 'counts', zip_with(counts, left, (c, d) -> c - d))))"
