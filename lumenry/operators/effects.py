@@ -267,8 +267,10 @@ def pixel_sort(px: DataFrame, low: int = 40, high: int = 220, reverse: bool = Fa
 def neighbourhood(px: DataFrame, width: int, height: int, value: str, radius: int = 1) -> DataFrame:
     """``(pic, y, x, around)``: values of the square around each pixel, edges repeated, as an array in row order.
 
-    Rows first and columns second, both as windows, so a picture shuffles twice at most.
+    Rows first and columns second, both as windows over pictures that are each in one partition, so pixels shuffle once.
     """
+    px = px.repartition("pic")
+
     def line(column: Column, by: str, order: str) -> Column:
         own = W.partitionBy("pic", by).orderBy(order)
         whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -286,10 +288,10 @@ def upper_median(values: Column) -> Column:
 
 def median_chroma(px: DataFrame, width: int, height: int) -> DataFrame:
     """3 x 3 medians of red minus green and blue minus green, green kept."""
-    cells = px.withColumn("d", F.struct((F.col("r") - F.col("g")).alias("p"), (F.col("b") - F.col("g")).alias("q")))
+    cells = px.withColumn("d", F.struct((F.col("r") - F.col("g")).alias("p"), (F.col("b") - F.col("g")).alias("q"), "g"))
     around = neighbourhood(cells, width, height, "d")
     med = lambda f: upper_median(F.transform("around", lambda s: s[f]))
-    met = px.select("pic", "y", "x", "g").join(around, ["pic", "y", "x"])
+    met = around.withColumn("g", F.element_at("around", 5)["g"])
     return met.select("pic", "y", "x", (F.col("g") + med("p")).cast("int").alias("r"), "g", (F.col("g") + med("q")).cast("int").alias("b"))
 
 
