@@ -10,6 +10,7 @@ from . import (
     lm_score,
     mixing,
     packing,
+    periodic_runs,
     projection_search,
     url_filter,
     warc,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_nearest_neighbours": projection_search.op8,
     "op9_embedding_near_copies": cap_filters.op9,
     "op10_lm_score": lm_score.op10,
+    "op13_periodic_runs": periodic_runs.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
