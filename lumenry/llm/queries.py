@@ -12,6 +12,7 @@ from . import (
     packing,
     periodic_runs,
     projection_search,
+    quality_outliers,
     url_filter,
     warc,
 )
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_nearest_neighbours": projection_search.op8,
     "op9_embedding_near_copies": cap_filters.op9,
     "op10_lm_score": lm_score.op10,
+    "op12_quality_outliers": quality_outliers.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
 

@@ -50,7 +50,7 @@ def planted_ids(count):
 
 def test_runs_equal_a_scan():
     rng = random.Random(3)
-    for _ in range(600):
+    for _ in range(200):
         n, letters = rng.randint(0, 160), rng.choice([1, 2, 3, 60])
         ids = [rng.randrange(letters) for _ in range(n)]
         for _ in range(rng.randint(0, 4)):
@@ -67,7 +67,7 @@ def test_query_over_odd_texts(spark, tmp_path):
     word = lambda k: " ".join(f"w{rng.randrange(k)}" for _ in range(rng.randint(1, 300)))
     data = [(None, "a " * 30), (None, None), (1, None), (2, ""), (3, " \t\n\x0b\f\r"), (4, "x " * 23), (5, "x " * 24), (6, "A a " * 30), (7, "é b c d " * 9), (8, "one"), (8, "one")]
     data += [(k, word(400)) for k in planted_ids(40)] + [(k, word(400)) for k in planted_ids(3)] + [(-k, word(3)) for k in range(1, 30)]
-    data += [(5000, word(9) + " " + "long text of seven words here now " * 4000 + word(9)), (planted_ids(1)[0], word(50) * 40)]
+    data += [(5000, word(9) + " " + "long text of seven words here now " * 4000 + word(9)), (planted_ids(1)[0], word(50) * 4)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("n_runs", df_lit(1)).withColumn("periodic_", df_lit(2))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     out = [tuple(r) for r in periodic_runs.op13(spark, str(tmp_path)).collect()]
