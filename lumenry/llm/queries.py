@@ -11,6 +11,7 @@ from . import (
     mixing,
     packing,
     periodic_runs,
+    prefix_trie,
     projection_search,
     quality_outliers,
     url_filter,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_nearest_neighbours": projection_search.op8,
     "op9_embedding_near_copies": cap_filters.op9,
     "op10_lm_score": lm_score.op10,
+    "op11_prefix_trie": prefix_trie.op11,
     "op12_quality_outliers": quality_outliers.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
