@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -263,9 +263,16 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 ["cid", "items"],
             )
 
+    schema = "cid long, items array<long>"
     ids = reps.select("id").dropna().distinct()
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    return docs.join(ids, "id", "left_semi").mapInArrow(made, "cid long, items array<long>")
+    held = docs.join(ids, "id", "left_semi").mapInArrow(made, schema)
+    unnamed = reps.where("id is null").select("cid")
+    if unnamed.isEmpty():
+        return held
+    # sets that no row with an id holds: found by their key among the rows without one, each once
+    own = docs.where("id is null").mapInArrow(made, schema).join(unnamed, "cid", "left_semi")
+    return held.unionByName(own.groupBy("cid").agg(F.any_value("items").alias("items")))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -317,14 +324,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return materialise(met.applyInPandas(verify, "a long, b long"), "verified")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``(id_col, n_shingles long, component_id long)`` for every row of ``docs``.
+def set_keys(column: str, width: int = 5) -> Column:
+    """The key of a text's shingle set, equal for equal sets; null for a text without words."""
+
+    def keys(texts: pd.Series) -> pd.Series:
+        column, found = pa.array(texts, pa.string()), []
+        for start, end in wordhash.slices(column):
+            flat, offsets = wordhash.shingles(column.slice(start, end - start), width)
+            found += [k if n else None for k, n in zip(_signed(_set_keys(flat, offsets)).tolist(), np.diff(offsets).tolist())]
+        return pd.Series(found, dtype="Int64")
+
+    return F.pandas_udf(keys, "long")(F.col(f"`{column}`").cast("string"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, with_keys: bool = False) -> DataFrame:
+    """``(id_col, n_shingles long, component_id long)`` for every row of ``docs``; ``with_keys`` adds ``set_key`` as ``set_keys`` gives it.
 
     Rows link when the Jaccard similarity of their shingle sets is at least
     ``percent`` / 100. ``component_id`` is the smallest id reachable by links.
     Null or empty texts have no shingles and stay alone; texts with fewer words than
     ``width`` are one shingle. Rows that repeat an id are each kept. A null id
-    gives a null component and lends its component no name. An empty table gives
+    gives a null component and lends its component no name, but its links count. An empty table gives
     no rows. Other columns are neither read nor returned.
     """
     if not 50 < percent <= 100:
@@ -404,6 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.col("id").alias(id_col),
             F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
+            *([F.when(F.col("n") > 0, F.col("cid")).alias("set_key")] if with_keys else []),
         )
     )
 

@@ -380,3 +380,11 @@ def test_jaccard_join_of_long_texts(spark):
         data.append((k, " ".join(own[: rnd.randrange(990, 1036)])))
     found = jaccard_join.jaccard_components(spark.createDataFrame(data, DOCS), width=4, percent=85)
     assert rows(found) == plain.jaccard(data, 4, 85)
+
+
+def test_jaccard_join_through_a_row_without_id(spark):
+    """1 and 3 are linked only by a text that no id holds."""
+    words = [f"w{k}" for k in range(100)]
+    data = [(1, " ".join(words)), (None, " ".join(words[4:])), (None, " ".join(words[4:])), (3, " ".join(words[8:]))]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), width=5, percent=95)
+    assert rows(found) == sorted([(1, 96, 1), (None, 92, None), (None, 92, None), (3, 88, 1)], key=str)
