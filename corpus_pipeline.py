@@ -26,23 +26,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id.
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row, with the smallest id.
 
-    Rows that repeat an id are one document, of which the first text stays; rows
-    without an id stay. Only ids move, unless too many go for a broadcast.
+    Rows without an id stay. An id whose rows hold several texts is judged text by text: each
+    group keeps a row, so no text goes that has no near copy left, and of texts without words the id keeps one.
+    Equal ids and texts are one document. Only ids and keys of sets move, unless too many go for a broadcast. Columns of
+    any type and name pass through; an empty table gives none.
     """
-    found = materialise(jaccard_join.jaccard_components(docs, width=5, percent=80), "components")
-    own = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows"))
+    found = materialise(jaccard_join.jaccard_components(docs, width=5, percent=80, with_keys=True).where("doc_id is not null"), "components")
+    own = found.groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows"))
     own = materialise(own, "own")
-    gone, again = own.where("c <> doc_id").select("doc_id"), own.where("c = doc_id and rows > 1").select("doc_id")
+    gone, again = own.where("rows = 1 and not stays").select("doc_id"), own.where("rows > 1").select("doc_id")
     gone = F.broadcast(gone) if small_enough(gone, BROADCAST_IDS) else gone
     kept = docs.join(gone, "doc_id", "left_anti")
-    if not again.isEmpty():
-        again = F.broadcast(again) if small_enough(again, BROADCAST_IDS) else again
-        columns = [F.col(f"`{c}`") for c in docs.columns]
-        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", F.struct(*columns).alias("row"))).alias("m"))
-        kept = kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(one.select("m.row.*"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return kept.select(*columns)
+    again = F.broadcast(again) if small_enough(again, BROADCAST_IDS) else again
+    several = kept.join(again, "doc_id", "left_semi").select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), "text")
+    several = several.withColumn("key", jaccard_join.set_keys("text"))
+    first = found.join(again, "doc_id", "left_semi").where("component_id = doc_id").select(F.col("doc_id").alias("id"), F.col("set_key").alias("own")).distinct()
+    stays = several.join(first, (several.id == first.id) & several.key.eqNullSafe(first.own), "left_semi")
+    one = stays.groupBy("id", F.col("key").isNull()).agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(one.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
