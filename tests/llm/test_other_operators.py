@@ -311,6 +311,18 @@ def test_pipeline_stages(spark):
     assert empty.isEmpty()
 
 
+def test_near_copies_of_an_id_with_several_texts(spark):
+    """A text goes only where a near copy of it stays; columns that cannot be ordered pass through."""
+    text = lambda k: " ".join(f"{'abc'[k]}{i}" for i in range(60))
+    data = [(1, text(0)), (5, text(0) + " more"), (5, text(1)), (5, text(1) + " more"), (7, None), (7, ""), (7, text(1) + " too"), (9, text(2)), (9, text(2)), (None, text(0)), (8, text(0))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("row", F.create_map(F.lit("a"), F.col("doc_id")))
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, text(0)), (5, text(1)), (7, None), (9, text(2)), (None, text(0))], key=str) or got == sorted([(1, text(0)), (5, text(1)), (7, ""), (9, text(2)), (None, text(0))], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").isEmpty()
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert not out.isEmpty()
