@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import plates
 from .effects import REGISTRY, Colour, dither_ordered, falsecolor, leak, onepoint, pixel_sort, prism, remap
 from .seeded import dither_diffusion, drawn_slices, drawn_stretch, streaks
 
@@ -64,18 +65,21 @@ def _prism(px, width, height, range_=-200, wobble=0, **own):
 
 
 def _remap(px, width, height, map_=(), width_=25, smooth=1, **own):
-    built("remap", smooth=(smooth, 1))
+    if smooth > 0 and map_:
+        return plates.spread(plates.remap(plates.gathered(px, width, height), list(map_), width_, smooth=smooth, **own))
     return remap(px, list(map_), width_, **own)
 
 
 def _onepoint(px, width, height, at=None, smooth=1, width_=30, **own):
-    built("onepoint", at=(at, None), smooth=(smooth, 1))
+    if smooth > 0 or at is not None:
+        return plates.spread(plates.onepoint(plates.gathered(px, width, height), width=width_, at=at, smooth=smooth, **own))
     return onepoint(px, width=width_, **own)
 
 
-def _falsecolor(px, width, height, smooth=1, width_=30, **own):
-    built("falsecolor", smooth=(smooth, 1))
-    return falsecolor(px, width=width_, **own)
+def _falsecolor(px, width, height, smooth=1, width_=30, only=None, **own):
+    if smooth > 0 and only is not None:
+        return plates.spread(plates.falsecolor(plates.gathered(px, width, height), width=width_, only=only, smooth=smooth, **own))
+    return falsecolor(px, width=width_, only=only, **own)
 
 
 def _renamed(effect, **names):

@@ -6,6 +6,7 @@ files, suppliers for small pictures whose pixels are integer formulas, customers
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import scalars as S
+from .operators import bands as B
 from .operators import bursts as U
 from .operators import effects as X
 from .operators import frames as R
 from .operators import keyfile as K
+from .operators import plates as L
 from .operators import seeded as D
 from .operators import similarity as M
 from .operators import spectral as P
@@ -548,6 +551,38 @@ def fx_onepoint(spark, sf_dir):
     return shown(X.onepoint(pixels(spark, sf_dir)))
 
 
+def plates(spark, sf_dir):
+    """The same pictures, one row each."""
+    at = f"i div {WIDTH}", f"i % {WIDTH}"
+    cell = "array(cast((x * 4 + pic * 7) % 256 as smallint), cast((y * 5 + pic * 13 + x * y) % 256 as smallint), cast(((x * 31 + y * 17 + pic * 101) % 256 * 7919) % 256 as smallint))"
+    cell = re.sub(r"\bx\b", f"({at[1]})", re.sub(r"\by\b", f"({at[0]})", cell))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("pic"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    return rows.withColumn("rgb", F.expr(f"flatten(transform(sequence(0, {WIDTH * HEIGHT - 1}), i -> {cell}))"))
+
+
+#: The weights of ``zone`` blurred over 2 % of the picture's width, rows and then columns, edges repeated.
+SOFT_ZONE = f"""{HSV}, w as (select pic, y, x, r, g, b, l, near * gate as w from zone),
+k as (select i, exp(-i * i / (2 * 1.28::double * 1.28)) / (select sum(exp(-j * j / (2 * 1.28::double * 1.28))) from range(-4, 5) as u(j)) as kw from range(-4, 5) as t(i)),
+across as (select a.pic, a.y, a.x, sum(kw * o.w) as w from w a, k, w o where o.pic = a.pic and o.y = a.y and o.x = greatest(0, least({WIDTH - 1}, a.x + i)) group by a.pic, a.y, a.x),
+soft as (select a.pic, a.y, a.x, sum(kw * o.w) as kept from across a, k, across o where o.pic = a.pic and o.x = a.x and o.y = greatest(0, least({HEIGHT - 1}, a.y + i)) group by a.pic, a.y, a.x),
+both_ as (select * from w join soft using (pic, y, x))"""
+
+
+@query(paint_sql(*[f"l + ({c} - l) * kept" for c in "rgb"], source="both_", before=", " + SOFT_ZONE))
+def fx_onepoint_soft(spark, sf_dir):
+    return shown(L.spread(L.onepoint(plates(spark, sf_dir), smooth=2)))
+
+
+@query()
+def fx_falsecolor_soft(spark, sf_dir):
+    return shown(L.spread(L.falsecolor(plates(spark, sf_dir), only=210, rotate=60, saturation=150)))
+
+
+@query()
+def fx_remap_soft(spark, sf_dir):
+    return shown(L.spread(L.remap(plates(spark, sf_dir), [(0, 120), (210, 30)])))
+
+
 @query()
 def fx_remap(spark, sf_dir):
     return shown(X.remap(pixels(spark, sf_dir), [(0, 120), (210, 30)]))
@@ -766,7 +801,6 @@ def register_shift(spark, sf_dir):
     return R.register(scenes(spark, sf_dir), 3, WIDTH, HEIGHT, 3, scene=SCENE)
 
 
-PERIODS = [round(20 + 1.7 * k, 1) for k in range(120)]
 SIGNAL = "sig as (select s_suppkey as id, row, 1 + 0.04 * sin(2 * pi() * row / (60.0::double + s_suppkey * 5)) as v from supplier, range(1600) as t(row))"
 
 
@@ -776,15 +810,74 @@ def signal(spark, sf_dir):
     return base.withColumn("v", 1 + 0.04 * F.sin(2 * F.pi() * F.col("row") / (60.0 + F.col("id") * 5)))
 
 
-@query(f"""with {SIGNAL} select id, period, round(pow(sum(v * cos(2 * pi() * row / period)), 2) + pow(sum(v * sin(2 * pi() * row / period)), 2), 4) as power
-from sig, (select unnest({PERIODS})::double as period) group by id, period""")
+def whole_signals(spark, sf_dir):
+    """The same signals, one row each."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return rows.withColumn("values", F.expr("transform(sequence(0, 1599), row -> 1 + 0.04 * sin(2 * pi() * row / (60.0D + id * 5)))"))
+
+
+@query(f"""with {SIGNAL}, whole as (select id, list(v order by row) as vs from sig group by id),
+waves as (select k / 10.0::double as period, list(cos(2 * pi() * row / (k / 10.0::double)) order by row) as cs, list(sin(2 * pi() * row / (k / 10.0::double)) order by row) as ss
+  from range(200, 4010) as p(k), range(1600) as t(row) group by k)
+select id, period, round(pow(list_dot_product(vs, cs), 2) + pow(list_dot_product(vs, ss), 2), 2) as power from whole, waves""")
 def band_power(spark, sf_dir):
-    return P.band_power(signal(spark, sf_dir), PERIODS).withColumn("power", F.round("power", 4))
+    return B.signal_powers(whole_signals(spark, sf_dir), B.ROW_PERIODS).withColumn("power", F.round("power", 2))
 
 
 @query()
 def band_periods(spark, sf_dir):
-    return P.strongest(P.prominence(P.band_power(signal(spark, sf_dir), PERIODS)))
+    return B.signal_periods(whole_signals(spark, sf_dir))
+
+
+#: Sixteen suppliers give a picture 384 wide, each 16 of its rows; every second picture has stripes.
+STRIPED = """sp as (select s_suppkey // 16 as pic, s_suppkey % 16 * 16 + q as y, x,
+  floor((90 + (x * 31 + (s_suppkey % 16 * 16 + q) * (17 + x) + s_suppkey // 16 * 101) % 23)
+    * (1 + case when s_suppkey // 16 % 2 = 0 then 0.12::double * sin(2 * pi() * (s_suppkey % 16 * 16 + q) / (9.3::double + s_suppkey // 16 % 40)) else 0 end)) as l
+  from supplier, range(16) as a(q), range(384) as b(x))"""
+
+
+def striped(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 16").alias("pic"), F.expr("s_suppkey % 16").alias("part"))
+    texture = "(i % 384 * 31 + (part * 16 + i div 384) * (17 + i % 384) + pic * 101) % 23"
+    wave = "if(pic % 2 = 0, 0.12D * sin(2 * pi() * (part * 16 + i div 384) / (9.3D + pic % 40)), 0D)"
+    rows = rows.withColumn("cells", F.expr(f"transform(sequence(0, {16 * 384 - 1}), i -> cast(floor((90 + {texture}) * (1 + {wave})) as smallint))"))
+    rows = rows.groupBy("pic").agg(F.array_sort(F.collect_list(F.struct("part", "cells"))).alias("parts"))
+    flat = F.flatten(F.transform("parts", lambda p: p["cells"]))
+    return rows.select("pic", F.lit(384).alias("width"), (16 * F.size("parts")).alias("height"), flat.alias("light"))
+
+
+@query(f"""with {STRIPED}, tall as (select pic, count(distinct y) as height from sp group by pic),
+prof as (select pic, c, y as u, ln(avg(l) + 4) as p from sp join tall using (pic), (values (0), (128)) as t(c) where height >= 256 and x >= c and x < c + 256 group by pic, c, y),
+sig as (select pic, c, u, (p - avg(p) over (partition by pic, c order by u rows between 8 preceding and 8 following)) * (0.5 - 0.5 * cos(2 * pi() * u / 256.0::double)) as s from prof),
+per as (select k / 10.0::double as period from range(60, 641) as t(k) where abs(2560.0::double / k - 64) > 2.5 and abs(2560.0::double / k - 32) > 2.5 and abs(k / 10.0::double - 16) > 0.3::double),
+pw as (select pic, c, period, pow(sum(s * cos(2 * pi() * u / period)), 2) + pow(sum(s * sin(2 * pi() * u / period)), 2) as w from sig, per group by pic, c, period),
+pk as (select * from (select pic, c, arg_max(period, w) as period, max(w) / list_sort(list(w))[count(*) // 2 + 1] as ratio from pw group by pic, c) where ratio > 10),
+v as (select a.pic, a.c, any_value(a.period) as period, count(*) as n, max(b.ratio) as peak from pk a join pk b on a.pic = b.pic and abs(b.period - a.period) / a.period < 0.04::double group by a.pic, a.c),
+best as (select pic, arg_min(struct_pack(period := period, n := n, peak := peak), c - 1000 * n) as f from v group by pic)
+select pic, case when height >= 256 then coalesce(f.period, 0) end as period, case when height >= 256 then coalesce(f.n, 0) / 2.0::double end as coverage,
+  case when height >= 256 then round(coalesce(f.peak, 0)) end as peak, case when height >= 256 then coalesce(f.n, 0) / 2.0 >= 0.25 and coalesce(f.peak, 0) >= 200 end as banded
+from tall left join best using (pic)""")
+def light_bands(spark, sf_dir):
+    return B.light_bands(striped(spark, sf_dir)).withColumn("peak", F.round("peak"))
+
+
+def mosaics(spark, sf_dir):
+    """A hundred suppliers give a raw picture of 64 columns, each 26 of its rows; the first colour of every second one has bands."""
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 100").alias("pic"), F.expr("s_suppkey % 100").alias("part"))
+    y, noise = "(part * 26 + i div 64)", "((i * 7919 + part * 3571 + pic * 101) % 41 - 20)"
+    red = f"(pic % 2 = 0 and i % 2 = 0 and {y} % 2 = 0)"
+    band = f"if({red}, 1 + 0.05D * sin(2 * pi() * {y} / (61.7D + pic % 90)), 1D)"
+    rows = rows.withColumn("cells", F.expr(f"transform(sequence(0, {26 * 64 - 1}), i -> cast(round(1500 * (0.6D + 0.4D * {y} / 2600) * {band} + {noise} + 140) as int))"))
+    rows = rows.groupBy("pic").agg(F.array_sort(F.collect_list(F.struct("part", "cells"))).alias("parts"))
+    return rows.select("pic", F.lit(64).alias("width"), (26 * F.size("parts")).alias("height"), F.flatten(F.transform("parts", lambda p: p["cells"])).alias("raw"))
+
+
+@query()
+def row_bands(spark, sf_dir):
+    """Bands found in raw pictures, how strong they are before and after, and the sum of the values left."""
+    found = B.row_bands(mosaics(spark, sf_dir), ((0, 1), (1, 2)), (140.0,) * 4, (4095.0,) * 4)
+    left = F.aggregate("raw", F.lit(0).cast("long"), lambda s, v: s + v)
+    return found.select("pic", F.round("period", 2).alias("period"), F.round("peak", 2).alias("peak"), *[F.transform(c, lambda v: F.round(v, 4)).alias(c) for c in ("peaks", "amplitudes", "residual")], left.alias("light"))
 
 
 @query(f"""with {SIGNAL}, p as (select *, cast(floor((row / 101.7::double - floor(row / 101.7::double)) * 32) as int) as bin from sig), m as (select id, avg(v) as mean from sig group by id)
