@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.parameters import defaults
 from ..functions.scalars import (
     brightness,
     byte,
@@ -333,9 +334,9 @@ REGISTRY: dict[str, Callable] = {
 
 
 def apply_recipe(px: DataFrame, width: int, height: int, steps: list[tuple[str, dict]]) -> DataFrame:
-    """The effects of a recipe one after another."""
+    """The effects of a recipe one after another; parameters that a step leaves out have the values that recipes print for them."""
     for name, params in steps:
         if name not in REGISTRY:
             raise ValueError(f"unknown effect {name}, known are {', '.join(sorted(REGISTRY))}")
-        px = REGISTRY[name](px, width, height, **params)
+        px = REGISTRY[name](px, width, height, **(defaults(name) | params))
     return px

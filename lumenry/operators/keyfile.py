@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import shift_ev
 from ..model import METADATA, SHOT_SECTIONS, WHITE_BALANCE
 
 
@@ -258,9 +259,10 @@ def set_group(rows: DataFrame, settings: DataFrame) -> DataFrame:
 def automatic(preset: DataFrame, light: DataFrame) -> DataFrame:
     """``(path, section, key, value)``: the preset's exposure compensation shifted by the stops from ``light(path, reference, own)``.
 
-    ``preset`` holds ``get`` rows. Luminances are linear; nothing is set where one of them is unknown or not positive.
+    ``preset`` holds ``get`` rows. Luminances are linear; nothing is set where one of them is unknown. The shift is at most two
+    stops, and none where a luminance is not positive: the preset's own value, or 0, is set then.
     """
     own = preset.where("section = 'Exposure' and key = 'Compensation'").select("path", F.col("value").try_cast("double").alias("had"))
-    known = light.where("reference > 0 and own > 0").join(own, "path", "left")
-    shifted = F.round(F.coalesce("had", F.lit(0.0)) + F.log2(F.col("reference") / F.col("own")), 2)
+    known = light.where("reference is not null and own is not null").join(own, "path", "left")
+    shifted = F.round(F.coalesce("had", F.lit(0.0)) + shift_ev(F.col("reference"), F.col("own")), 2)
     return known.select("path", F.lit("Exposure").alias("section"), F.lit("Compensation").alias("key"), shifted.cast("string").alias("value"))

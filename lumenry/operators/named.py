@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import plates
-from .effects import REGISTRY, Colour, dither_ordered, falsecolor, leak, onepoint, pixel_sort, prism, remap
-from .seeded import dither_diffusion, drawn_slices, drawn_stretch, streaks
+from . import plate_effects, plates
+from .effects import REGISTRY, Colour, dither_ordered, falsecolor, leak, onepoint, pixel_sort, prism, remap, scaled, spin
+from .seeded import SEEDED, drawn_slices, drawn_stretch, streaks
 
 
 def built(effect: str, **only: tuple) -> None:
@@ -22,8 +22,14 @@ def turned(px: DataFrame) -> DataFrame:
     return px.select(*[F.col({"x": "y", "y": "x"}.get(c, c)).alias(c) for c in px.columns])
 
 
+def whole(effect, px: DataFrame, width: int, height: int, **own) -> DataFrame:
+    """An effect on plates, for a pixel table."""
+    return plates.spread(effect(plates.gathered(px, width, height), **own))
+
+
 def _slice(px, width, height, slices=12, shift=120, height_=(8, 120), split=False, invert=False, seed=1):
-    built("slice", split=(split, False), invert=(invert, False))
+    if split or invert:
+        return whole(plate_effects.slices, px, width, height, count=slices, shift=shift, tall=height_, split=split, invert=invert, seed=seed)
     return drawn_slices(px, width, height, slices, shift, height_, seed)
 
 
@@ -46,17 +52,20 @@ def _streaks(px, width, height, color: Colour = (255, 58, 16), width_=28, wobble
     return streaks(px, width, height, hue=60 * part % 360, saturation=(most - least) / max(1, most), wide=width_, **own)
 
 
-def _dither(px, width, height, method="diffusion", size=1, mid=128):
-    built("dither", size=(size, 1))
-    if method == "diffusion":
-        return dither_diffusion(px, width, height, mid)
-    built("dither", mid=(mid, 128))
-    return dither_ordered(px)
+def _dither(px, width, height, method="diffusion", size=2, mid=128):
+    if method == "bayer" and mid == 128 and scaled(size, max(width, height)) <= 1:
+        return dither_ordered(px)
+    return whole(plate_effects.dither, px, width, height, method=method, size=size, mid=mid)
+
+
+def _leak(px, width, height, edge="random", spread=0, wobble=0, seed=1, **own):
+    if edge == "random" or spread or wobble:
+        return whole(plate_effects.leak, px, width, height, edge=edge, spread=spread, wobble=wobble, seed=seed, **own)
+    return leak(px, width, height, edge=edge, **own)
 
 
-def _leak(px, width, height, spread=0, wobble=0, **own):
-    built("leak", spread=(spread, 0), wobble=(wobble, 0))
-    return leak(px, width, height, **own)
+def _spin(px, width, height, steps=0, **own):
+    return spin(px, width, height, steps=steps, **own) if steps else whole(plate_effects.spin, px, width, height, steps=0, **own)
 
 
 def _prism(px, width, height, range_=-200, wobble=0, **own):
@@ -88,7 +97,8 @@ def _renamed(effect, **names):
 
 
 REGISTRY.update(
-    slice=_renamed(_slice, height="height_"), stretch=_stretch, sort=_sort, streaks=_renamed(_streaks, width="width_"), dither=_dither, leak=_leak,
+    slice=_renamed(_slice, height="height_"), stretch=_stretch, sort=_sort, streaks=_renamed(_streaks, width="width_"), dither=_dither, leak=_leak, spin=_spin,
     prism=_renamed(_prism, range="range_"), remap=_renamed(_remap, map="map_", width="width_"), onepoint=_renamed(_onepoint, width="width_"),
     falsecolor=_renamed(_falsecolor, width="width_"),
 )
+SEEDED.add("leak")

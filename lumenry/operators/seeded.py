@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.draws import Draws, below, value_noise
 from ..functions.scalars import brightness, from_hsv
+from . import plate_effects, plates
 from .effects import REGISTRY, Colour, painted, rgb, sampled, scaled, slices, stretch
 
 
@@ -113,24 +112,8 @@ def bloom(px: DataFrame, width: int, height: int, threshold: int = 200, radius:
 
 
 def dither_diffusion(px: DataFrame, width: int, height: int, mid: int = 128) -> DataFrame:
-    """Black and white by error diffusion. Every pixel needs the one before it, so a picture is one task."""
-    schema = "pic long, y int, x int, r int, g int, b int"
-
-    def diffused(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        light = np.zeros((height + 1, width + 2))
-        light[:height, 1 : width + 1] = np.clip(((299 * pdf["r"] + 587 * pdf["g"] + 114 * pdf["b"]) // 1000).to_numpy().reshape(height, width) + 128.0 - mid, 0, 255)
-        ink = np.zeros((height, width), np.int32)
-        for y in range(height):
-            for x in range(1, width + 1):
-                ink[y, x - 1] = 255 if light[y, x] >= 128 else 0
-                error = (light[y, x] - ink[y, x - 1]) / 16
-                light[y, x + 1] += 7 * error
-                light[y + 1, x - 1 : x + 2] += error * np.array([3, 5, 1])
-        flat = ink.reshape(-1)
-        return pdf[["pic", "y", "x"]].assign(r=flat, g=flat, b=flat)
-
-    return px.groupBy("pic").applyInPandas(diffused, schema)
+    """Black and white by error diffusion, a picture's pixels along slanted lines."""
+    return plates.spread(plate_effects.dither(plates.gathered(px, width, height), size=0, mid=mid))
 
 
 def drawn_slices(px: DataFrame, width: int, height: int, count: int = 12, shift: int = 120, tall=(8, 120), seed: int = 0) -> DataFrame:

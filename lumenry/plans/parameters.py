@@ -128,6 +128,11 @@ def value_at(kind: str, text: str, default: str, moment: float = 0.0, cycle: flo
     return typed(kind, default if text is None else text, moment)
 
 
+def defaults(effect: str) -> dict:
+    """The typed values of an effect's parameters where a recipe gives none."""
+    return {name: typed(kind, default) for name, kind, default, _ in PARAMETERS.get(effect, ())}
+
+
 def checked(effect: str, pairs: list[tuple[str, str]]) -> dict[str, str]:
     """The texts of an effect's parameters, all of them, in their order; what is not given has its default. Of repeats the last counts."""
     if effect not in PARAMETERS:

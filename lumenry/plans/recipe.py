@@ -83,12 +83,16 @@ def parse_recipe(text: str, moment: float = 0.0, cycle: float = 0.0) -> list[tup
     return out
 
 
+def change_words(change: Change) -> str:
+    """A change as recipes write it; the factor is exact, so a slow one may come back as a fast one below 1."""
+    often = f"every {change.every} " if change.every > 1 else ""
+    return often + ("rev" if change.back else f"fast {change.factor!r}")
+
+
 def print_recipe(text: str) -> str:
-    """The recipe with all parameters of its effects; it reads back as the same."""
+    """The recipe with all parameters of its effects and its changes; it reads back as the same."""
     seed, steps = read_recipe(text)
-    parts = [" ".join([step.effect, *(f"{name}={value}" for name, value in step.texts.items() if value)]) for step in steps]
-    if any(step.changes for step in steps):
-        raise RecipeError("changes of the cycle are not printed")
+    parts = [" ".join([*map(change_words, step.changes), step.effect, *(f"{name}={value}" for name, value in step.texts.items() if value)]) for step in steps]
     return f"seed={seed} " + " + ".join(parts)
 
 

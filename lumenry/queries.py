@@ -19,6 +19,7 @@ from .operators import bursts as U
 from .operators import effects as X
 from .operators import frames as R
 from .operators import keyfile as K
+from .operators import plate_effects as E
 from .operators import plates as L
 from .operators import seeded as D
 from .operators import similarity as M
@@ -573,6 +574,26 @@ def fx_onepoint_soft(spark, sf_dir):
     return shown(L.spread(L.onepoint(plates(spark, sf_dir), smooth=2)))
 
 
+@query()
+def fx_leak_random(spark, sf_dir):
+    return shown(L.spread(E.leak(plates(spark, sf_dir), seed=5, spread=20, wobble=40)))
+
+
+@query()
+def fx_spin_auto(spark, sf_dir):
+    return shown(L.spread(E.spin(plates(spark, sf_dir), angle=40, steps=0)))
+
+
+@query()
+def fx_dots(spark, sf_dir):
+    return shown(L.spread(E.dither(plates(spark, sf_dir), size=32, mid=110)))
+
+
+@query()
+def fx_slice_channels(spark, sf_dir):
+    return shown(L.spread(E.slices(plates(spark, sf_dir), split=True, invert=True, seed=3)))
+
+
 @query()
 def fx_falsecolor_soft(spark, sf_dir):
     return shown(L.spread(L.falsecolor(plates(spark, sf_dir), only=210, rotate=60, saturation=150)))
@@ -730,7 +751,7 @@ def fx_bloom(spark, sf_dir):
 
 @query()
 def fx_dither_diffusion(spark, sf_dir):
-    return shown(D.dither_diffusion(pixels(spark, sf_dir), WIDTH, HEIGHT))
+    return shown(L.spread(E.dither(plates(spark, sf_dir), size=1)))
 
 
 # Frames and signals

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -69,7 +70,10 @@ def apply_moves(plan: DataFrame, folder: str | None = None) -> DataFrame:
 
     schema = "dir string, stem string, error string"
     if folder is None:
-        folder = f"{plan.sparkSession.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/moves-{uuid.uuid4().hex}"
+        shared = plan.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", plan.sparkSession.conf.get("spark.master", "local")):
+            raise ValueError("name a folder that the executors share, or set spark.checkpoint.dir")
+        folder = f"{shared or tempfile.mkdtemp()}/moves-{uuid.uuid4().hex}"
     shots.mapInArrow(moved, schema).write.parquet(folder)
     return plan.sparkSession.read.schema(schema).parquet(folder)
 
