@@ -944,5 +944,6 @@ def effect_parameters(spark, sf_dir):
 @query("""select distinct 'seed=1 duotone dark=14052b light=ffd9a0 + scanlines period=' || (n_nationkey + 2) || ' thickness=1 strength=60' as text from nation""")
 def recipe_text(spark, sf_dir):
     """Recipes as texts with all their parameters."""
-    periods = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().collect()]
-    return spark.createDataFrame([(print_recipe(f"duotone dark=14052b light=ffd9a0 scanlines period={k + 2}"),) for k in periods], "text string")
+    before, after = print_recipe("duotone dark=14052b light=ffd9a0 scanlines period=987").split("987")
+    period = (F.col("n_nationkey") + 2).cast("string")
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit(before), period, F.lit(after)).alias("text")).distinct()
