@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.draws import Draws, split_mix
 from .effects import BAYER, Colour, scaled
-from .plates import from_hsv, luma, repainted, shrinking, to_hsv
+from .plates import from_hsv, luma, repainted, resized, to_hsv
 
 #: Pixels between two of the pictures that an automatic spin blends, and how many it blends at most.
 SPACING, MOST_STEPS = 4.0, 96
@@ -78,8 +78,7 @@ def dither(plates: DataFrame, method: str = "diffusion", size: int = 2, mid: int
         sh, sw = max(1, h // dot), max(1, w // dot)
         small = picture
         if dot > 1:
-            rows = np.einsum("ij,jkc->ikc", shrinking(h, sh), picture)
-            small = np.floor(np.round(np.einsum("ij,kjc->kic", shrinking(w, sw), rows), 9) + 0.5)
+            small = np.floor(np.round(resized(picture, sh, sw), 9) + 0.5)
         light = np.clip(luma(small) + 128.0 - mid, 0, 255)
         if method == "bayer":
             bayer = np.array(BAYER)

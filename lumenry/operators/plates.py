@@ -102,6 +102,12 @@ def shrinking(size: int, small: int) -> np.ndarray:
     return weight / weight.sum(1, keepdims=True)
 
 
+def resized(picture: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A picture (height, width, channels) made smaller along both sides, not rounded."""
+    rows = np.tensordot(shrinking(picture.shape[0], height), picture, 1)
+    return shrinking(picture.shape[1], width) @ rows
+
+
 def blurring(size: int, sigma: float) -> np.ndarray:
     """Matrix (size, size) of a Gaussian cut at three deviations, edges extended."""
     out = np.zeros((size, size))
@@ -133,8 +139,7 @@ def soft_map(picture: np.ndarray, smooth: float, weight: Callable[[np.ndarray],
     sh, sw = (max(1, math.floor(side * shrink + 0.5)) for side in (h, w))
     small = picture
     if shrink < 1:
-        rows = np.einsum("ij,jkc->ikc", shrinking(h, sh), picture)
-        small = np.floor(np.einsum("ij,kjc->kic", shrinking(w, sw), rows) + 0.5).clip(0, 255)
+        small = np.floor(np.round(resized(picture, sh, sw), 9) + 0.5).clip(0, 255)
     cells, sigma = weight(small), smooth / 100 * max(sh, sw)
     down, across = reading(h, sh, 1 / shrink), reading(w, sw, 1 / shrink)
     if sigma >= 0.3:

@@ -21,6 +21,7 @@ from .operators import frames as R
 from .operators import keyfile as K
 from .operators import plate_effects as E
 from .operators import plates as L
+from .operators import pyramid as Y
 from .operators import seeded as D
 from .operators import similarity as M
 from .operators import spectral as P
@@ -907,6 +908,13 @@ def fold_gains(spark, sf_dir):
     return P.folded_gains(signal(spark, sf_dir), 101.7).withColumn("gain", F.round("gain", 6))
 
 
+@query()
+def register_pyramid(spark, sf_dir):
+    """Shifts of all frames against the third of their scene, over three sizes."""
+    frames = plates(spark, sf_dir).withColumns({"scene": F.expr("pic div 5"), "frame": F.col("pic") % 5 + 1}).drop("pic")
+    return Y.registered(frames, 3)
+
+
 # Recipes over time
 
 FRAMES = "f as (select event_id, event_id % 64 as k, (event_id % 64) / 63.0 as moment, (event_id % 64) / 4.0 as cycle from events)"
