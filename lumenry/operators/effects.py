@@ -35,10 +35,21 @@ def rgb() -> tuple[Column, Column, Column]:
     return F.col("r"), F.col("g"), F.col("b")
 
 
-def scaled(size: float, side: int) -> int:
+def scaled(size: float | Column, side: int) -> int | Column:
+    if isinstance(size, Column):
+        return F.floor(size * side / 1000 + 0.5)
     return int(math.floor(size * side / 1000 + 0.5))
 
 
+def larger(a, b):
+    """The larger of two parameters, either of which may be a column."""
+    return F.greatest(*[F.lit(v) for v in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else max(a, b)
+
+
+def smaller(a, b):
+    return F.least(*[F.lit(v) for v in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else min(a, b)
+
+
 def painted(px: DataFrame, channels) -> DataFrame:
     return px.select("pic", "y", "x", *[byte(c).alias(n) for c, n in zip(channels, "rgb")])
 
@@ -59,22 +70,22 @@ def tritone(px: DataFrame, dark: Colour = (20, 5, 43), mid: Colour = (224, 32, 7
 
 
 def scanlines(px: DataFrame, side: int, period: int = 4, thickness: int = 1, strength: int = 60) -> DataFrame:
-    every = max(1, scaled(period, side))
-    thick = min(every, max(1, scaled(thickness, side)))
+    every = larger(1, scaled(period, side))
+    thick = smaller(every, larger(1, scaled(thickness, side)))
     keep = F.when(F.col("y") % every < thick, 1 - strength / 100).otherwise(1.0)
     return painted(px, [c * keep for c in rgb()])
 
 
 def fade(px: DataFrame, lift: int = 12, saturation: int = 80, tint: Colour = (255, 140, 66), tint_amount: int = 10) -> DataFrame:
     base, grey = lift / 100 * 127.5, brightness(*rgb())
-    raised = [base + (grey + (c - grey) * (min(saturation, 200) / 100)) * (255 - base) / 255 for c in rgb()]
+    raised = [base + (grey + (c - grey) * (smaller(saturation, 200) / 100)) * (255 - base) / 255 for c in rgb()]
     return painted(px, [v + (t - v) * (tint_amount / 100) * (1 - v / 255) for v, t in zip(raised, tint)])
 
 
 def vignette(px: DataFrame, width: int, height: int, strength: int = 50, start: int = 40) -> DataFrame:
     dx, dy = F.col("x") - width / 2, F.col("y") - height / 2
     far = F.sqrt(dx * dx + dy * dy) / math.hypot(width / 2, height / 2)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - start / 100) / max(1 - start / 100, 0.01)))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - start / 100) / larger(1 - start / 100, 0.01)))
     return painted(px, [c * (1 - strength / 100 * t * t) for c in rgb()])
 
 
@@ -156,7 +167,7 @@ def prism(px: DataFrame, width: int, height: int, kind: str = "linear", angle: f
 def leak(px: DataFrame, width: int, height: int, edge: str = "left", color: Colour = (255, 150, 60), strength: int = 70, size: int = 50) -> DataFrame:
     """A screened glow from one side."""
     away = {"left": F.col("x"), "right": width - F.col("x"), "top": F.col("y"), "bottom": height - F.col("y")}[edge]
-    glow = F.greatest(F.lit(0.0), 1 - away / max(1.0, width * size / 100))
+    glow = F.greatest(F.lit(0.0), 1 - away / larger(1.0, width * size / 100))
     glow = glow * glow * (strength / 100)
     return painted(px, [c + (255 - (255 - c) * (255 - u) / 255.0 - c) * glow for c, u in zip(rgb(), color)])
 
@@ -215,11 +226,13 @@ def aberration(px: DataFrame, width: int, height: int, amount: float = 0.006) ->
 
 def spin(px: DataFrame, width: int, height: int, angle: float = 10, center=(50, 50), steps: int = 8, mix: int = 100) -> DataFrame:
     """The mean over rotations about a centre."""
-    if steps == 1 or not angle or not mix:
+    varies = isinstance(angle, Column)
+    if steps == 1 or not (varies or angle) or not (isinstance(mix, Column) or mix):
         return px
-    cx, cy, sweep = center[0] / 100 * (width - 1), center[1] / 100 * (height - 1), math.radians(angle)
+    cx, cy, sweep = center[0] / 100 * (width - 1), center[1] / 100 * (height - 1), angle * (math.pi / 180)
+    sine, cosine = (F.sin, F.cos) if varies else (math.sin, math.cos)
     turns = [-sweep / 2 + sweep * k / (steps - 1) for k in range(steps)]
-    rotations = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.sin(a)).alias("s"), F.lit(math.cos(a)).alias("c")) for k, a in enumerate(turns)])
+    rotations = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sine(a)).alias("s"), F.lit(cosine(a)).alias("c")) for k, a in enumerate(turns)])
     dx, dy = F.col("x") - cx, F.col("y") - cy
     points = px.select("pic", "y", "x", F.inline(rotations))
     points = points.withColumn("u", cx + dx * F.col("c") - dy * F.col("s")).withColumn("v", cy + dx * F.col("s") + dy * F.col("c"))
@@ -255,7 +268,7 @@ def pixel_sort(px: DataFrame, low: int = 40, high: int = 220, reverse: bool = Fa
     A run is an island of consecutive pixels in range; ties keep their order (and are
     turned round with ``reverse``). One window sort by position, one by brightness.
     """
-    low, high = min(low, high), max(low, high)
+    low, high = smaller(low, high), larger(low, high)
     line = W.partitionBy("pic", "y").orderBy("x")
     lit = px.withColumn("l", brightness(*rgb())).withColumn("out", (~F.col("l").between(low, high)).cast("int"))
     runs = lit.withColumn("run", F.sum("out").over(line) * 2 + F.col("out"))

@@ -23,7 +23,9 @@ def turned(px: DataFrame) -> DataFrame:
 
 
 def whole(effect, px: DataFrame, width: int, height: int, **own) -> DataFrame:
-    """An effect on plates, for a pixel table."""
+    """An effect on plates, for a pixel table; without one, the effect on a single picture, or none where nothing changes."""
+    if px is None:
+        return effect(None, **own)
     return plates.spread(effect(plates.gathered(px, width, height), **own))
 
 
@@ -75,19 +77,19 @@ def _prism(px, width, height, range_=-200, wobble=0, **own):
 
 def _remap(px, width, height, map_=(), width_=25, smooth=1, **own):
     if smooth > 0 and map_:
-        return plates.spread(plates.remap(plates.gathered(px, width, height), list(map_), width_, smooth=smooth, **own))
+        return whole(lambda p, **all_: plates.remap(p, list(map_), width_, **all_), px, width, height, smooth=smooth, **own)
     return remap(px, list(map_), width_, **own)
 
 
 def _onepoint(px, width, height, at=None, smooth=1, width_=30, **own):
     if smooth > 0 or at is not None:
-        return plates.spread(plates.onepoint(plates.gathered(px, width, height), width=width_, at=at, smooth=smooth, **own))
+        return whole(lambda p, **all_: plates.onepoint(p, **all_, width=width_), px, width, height, at=at, smooth=smooth, **own)
     return onepoint(px, width=width_, **own)
 
 
 def _falsecolor(px, width, height, smooth=1, width_=30, only=None, **own):
     if smooth > 0 and only is not None:
-        return plates.spread(plates.falsecolor(plates.gathered(px, width, height), width=width_, only=only, smooth=smooth, **own))
+        return whole(lambda p, **all_: plates.falsecolor(p, **all_, width=width_), px, width, height, only=only, smooth=smooth, **own)
     return falsecolor(px, width=width_, only=only, **own)
 
 
@@ -102,3 +104,22 @@ REGISTRY.update(
     falsecolor=_renamed(_falsecolor, width="width_"),
 )
 SEEDED.add("leak")
+
+#: Whether an effect with these parameters (all of them) works on whole pictures.
+WHOLE = {
+    "slice": lambda p: p["split"] or p["invert"],
+    "dither": lambda p: p["method"] != "bayer",
+    "leak": lambda p: p["edge"] == "random" or p["spread"] > 0 or p["wobble"] > 0,
+    "spin": lambda p: not p["steps"],
+    "remap": lambda p: p["smooth"] > 0 and len(p["map"]) > 0,
+    "onepoint": lambda p: p["smooth"] > 0 or p["at"] is not None,
+    "falsecolor": lambda p: p["smooth"] > 0 and p["only"] is not None,
+}
+#: Parameters that may be columns where an effect works on the pixel table.
+AS_COLUMNS = {
+    "duotone": {"dark", "light"}, "tritone": {"dark", "mid", "light", "mix"}, "scanlines": {"period", "thickness", "strength"},
+    "fade": {"lift", "saturation", "tint", "tint_amount"}, "vignette": {"strength", "start"}, "falsecolor": {"mix"},
+    "prism": {"position", "hue", "range", "strength", "white"}, "leak": {"color", "strength", "size", "seed"}, "aberration": {"amount"},
+    "spin": {"angle", "mix"}, "grain": {"strength", "seed"}, "sort": {"low", "high"}, "bloom": {"threshold", "strength"}, "drag": {"mix"},
+    "liquid": {"amplitude", "seed"},
+}

@@ -47,12 +47,18 @@ def arrays(batch: pa.RecordBatch, column: str = "rgb", depth: int = 3) -> Iterat
         yield own if depth > 1 else own[..., 0]
 
 
-def repainted(plates: DataFrame, effect: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Plates with ``effect`` (channels 0 to 255 to channels, rounded here) applied to each."""
+def repainted(plates: DataFrame | None, effect: Callable[[np.ndarray], np.ndarray]) -> DataFrame | Callable:
+    """Plates with ``effect`` (channels 0 to 255 to channels, rounded here) applied to each; without plates the effect itself."""
+    return effect if plates is None else repainted_by(plates, lambda _: effect)
+
+
+def repainted_by(plates: DataFrame, effect_of: Callable[[int], Callable[[np.ndarray], np.ndarray] | None]) -> DataFrame:
+    """Plates with the effect that each one's number names; none leaves a plate as it is."""
 
     def run(batches):
         for batch in batches:
-            for k, picture in enumerate(arrays(batch)):
+            for k, (pic, picture) in enumerate(zip(batch.column("pic").to_pylist(), arrays(batch), strict=True)):
+                effect = effect_of(pic) or (lambda own: own)
                 out = np.clip(np.floor(effect(picture.astype(np.float64)) + 0.5), 0, 255).astype(np.int16).reshape(-1)
                 cells = pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("pic", "width", "height")), cells], names=["pic", "width", "height", "rgb"])

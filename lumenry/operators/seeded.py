@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.draws import Draws, below, value_noise
 from ..functions.scalars import brightness, from_hsv
 from . import plate_effects, plates
-from .effects import REGISTRY, Colour, painted, rgb, sampled, scaled, slices, stretch
+from .effects import REGISTRY, Colour, larger, painted, rgb, sampled, scaled, slices, stretch
 
 
 def grain(px: DataFrame, width: int, height: int, strength: int = 30, size: int = 2, color: bool = False, seed: int = 0) -> DataFrame:
@@ -105,7 +105,7 @@ def blurred(px: DataFrame, columns: list[str], sigma: float) -> DataFrame:
 def bloom(px: DataFrame, width: int, height: int, threshold: int = 200, radius: int = 30, strength: int = 60) -> DataFrame:
     """Lights blurred and screened back."""
     light = brightness(*rgb())
-    keep = F.when(light >= threshold, F.least(F.lit(1.0), (light - threshold) / max(255.0 - threshold, 1.0))).otherwise(0.0)
+    keep = F.when(light >= threshold, F.least(F.lit(1.0), (light - threshold) / larger(255.0 - threshold, 1.0))).otherwise(0.0)
     lights = px.select("pic", "y", "x", *[F.floor(F.col(c) * keep + 0.5).cast("double").alias(f"l{c}") for c in "rgb"])
     glow = blurred(lights, ["lr", "lg", "lb"], max(0.5, radius * max(width, height) / 2000))
     return painted(px.join(glow, ["pic", "y", "x"]), [screened(c, F.round(f"l{n}"), F.lit(strength / 100)) for c, n in zip(rgb(), "rgb")])

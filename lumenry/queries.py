@@ -25,6 +25,7 @@ from .operators import pyramid as Y
 from .operators import seeded as D
 from .operators import similarity as M
 from .operators import spectral as P
+from .plans.animation import animate
 from .plans.parameters import PARAMETERS, describe
 from .plans.recipe import parse_recipe, print_recipe, recipe_frames
 from .sources import shots as T
@@ -725,6 +726,20 @@ def recipe_chain(spark, sf_dir):
     return shown(X.apply_recipe(pixels(spark, sf_dir), WIDTH, HEIGHT, parse_recipe("seed=7 falsecolor order=bgr + scanlines + vignette")))
 
 
+@query(f"""with {PX}, m as (select k, k / 4.0::double as t from range(5) as r(k)),
+n as (select k, cast(round(60 * t * t * (3 - 2 * t)) as bigint) as strength, cast(round(20 + 70 * t * t * (3 - 2 * t)) as bigint) as mix from m),
+p as (select unnest(case when k in (0, 4) then [k] else [k, 8 - k] end) as frame, strength, mix from n),
+l as (select pic, y, x, frame, mix, {", ".join(f"cast(floor({c} * (case when y % 3 < 1 then 1 - strength / 100.0::double else 1 end) + 0.5) as bigint) as {c}" for c in "rgb")} from px, p),
+u as (select *, (299 * r + 587 * g + 114 * b) // 1000 / 255.0::double as t from l),
+o as (select pic, frame, y, x, {", ".join(f"greatest(0, least(255, cast(floor({c} + (case when t < 0.5 then {d} + {m - d} * (t * 2) else {m} + {u - m} * ((t - 0.5) * 2) end - {c}) * (mix / 100.0::double) + 0.5) as bigint))) as {c}" for c, d, m, u in zip("rgb", (20, 5, 43), (224, 32, 79), (255, 217, 160)))} from u)
+select pic, frame, sum(r)::bigint as r, sum(g)::bigint as g, sum(b)::bigint as b, sum((y * 64 + x) * (r + 3 * g + 7 * b))::bigint as places from o group by pic, frame""")
+def animation_frames(spark, sf_dir):
+    """All pictures at all frames of a recipe there and back, summed a frame."""
+    moving = animate(pixels(spark, sf_dir), WIDTH, HEIGHT, "scanlines period=40 thickness=20 strength=0..60 + tritone mix=20..90", 5)
+    place = (F.col("y") * WIDTH + F.col("x")) * (F.col("r") + 3 * F.col("g") + 7 * F.col("b"))
+    return moving.groupBy("pic", F.col("frame").cast("long").alias("frame")).agg(*[F.sum(c).alias(c) for c in "rgb"], F.sum(place).alias("places"))
+
+
 @query()
 def fx_grain(spark, sf_dir):
     return shown(D.grain(pixels(spark, sf_dir), WIDTH, HEIGHT, seed=7))
