@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from .functions import scalars as S
 from .operators import bands as B
 from .operators import bursts as U
+from .operators import develop as V
 from .operators import effects as X
 from .operators import frames as R
 from .operators import keyfile as K
@@ -930,6 +931,42 @@ def register_pyramid(spark, sf_dir):
     return Y.registered(frames, 3)
 
 
+# Development
+
+#: Camera colours to linear sRGB, and the white balance, of the pictures made here.
+BALANCE, MATRIX = (2.0, 1.0, 1.5), (1.6, -0.5, -0.1, -0.2, 1.5, -0.3, 0.0, -0.4, 1.4)
+
+
+def camera_pictures(spark, sf_dir):
+    """The pictures as a sensor sees them, some above its white and every third pale; the preview is the picture itself, paler in another third."""
+    own = plates(spark, sf_dir)
+    seen = F.transform("rgb", lambda v, i: (F.pow(F.when(F.col("pic") % 3 == 1, F.floor(v / 4) * 3 + 40).otherwise(v) / 255.0, F.lit(2.2)) * (0.3 + F.col("pic") % 4 * 0.4) / F.get(F.array(*map(F.lit, BALANCE)), i % 3)).cast("float"))
+    paler = F.transform("rgb", lambda v: F.when(F.col("pic") % 3 == 0, F.floor(v / 2) + 100).otherwise(v).cast("short"))
+    given = [F.array(*map(F.lit, v)).alias(n) for n, v in (("balance", BALANCE), ("matrix", MATRIX))]
+    return own.select("pic", "width", "height", seen.alias("camera"), paler.alias("preview"), *given)
+
+
+@query(f"""with {PX}, c as (select pic, y, x, {", ".join(f"cast(pow((case when pic % 3 = 1 then {c} // 4 * 3 + 40 else {c} end) / 255.0::double, 2.2) * (0.3 + pic % 4 * 0.4) / {b} as float)::double as {c}" for c, b in zip("rgb", BALANCE))},
+{", ".join(f"(case when pic % 3 = 0 then {c} // 2 + 100 else {c} end) / 255.0::double as p{c}" for c in "rgb")} from px),
+d as (select pic, y, x, r - g as dr, b - g as db, g, pr, pg, pb from c),
+n as (select d.*, {", ".join(f"list_sort(list(q.d{n}))[5] as m{n}" for n in "rb")} from d, (values (-1), (0), (1)) as j(dy), (values (-1), (0), (1)) as i(dx), d as q
+  where q.pic = d.pic and q.y = greatest(0, least(47, d.y + dy)) and q.x = greatest(0, least(63, d.x + dx)) group by all),
+v as (select pic, (g + mr) * {BALANCE[0]} as r, g * {BALANCE[1]} as g, (g + mb) * {BALANCE[2]} as b, pr, pg, pb from n),
+l as (select pic, {" + ".join(f"{w} * ({' + '.join(f'{m}::double * {c}' for m, c in zip(MATRIX[3 * k : 3 * k + 3], 'rgb'))})" for k, w in enumerate(("0.2126::double", "0.7152::double", "0.0722::double")))} as ours,
+  {" + ".join(f"{w} * (case when p{c} <= 0.04045 then p{c} / 12.92 else pow((p{c} + 0.055) / 1.055, 2.4) end)" for c, w in zip("rgb", ("0.2126::double", "0.7152::double", "0.0722::double")))} as theirs from v)
+select pic, round(greatest(0.5, least(8, list_sort(list(theirs))[1537] / list_sort(list(ours))[1537])), 6) as gain from l group by pic""")
+def develop_gain(spark, sf_dir):
+    """How much brighter each picture has to get to look like its preview."""
+    return V.developed(camera_pictures(spark, sf_dir)).select("pic", F.round("gain", 6).alias("gain"))
+
+
+@query()
+def develop_pictures(spark, sf_dir):
+    """All pictures developed: gain, vividness, and sums of what is shown."""
+    light = [F.expr(f"aggregate(filter(rgb, (v, i) -> i % 3 = {k}), 0L, (s, v) -> s + v)").alias(c) for k, c in enumerate("rgb")]
+    return V.developed(camera_pictures(spark, sf_dir)).select("pic", F.round("gain", 6).alias("gain"), F.round("vividness", 6).alias("vividness"), *light)
+
+
 # Recipes over time
 
 FRAMES = "f as (select event_id, event_id % 64 as k, (event_id % 64) / 63.0 as moment, (event_id % 64) / 4.0 as cycle from events)"
