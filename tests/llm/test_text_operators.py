@@ -44,6 +44,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+@pytest.mark.parametrize("most", [3, 16, 1_000])
+def test_components_over_several_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", most)
+    rng = random.Random(most)
+    path = rng.sample(range(-60, 60), 90)
+    edges = [*zip(path, path[1:]), (500, 400), (400, 500), (700, 700), (5000, 700), *((1000, 1000 + k) for k in range(1, 30))]
+    rng.shuffle(edges)
+    linked = {frozenset(e) for e in edges}
+    nodes = sorted({n for e in edges for n in e})
+    expected = plain.components(len(nodes), lambda a, b: frozenset((nodes[a], nodes[b])) in linked, nodes)
+    found = graph.components(spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(5))
+    assert sorted(map(tuple, found.collect())) == sorted(zip(nodes, expected))
+
+
+def test_components_take_few_jobs(spark):
+    """Every join that the driver plans and every table that it sends costs it memory: components of few edges take no joins."""
+
+    def last_job(group):
+        spark.sparkContext.setJobGroup(group, group)
+        spark.sparkContext.range(1).count()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    before = last_job("before components")
+    assert graph.components(edges).where("comp = 0").count() == 301
+    assert last_job("after components") - before < 12
+
+
 @pytest.mark.parametrize(("width", "percent", "hot"), [(4, 85, 0.5), (5, 80, 0.1)])
 def test_jaccard_join(spark, width, percent, hot):
     data = plain.near_copies(1, 500, hot) + ODD
