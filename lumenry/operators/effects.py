@@ -112,17 +112,21 @@ def remap(px: DataFrame, moves: list[tuple[float, float]], width: int = 25, soft
     """Hues near the first of each pair turn towards the second; several turns are averaged by nearness."""
     if not moves:
         return px
-    hue, gate = F.pmod(F.round(hue_of(*rgb()), 1), F.lit(360.0)), smoothstep(0.02, 0.06, saturation_of(*rgb()))
-    zone = lambda centre: 1 - smoothstep(width, width + max(soft, 1), hue_distance(hue, F.lit(float(centre))))
+    # Steps that later ones use more than once are columns, so that they are worked out once and the expressions stay small.
+    px = px.select("pic", "y", "x", *"rgb", hue_of(*rgb()).alias("hue"), saturation_of(*rgb()).alias("own"))
+    px = px.withColumn("at", F.pmod(F.round("hue", 1), F.lit(360.0)))
+    px = px.withColumns({f"zone{k}": 1 - smoothstep(width, width + max(soft, 1), hue_distance(F.col("at"), F.lit(float(a)))) for k, (a, _) in enumerate(moves)})
     total = lambda parts: reduce(lambda a, b: a + b, parts)
-    near = total([zone(a) for a, _ in moves]) * gate
-    turn = total([zone(a) * hue_turn(F.lit(float(a)), F.lit(float(b))) for a, b in moves]) * gate
-    moved = from_hsv(
-        hue_of(*rgb()) + turn / near, F.least(F.lit(1.0), saturation_of(*rgb()) * (min(saturation, 400) / 100)), F.greatest(*rgb()).cast("double")
-    )
-    amount = F.least(near, F.lit(1.0)) * (mix / 100)
-    acts = (amount > 1e-4) & (near > 1e-4)
-    return painted(px, [F.when(acts, m).otherwise(c) for c, m in zip(rgb(), mixed(moved, amount))])
+    px = px.withColumn("gate", smoothstep(0.02, 0.06, F.col("own")))
+    near, turn = [F.col(f"zone{k}") for k in range(len(moves))], [F.col(f"zone{k}") * hue_turn(F.lit(float(a)), F.lit(float(b))) for k, (a, b) in enumerate(moves)]
+    px = px.withColumns({"near": total(near) * F.col("gate"), "turn": total(turn) * F.col("gate")})
+    px = px.withColumns({
+        "amount": F.least(F.col("near"), F.lit(1.0)) * (mix / 100), "hue": F.col("hue") + F.col("turn") / F.when(F.col("near") > 0, F.col("near")),
+        "own": F.least(F.lit(1.0), F.col("own") * (min(saturation, 400) / 100)), "top": F.greatest(*rgb()).cast("double"),
+    })
+    px = px.withColumns(dict(zip(("moved_r", "moved_g", "moved_b"), from_hsv(F.col("hue"), F.col("own"), F.col("top")))))
+    acts = (F.col("amount") > 1e-4) & (F.col("near") > 1e-4)
+    return painted(px, [F.when(acts, m).otherwise(c) for c, m in zip(rgb(), mixed([F.col(f"moved_{c}") for c in "rgb"], F.col("amount")))])
 
 
 #: The 8 x 8 ordered-dither matrix.

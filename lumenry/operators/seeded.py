@@ -54,15 +54,18 @@ def streaks(px: DataFrame, width: int, height: int, hue: float = 10.0, saturatio
         bands.append((centre - size / 2, size, drawn.below(2) == 0))
     light = F.lit(0.0)
     smooth = lambda t: t * t * (3 - 2 * t)
-    for start, size, hard_right in bands:
+    for k, (start, size, hard_right) in enumerate(bands):
         u = (F.col("x") - start) / size
-        u = u if hard_right else 1 - u
+        px = px.withColumn(f"u{k}", u if hard_right else 1 - u)
+        u = F.col(f"u{k}")
         gone = (u - 1) / fade_out if fade_out else F.lit(1.0)
         light = light + F.when((u >= 0) & (u < 1), smooth(u)).when((u >= 1) & (u < 1 + fade_out), 1 - smooth(gone)).otherwise(0.0)
-    light = F.least(F.lit(1.0), light)
-    core = F.greatest(F.lit(0.0), (light - 0.75) / 0.25)
-    band = from_hsv(hue + (2 * light - 1) * spread, saturation * (1 - core * 0.3), F.lit(255.0))
-    return painted(px, [F.when(light > 0, screened(c, o, light * (strength / 100))).otherwise(c) for c, o in zip(rgb(), band)])
+    # Steps that later ones use more than once are columns, so that they are worked out once and the expressions stay small.
+    px = px.withColumn("light", F.least(F.lit(1.0), light))
+    px = px.withColumn("core", F.greatest(F.lit(0.0), (F.col("light") - 0.75) / 0.25))
+    px = px.withColumns({"hue": hue + (2 * F.col("light") - 1) * spread, "saturation": saturation * (1 - F.col("core") * 0.3)})
+    band = from_hsv(F.col("hue"), F.col("saturation"), F.lit(255.0))
+    return painted(px, [F.when(F.col("light") > 0, screened(c, o, F.col("light") * (strength / 100))).otherwise(c) for c, o in zip(rgb(), band)])
 
 
 def drag(px: DataFrame, width: int, height: int, kind: str = "motion", length: int = 60, angle: float = 0, center=(50, 50), mix: int = 70, blend: str = "lighten") -> DataFrame:
