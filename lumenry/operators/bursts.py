@@ -90,26 +90,25 @@ def progress(marks: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def shown(marks: DataFrame, which: str) -> DataFrame:
-    """Rows that a filter shows: all, unsorted, kept or rejected. Unread marks show under ``all`` alone."""
+def is_shown(which: str) -> Column:
+    """Whether a filter shows a row, see ``shown``."""
     if which == "all":
-        return marks
-    read = (F.col("state") == "read")
+        return F.lit(True)
     kept = is_kept(F.col("rank"), F.col("color"), F.col("in_trash"))
     own = {"unsorted": ~kept & ~F.col("in_trash"), "kept": kept, "rejected": F.col("in_trash")}[which]
-    return marks.where(F.coalesce(read & own, F.lit(False)))
+    return F.coalesce((F.col("state") == "read") & own, F.lit(False))
+
+
+def shown(marks: DataFrame, which: str) -> DataFrame:
+    """Rows that a filter shows: all, unsorted, kept or rejected. Unread marks show under ``all`` alone."""
+    return marks if which == "all" else marks.where(is_shown(which))
 
 
 def next_shown(marks: DataFrame, which: str, by: list[str], pos: str = "pos") -> DataFrame:
     """Each row with the nearest shown position after and before it."""
-    hit = marks.join(shown(marks, which).select(*by, pos, F.lit(True).alias("hit")), [*by, pos], "left")
-    at = F.when(F.col("hit"), F.col(pos))
-    order = W.partitionBy(*by).orderBy(pos)
-    return hit.select(
-        *by, pos,
-        F.min(at).over(order.rowsBetween(1, W.unboundedFollowing)).alias("next_pos"),
-        F.max(at).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("previous_pos"),
-    )
+    at = F.when(is_shown(which), F.col(pos))
+    before, after = (W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1) for order in (F.asc(pos), F.desc(pos)))
+    return marks.select(*by, pos, F.min(at).over(after).alias("next_pos"), F.max(at).over(before).alias("previous_pos"))
 
 
 def growing(times: DataFrame, by: list[str], max_gap_ms: int = BURST_GAP_MS, pos: str = "pos") -> DataFrame:
