@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ COHERENCE = (0.4, 0.8)
 #: Light counts up to this share of white; gains fade over the last share below white.
 MEASURED, FADE = 0.95, 0.2
 CHUNK = 256
+#: Neighbouring periods whose medians are bounded together.
+STRETCH = 16
 
 
 def block_periods() -> np.ndarray:
@@ -175,6 +178,45 @@ def all_ratios(powers: np.ndarray) -> np.ndarray:
     return np.stack([ratio_at(powers, k) for k in range(len(ROW_PERIODS))], -1)
 
 
+@lru_cache(1)
+def _stretches() -> list[tuple[int, int, int, int, np.ndarray, int]]:
+    """For stretches of neighbouring periods all places that the medians of any of them are taken over, and the least rank of these medians."""
+    out = []
+    for at in range(0, len(ROW_PERIODS), STRETCH):
+        own = ROW_PERIODS[at : at + STRETCH]
+        ends = [(place_of(p * 0.75), place_of(p * 4 / 3)) for p in own]
+        around = np.arange(ends[0][0], ends[-1][1] + 1)
+        used = np.stack([(around >= a) & (around <= b) & (np.abs(ROW_PERIODS[around] - p) > 0.03 * p) for p, (a, b) in zip(own, ends, strict=True)])
+        out.append((at, at + len(own), around[0], around[-1] + 1, used.any(0), int(used.sum(1).min()) // 2))
+    return out
+
+
+def strongest(powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of powers the place of the largest ratio, the last of equal ones, and that ratio; the same as from ``all_ratios``.
+
+    Over more places a value of the same rank is no larger, so a stretch of periods has one lower bound of its medians. Medians
+    themselves are taken only where the bound leaves room for the largest ratio.
+    """
+    most = np.empty_like(powers)
+    for at, end, lo, hi, used, rank in _stretches():
+        least = np.partition(powers[:, lo:hi][:, used], rank, axis=1)[:, rank]
+        most[:, at:end] = powers[:, at:end] / np.maximum(least, np.finfo(float).tiny)[:, None]
+    places, ratios = np.empty(len(powers), int), np.empty(len(powers))
+    for row, (own, bound) in enumerate(zip(powers, most, strict=True)):
+        if not np.isfinite(own).all():
+            all_ = all_ratios(own[None, :])[0]
+            places[row] = len(all_) - 1 - all_[::-1].argmax()
+            ratios[row] = all_[places[row]]
+            continue
+        best = (-np.inf, -1)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < best[0]:
+                break
+            best = max(best, (float(ratio_at(own, k)), int(k)))
+        ratios[row], places[row] = best
+    return places, ratios
+
+
 def spectra(signals: dict) -> dict:
     """Powers at all periods of signals ``{key: (rows, values)}`` that are long enough; signals with the same rows share their waves."""
     by_rows = defaultdict(list)
@@ -337,9 +379,8 @@ def signal_periods(signals: DataFrame) -> DataFrame:
             powers = spectra({k: (np.arange(len(v)), v.values.to_numpy(zero_copy_only=False)) for k, v in enumerate(batch.column("values"))})
             rows = []
             if powers:
-                ratios = all_ratios(np.stack(list(powers.values())))
-                best = len(ROW_PERIODS) - 1 - ratios[:, ::-1].argmax(1)
-                rows = [(ids[k], ROW_PERIODS[b], r[b]) for k, b, r in zip(powers, best, ratios, strict=True)]
+                places, ratios = strongest(np.stack(list(powers.values())))
+                rows = [(ids[k], ROW_PERIODS[b], r) for k, b, r in zip(powers, places, ratios, strict=True)]
             rows += [(key, None, None) for k, key in enumerate(ids) if k not in powers]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

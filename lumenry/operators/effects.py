@@ -1,8 +1,8 @@
 """Effects on pictures held as pixel tables ``(pic, y, x, r, g, b)``.
 
 Pointwise effects are projections. Effects that read other pixels use windows for
-constant shifts along a row or column, and one equality join on coordinates otherwise,
-so every plan is partitioned by picture. Sizes are pixels of a picture 1000 pixels long.
+constant shifts along a row or column, and work on the whole picture otherwise (``plate_effects``),
+so every plan is partitioned by picture and nothing is joined: a pixel table can be far larger than a planner takes it for. Sizes are pixels of a picture 1000 pixels long.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.parameters import defaults
+from . import plate_effects, plates
+from .plates import BAYER, Colour, scaled
 from ..functions.scalars import (
     brightness,
     byte,
@@ -28,19 +30,10 @@ from ..functions.scalars import (
     zone_weight,
 )
 
-Colour = tuple[int, int, int]
-
-
 def rgb() -> tuple[Column, Column, Column]:
     return F.col("r"), F.col("g"), F.col("b")
 
 
-def scaled(size: float | Column, side: int) -> int | Column:
-    if isinstance(size, Column):
-        return F.floor(size * side / 1000 + 0.5)
-    return int(math.floor(size * side / 1000 + 0.5))
-
-
 def larger(a, b):
     """The larger of two parameters, either of which may be a column."""
     return F.greatest(*[F.lit(v) for v in (a, b)]) if isinstance(a, Column) or isinstance(b, Column) else max(a, b)
@@ -129,19 +122,6 @@ def remap(px: DataFrame, moves: list[tuple[float, float]], width: int = 25, soft
     return painted(px, [F.when(acts, m).otherwise(c) for c, m in zip(rgb(), mixed([F.col(f"moved_{c}") for c in "rgb"], F.col("amount")))])
 
 
-#: The 8 x 8 ordered-dither matrix.
-BAYER = [
-    [0, 32, 8, 40, 2, 34, 10, 42],
-    [48, 16, 56, 24, 50, 18, 58, 26],
-    [12, 44, 4, 36, 14, 46, 6, 38],
-    [60, 28, 52, 20, 62, 30, 54, 22],
-    [3, 35, 11, 43, 1, 33, 9, 41],
-    [51, 19, 59, 27, 49, 17, 57, 25],
-    [15, 47, 7, 39, 13, 45, 5, 37],
-    [63, 31, 55, 23, 61, 29, 53, 21],
-]
-
-
 def dither_ordered(px: DataFrame) -> DataFrame:
     """Black and white by the ordered matrix, one pixel a dot."""
     table = F.array(*[F.lit(v) for row in BAYER for v in row])
@@ -195,54 +175,16 @@ def split(px: DataFrame, side: int, red=(-6, 0), green=(0, 0), blue=(6, 0)) -> D
     return px.select("pic", "y", "x", *[shifted_channel(c, 0, offsets[c][1])[1].alias(c) for c in "rgb"])
 
 
-def gather(px: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
-    """``places`` joined to the pixel at (pic, sy, sx)."""
-    source = px.select("pic", F.col("y").alias("sy"), F.col("x").alias("sx"), *"rgb")
-    return places.select("pic", "sy", "sx", *key).join(source, ["pic", "sy", "sx"])
-
-
-def sampled(px: DataFrame, width: int, height: int, points: DataFrame, key: list[str]) -> DataFrame:
-    """``points(pic, key.., u, v)`` read at real coordinates (u, v) from four pixels, edges repeated: adds r, g, b."""
-    u0, v0 = F.floor("u"), F.floor("v")
-    fx, fy = F.col("u") - u0, F.col("v") - v0
-    taps = F.array(*[
-        F.struct(
-            F.greatest(F.lit(0), F.least(F.lit(width - 1), u0 + i)).cast("int").alias("sx"),
-            F.greatest(F.lit(0), F.least(F.lit(height - 1), v0 + j)).cast("int").alias("sy"),
-            ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"),
-        )
-        for j in (0, 1) for i in (0, 1)
-    ])
-    spread = points.select("pic", *key, F.inline(taps)).where("w > 0")
-    met = gather(px, spread, [*key, "w"])
-    return met.groupBy("pic", *key).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "rgb"])
-
-
 def aberration(px: DataFrame, width: int, height: int, amount: float = 0.006) -> DataFrame:
     """Red larger, blue smaller about the centre."""
-    scales = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in zip("rgb", (1 + amount, 1.0, 1 - amount))])
-    cx, cy = width / 2, height / 2
-    points = px.select("pic", "y", "x", F.inline(scales))
-    points = points.withColumn("u", cx + (F.col("x") - cx) / F.col("s")).withColumn("v", cy + (F.col("y") - cy) / F.col("s"))
-    seen = sampled(px, width, height, points, ["y", "x", "c"])
-    return seen.groupBy("pic", "y", "x").agg(*[byte(F.max(F.when(F.col("c") == c, F.round(F.col(c), 9)))).alias(c) for c in "rgb"])
+    return plates.spread(plate_effects.aberration(plates.gathered(px, width, height), amount))
 
 
 def spin(px: DataFrame, width: int, height: int, angle: float = 10, center=(50, 50), steps: int = 8, mix: int = 100) -> DataFrame:
     """The mean over rotations about a centre."""
-    varies = isinstance(angle, Column)
-    if steps == 1 or not (varies or angle) or not (isinstance(mix, Column) or mix):
+    if steps == 1 or not (isinstance(angle, Column) or angle) or not (isinstance(mix, Column) or mix):
         return px
-    cx, cy, sweep = center[0] / 100 * (width - 1), center[1] / 100 * (height - 1), angle * (math.pi / 180)
-    sine, cosine = (F.sin, F.cos) if varies else (math.sin, math.cos)
-    turns = [-sweep / 2 + sweep * k / (steps - 1) for k in range(steps)]
-    rotations = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sine(a)).alias("s"), F.lit(cosine(a)).alias("c")) for k, a in enumerate(turns)])
-    dx, dy = F.col("x") - cx, F.col("y") - cy
-    points = px.select("pic", "y", "x", F.inline(rotations))
-    points = points.withColumn("u", cx + dx * F.col("c") - dy * F.col("s")).withColumn("v", cy + dx * F.col("s") + dy * F.col("c"))
-    smeared = sampled(px, width, height, points, ["y", "x", "k"]).groupBy("pic", "y", "x").agg(*[F.avg(c).alias(f"n{c}") for c in "rgb"])
-    met = px.join(smeared, ["pic", "y", "x"])
-    return painted(met, [F.round(c, 9) for c in mixed([F.col("nr"), F.col("ng"), F.col("nb")], mix / 100)])
+    return plates.spread(plate_effects.spin(plates.gathered(px, width, height), angle, center, steps, mix))
 
 
 def slices(px: DataFrame, width: int, bands: list[tuple[int, int, int, bool]]) -> DataFrame:
@@ -260,10 +202,13 @@ def slices(px: DataFrame, width: int, bands: list[tuple[int, int, int, bool]]) -
 
 def stretch(px: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     """Row ``line`` repeated down to before row ``end``; of overlapping bands the last counts."""
-    source = F.col("y")
+    column, y = W.partitionBy("pic", "x"), F.col("y")
+    own = F.struct(*"rgb")
+    held = {line: F.max(F.when(y == line, own)).over(column).alias(f"row{k}") for k, line in enumerate(dict.fromkeys(line for line, _ in bands))}
+    px, place = px.select("pic", "y", "x", *"rgb", *held.values()), {line: f"row{k}" for k, line in enumerate(held)}
     for line, end in bands:
-        source = F.when((F.col("y") > line) & (F.col("y") < end), line).otherwise(source)
-    return gather(px, px.select("pic", "y", "x", source.alias("sy"), F.col("x").alias("sx")), ["y", "x"]).select("pic", "y", "x", *"rgb")
+        own = F.when((y > line) & (y < end), F.col(place[line])).otherwise(own)
+    return px.withColumn("own", own).select("pic", "y", "x", *[F.col(f"own.{c}").alias(c) for c in "rgb"])
 
 
 def pixel_sort(px: DataFrame, low: int = 40, high: int = 220, reverse: bool = False) -> DataFrame:

@@ -8,20 +8,43 @@ gathers a pixel table; JVM batches are bounded in bytes, and a worker turns one
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Long side of the small copy that soft maps are worked out on.
 MAP_SIDE = 384
 #: A colour of less saturation has no hue to be taken from it.
 NO_HUE = 0.08
+#: Pixels of pictures of one size that an effect takes at once.
+STACK = 1 << 17
 PLATE = "pic long, width int, height int, rgb array<short>"
 
 
+Colour = tuple[int, int, int]
+#: The 8 x 8 ordered-dither matrix.
+BAYER = [
+    [0, 32, 8, 40, 2, 34, 10, 42],
+    [48, 16, 56, 24, 50, 18, 58, 26],
+    [12, 44, 4, 36, 14, 46, 6, 38],
+    [60, 28, 52, 20, 62, 30, 54, 22],
+    [3, 35, 11, 43, 1, 33, 9, 41],
+    [51, 19, 59, 27, 49, 17, 57, 25],
+    [15, 47, 7, 39, 13, 45, 5, 37],
+    [63, 31, 55, 23, 61, 29, 53, 21],
+]
+
+
+def scaled(size: float | Column, side: int) -> int | Column:
+    if isinstance(size, Column):
+        return F.floor(size * side / 1000 + 0.5)
+    return int(math.floor(size * side / 1000 + 0.5))
+
+
 def gathered(px: DataFrame, width: int, height: int) -> DataFrame:
     """Plates of a pixel table; one shuffle by picture."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", *[F.col(c).cast("short").alias(c) for c in "rgb"])))
@@ -47,6 +70,44 @@ def arrays(batch: pa.RecordBatch, column: str = "rgb", depth: int = 3) -> Iterat
         yield own if depth > 1 else own[..., 0]
 
 
+def listed(values: np.ndarray) -> pa.ListArray:
+    """An array (row, value) as a column of lists."""
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1)))
+
+
+def table_of(batch: pa.RecordBatch, column: str, rows: list[int] | None = None) -> np.ndarray:
+    """Lists of equal length, of all rows or of some, as an array (row, value)."""
+    values = batch.column(column)
+    offsets, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+    return np.stack([flat[offsets[k] : offsets[k + 1]] for k in (range(len(batch)) if rows is None else rows)])
+
+
+def repainted_together(plates: DataFrame | None, effect: Callable[..., np.ndarray], **given) -> DataFrame | Callable:
+    """As ``repainted`` for an effect that takes pictures of one size at once, as (height, width, .., 3), and ``given``; columns among these are read per row."""
+    if plates is None:
+        return lambda picture: effect(picture, **given)
+    varying = {k: v for k, v in given.items() if isinstance(v, Column)}
+    fixed = {k: v for k, v in given.items() if k not in varying}
+
+    def run(batches):
+        for batch in batches:
+            alike = defaultdict(list)
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", *varying)), strict=True)):
+                alike[key].append(k)
+            for (h, w, *own), rows in alike.items():
+                step = max(1, STACK // max(1, h * w))
+                for at in range(0, len(rows), step):
+                    ks = rows[at : at + step]
+                    stack = np.ascontiguousarray(table_of(batch, "rgb", ks).reshape(len(ks), h, w, 3).transpose(1, 2, 0, 3), np.float64)
+                    out = effect(stack, **fixed, **dict(zip(varying, own, strict=True)))
+                    out = np.clip(np.floor(out + 0.5), 0, 255).astype(np.int16).transpose(2, 0, 1, 3).reshape(len(ks), -1)
+                    heads = [batch.column(c).take(pa.array(ks)) for c in ("pic", "width", "height")]
+                    yield pa.RecordBatch.from_arrays([*heads, listed(out)], names=["pic", "width", "height", "rgb"])
+
+    return plates.select("pic", "width", "height", "rgb", *[v.alias(k) for k, v in varying.items()]).mapInArrow(run, PLATE)
+
+
 def repainted(plates: DataFrame | None, effect: Callable[[np.ndarray], np.ndarray]) -> DataFrame | Callable:
     """Plates with ``effect`` (channels 0 to 255 to channels, rounded here) applied to each; without plates the effect itself."""
     return effect if plates is None else repainted_by(plates, lambda _: effect)

@@ -1,7 +1,7 @@
 """Frames of a scene lined up over three sizes: a shift found on a small copy is refined on larger ones.
 
-Frames are plates with ``scene`` and ``frame``. Each frame meets its scene's main frame in one join by
-scene; the search is array work on one pair of pictures at a time.
+Frames are plates with ``scene`` and ``frame``. Each frame meets its scene's main frame in a window over the
+scene, which holds a scene and no more; the search is array work on one pair of pictures at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import with_main
 from .plates import arrays, resized
 
 #: Widths of the copies, and how far about the last shift each is searched.
@@ -70,8 +71,8 @@ def registered(frames: DataFrame, main: int) -> DataFrame:
 
     The main frame's shift is 0. Frames of a scene without a main frame are left out; a frame of another size has a null shift.
     """
-    base = frames.where(F.col("frame") == main).select("scene", F.col("width").alias("w"), F.col("height").alias("h"), F.col("rgb").alias("base"))
-    met = frames.join(base, "scene").select("scene", "frame", "width", "height", "w", "h", "rgb", "base")
+    met = with_main(frames, main, ["width", "height", "rgb"], scene=("scene",))
+    met = met.select("scene", "frame", "width", "height", F.col("main.width").alias("w"), F.col("main.height").alias("h"), "rgb", F.col("main.rgb").alias("base"))
 
     def run(batches):
         for batch in batches:

@@ -6,12 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions.draws import Draws, below, value_noise
+from ..functions.draws import Draws, below
 from ..functions.scalars import brightness, from_hsv
 from . import plate_effects, plates
-from .effects import REGISTRY, Colour, larger, painted, rgb, sampled, scaled, slices, stretch
+from .effects import REGISTRY, Colour, painted, rgb, scaled, slices, stretch
 
 
 def grain(px: DataFrame, width: int, height: int, strength: int = 30, size: int = 2, color: bool = False, seed: int = 0) -> DataFrame:
@@ -27,17 +26,7 @@ def liquid(px: DataFrame, width: int, height: int, amplitude: int = 40, scale: i
     """Pixels pushed by two fields of noise."""
     if scale == 0:
         return px
-    side = max(width, height)
-    reach, wave, moved, octaves = amplitude * side / 1000, scale * side / 1000, drift * side / 1000, max(1, min(6, octaves))
-    cells, lines = (math.ceil((width + moved) / wave) + 2) << octaves, (math.ceil(height / wave) + 2) << octaves
-    u, v = (F.col("x") + moved) / wave, F.col("y") / wave
-
-    def push(seed: int) -> Column:
-        parts = [(value_noise(seed, cells, lines, u * 2**k, v * 2**k) - 0.5) * 2 / 2**k for k in range(octaves)]
-        return sum(parts[1:], parts[0]) / sum(0.5**k for k in range(octaves)) * reach
-
-    points = px.select("pic", "y", "x", (F.col("x") + push(seed)).alias("u"), (F.col("y") + push(seed + 0x5EED)).alias("v"))
-    return painted(sampled(px, width, height, points, ["y", "x"]), [F.round(c, 9) for c in rgb()])
+    return plates.spread(plate_effects.liquid(plates.gathered(px, width, height), amplitude, scale, octaves, drift, seed))
 
 
 def screened(under: Column, over: Column, mix: Column) -> Column:
@@ -70,48 +59,12 @@ def streaks(px: DataFrame, width: int, height: int, hue: float = 10.0, saturatio
 
 def drag(px: DataFrame, width: int, height: int, kind: str = "motion", length: int = 60, angle: float = 0, center=(50, 50), mix: int = 70, blend: str = "lighten") -> DataFrame:
     """A smear: the mean of up to 32 samples along a line, towards a centre, or round it."""
-    reach = length * max(width, height) / 1000
-    steps = max(1, min(32, math.ceil(reach)))
-    cx, cy = center[0] / 100 * (width - 1), center[1] / 100 * (height - 1)
-    t = F.col("t")
-    points = px.select("pic", "y", "x", F.explode(F.array(*[F.lit(k / steps) for k in range(steps)])).alias("t"))
-    dx, dy, turn = F.col("x") - cx, F.col("y") - cy, reach / (width / 2)
-    if kind == "motion":
-        u, v = F.col("x") + math.cos(math.radians(angle)) * reach * t, F.col("y") + math.sin(math.radians(angle)) * reach * t
-    elif kind == "zoom":
-        u, v = F.col("x") - dx * turn * t, F.col("y") - dy * turn * t
-    else:
-        u, v = cx + dx * F.cos(turn * t) - dy * F.sin(turn * t), cy + dx * F.sin(turn * t) + dy * F.cos(turn * t)
-    seen = sampled(px, width, height, points.withColumn("u", u).withColumn("v", v), ["y", "x", "t"])
-    smear = seen.groupBy("pic", "y", "x").agg(*[F.floor(F.round(F.avg(c), 9) + 0.5).alias(f"s{c}") for c in "rgb"])
-    over = [F.col(f"s{c}") for c in "rgb"]
-    blended = {"lighten": lambda c, o: F.greatest(c, o), "screen": lambda c, o: 255 - (255 - c) * (255 - o) / 255, "normal": lambda c, o: o}[blend]
-    return painted(px.join(smear, ["pic", "y", "x"]), [c + (blended(c, o) - c) * (mix / 100) for c, o in zip(rgb(), over)])
-
-
-def blurred(px: DataFrame, columns: list[str], sigma: float) -> DataFrame:
-    """Separable Gaussian, three deviations wide, edges repeated: rows and columns as windows."""
-    radius = math.ceil(3 * sigma)
-    kernel = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    for by, order in (("y", "x"), ("x", "y")):
-        line = W.partitionBy("pic", by).orderBy(order)
-        whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        out = []
-        for c in columns:
-            edges = F.first(c).over(whole), F.last(c).over(whole)
-            near = [F.coalesce(F.lag(c, -k).over(line), edges[k > 0]) * (w / sum(kernel)) for k, w in zip(range(-radius, radius + 1), kernel)]
-            out.append(sum(near[1:], near[0]).alias(c))
-        px = px.select("pic", "y", "x", *out)
-    return px
+    return plates.spread(plate_effects.drag(plates.gathered(px, width, height), kind, length, angle, center, mix, blend))
 
 
 def bloom(px: DataFrame, width: int, height: int, threshold: int = 200, radius: int = 30, strength: int = 60) -> DataFrame:
     """Lights blurred and screened back."""
-    light = brightness(*rgb())
-    keep = F.when(light >= threshold, F.least(F.lit(1.0), (light - threshold) / larger(255.0 - threshold, 1.0))).otherwise(0.0)
-    lights = px.select("pic", "y", "x", *[F.floor(F.col(c) * keep + 0.5).cast("double").alias(f"l{c}") for c in "rgb"])
-    glow = blurred(lights, ["lr", "lg", "lb"], max(0.5, radius * max(width, height) / 2000))
-    return painted(px.join(glow, ["pic", "y", "x"]), [screened(c, F.round(f"l{n}"), F.lit(strength / 100)) for c, n in zip(rgb(), "rgb")])
+    return plates.spread(plate_effects.bloom(plates.gathered(px, width, height), threshold, radius, strength))
 
 
 def dither_diffusion(px: DataFrame, width: int, height: int, mid: int = 128) -> DataFrame:

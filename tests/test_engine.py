@@ -306,3 +306,40 @@ def test_effects_take_every_picture(spark, tmp_path, name):
 def test_band_periods_of_every_signal(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").where("s_suppkey in (1, 20, 21)").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {r["id"] for r in engine_queries.QUERIES["band_periods"](spark, str(tmp_path)).collect()} == {1, 20, 21}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fx_aberration", "fx_bloom", "fx_drag", "fx_liquid", "fx_spin", "fx_stretch", "register_shift", "track_centroid", "register_pyramid"])
+def test_pixels_are_not_joined(spark, name):
+    """A table of pixels looks as small as the rows that it is made of; a join would send it all to the driver."""
+    assert "Join" not in plan_of(engine_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("effect", [seeded.liquid, seeded.drag, seeded.bloom, effects.aberration, effects.spin])
+def test_effects_on_pixel_tables_do_not_join(picture, effect):
+    assert "Join" not in plan_of(effect(picture[1], 14, 10))
+
+
+@pytest.mark.parametrize("name", ["develop_gain", "develop_pictures", "fx_remap", "fx_streaks", "band_periods", "fx_dither_diffusion", "fx_spin_auto"])
+def test_pictures_are_dealt_over_tasks(spark, name):
+    assert engine_queries.QUERIES[name](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 8
+
+
+def test_next_shown_by_running_frames(spark):
+    """No frame up to the end of all rows, which is gone through again for every row; no join."""
+    marks = [(1, k, "read" if k % 5 else "unread", k % 3 == 0, 0, 0) for k in range(40)]
+    df = spark.createDataFrame(marks, "cam int, pos long, state string, in_trash boolean, rank int, color int")
+    found = bursts.next_shown(df, "rejected", ["cam"])
+    hits = [p for _, p, state, trash, _, _ in marks if state == "read" and trash]
+    assert sorted(map(tuple, found.collect())) == [(1, p, min((h for h in hits if h > p), default=None), max((h for h in hits if h < p), default=None)) for p in range(40)]
+    assert "unboundedfollowing" not in plan_of(found) and "Join" not in plan_of(found)
+
+
+@pytest.mark.parametrize("effect", ["remap", "streaks"])
+def test_expressions_stay_small(picture, effect):
+    """Steps of an effect are columns: not written out again in each place that uses them."""
+    out = effects.remap(picture[1], [(0, 120), (210, 30)]) if effect == "remap" else seeded.streaks(picture[1], 14, 10)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 12_000

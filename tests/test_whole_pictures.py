@@ -262,3 +262,19 @@ def test_powers_of_signals(spark):
     assert got[1, 30.0] == pytest.approx(plain) and len(got) == 4
     found = {r["id"]: r["period"] for r in bands.signal_periods(df.withColumn("values", F.transform("values", lambda v: v - 1))).collect()}
     assert abs(found[1] - 77.7) < 0.5 and found[2] is None
+
+
+def test_strongest_ratio_equals_all(monkeypatch):
+    """Found without the medians of most periods; a signal that is not finite as well."""
+    rng = np.random.default_rng(4)
+    rows = np.arange(1600)
+    signals = np.stack([rng.normal(size=1600), np.sin(2 * np.pi * rows / 77.7), np.sin(2 * np.pi * rows / 300) + rng.normal(size=1600), np.zeros(1600), rng.random(1600) + 1])
+    powers = bands.wave_powers(signals, rows, bands.ROW_PERIODS)
+    powers = np.concatenate([powers, np.full((1, len(bands.ROW_PERIODS)), np.nan)])
+    ratios, taken, own = bands.all_ratios(powers), [], bands.ratio_at
+    monkeypatch.setattr(bands, "ratio_at", lambda p, k: taken.append(k) or own(p, k))
+    places, found = bands.strongest(powers[:2])
+    assert len(taken) < 1000
+    places, found = bands.strongest(powers)
+    best = ratios.shape[1] - 1 - ratios[:, ::-1].argmax(1)
+    assert (places == best).all() and np.array_equal(found, ratios[np.arange(6), best], equal_nan=True)
