@@ -88,19 +88,19 @@ def repainted_together(plates: DataFrame | None, effect: Callable[..., np.ndarra
     if plates is None:
         return lambda picture: effect(picture, **given)
     varying = {k: v for k, v in given.items() if isinstance(v, Column)}
-    fixed = {k: v for k, v in given.items() if k not in varying}
+    fixed, names = {k: v for k, v in given.items() if k not in varying}, list(varying)
 
     def run(batches):
         for batch in batches:
             alike = defaultdict(list)
-            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", *varying)), strict=True)):
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("height", "width", *names)), strict=True)):
                 alike[key].append(k)
             for (h, w, *own), rows in alike.items():
                 step = max(1, STACK // max(1, h * w))
                 for at in range(0, len(rows), step):
                     ks = rows[at : at + step]
                     stack = np.ascontiguousarray(table_of(batch, "rgb", ks).reshape(len(ks), h, w, 3).transpose(1, 2, 0, 3), np.float64)
-                    out = effect(stack, **fixed, **dict(zip(varying, own, strict=True)))
+                    out = effect(stack, **fixed, **dict(zip(names, own, strict=True)))
                     out = np.clip(np.floor(out + 0.5), 0, 255).astype(np.int16).transpose(2, 0, 1, 3).reshape(len(ks), -1)
                     heads = [batch.column(c).take(pa.array(ks)) for c in ("pic", "width", "height")]
                     yield pa.RecordBatch.from_arrays([*heads, listed(out)], names=["pic", "width", "height", "rgb"])
